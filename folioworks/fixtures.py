@@ -79,7 +79,7 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document per customer; every seventh owner has none of its own rows."""
+    """One document per customer."""
     return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS document_id", "c_custkey % 1000 AS user_id", "c_name AS title"
     )

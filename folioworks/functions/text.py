@@ -179,13 +179,12 @@ def alpha(number: Column, upper: bool) -> Column:
     letters = F.aggregate(
         F.sequence(F.lit(1), F.lit(14)),
         F.struct(number.cast("bigint").alias("left"), F.lit("").alias("text")),
-        lambda acc, _: F.when(
-            acc["left"] > 0,
-            F.struct(
-                F.expr("0L").alias("left") + F.floor((acc["left"] - 1) / 26),
-                F.concat(F.char(((acc["left"] - 1) % 26) + base), acc["text"]).alias("text"),
-            ),
-        ).otherwise(acc),
+        lambda acc, _: F.struct(
+            F.when(acc["left"] > 0, F.floor((acc["left"] - 1) / 26)).otherwise(0).cast("bigint").alias("left"),
+            F.concat(
+                F.when(acc["left"] > 0, F.char((acc["left"] - 1) % 26 + base)).otherwise(""), acc["text"]
+            ).alias("text"),
+        ),
         lambda acc: acc["text"],
     )
     return F.when(number > 0, letters).otherwise(number.cast("string"))

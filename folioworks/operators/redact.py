@@ -14,9 +14,11 @@ GRAMS = [12, 3, 1]
 def marks_for_hits(hits: DataFrame, accepted: DataFrame, inline: DataFrame | None = None) -> DataFrame:
     """Distinct (revision_id, page_index, rect) of the accepted hits and inline marks.
 
-    `accepted` holds (revision_id, hit_id); ids without a hit drop out.
+    `accepted` holds (revision_id, hit_id) and, for hits of several detectors,
+    preset; ids without a hit drop out.
     """
-    chosen = hits.join(accepted.distinct(), ["revision_id", "hit_id"], "left_semi")
+    key = [c for c in ["revision_id", "preset", "hit_id"] if c in accepted.columns]
+    chosen = hits.join(accepted.distinct(), key, "left_semi")
     marks = chosen.select("revision_id", "page_index", "rect")
     if inline is not None:
         marks = marks.unionByName(inline.select("revision_id", "page_index", "rect"))

@@ -63,12 +63,12 @@ def search_one_page(spark, sf_dir):
     "search_prefilter",
     with_views(
         "page_text",
-        r"""SELECT revision_id, page_index FROM page_text WHERE content ILIKE '%email address%'
-            OR list_has_all(string_split_regex(lower(content), '[^\p{L}\p{N}_]+'), ['email', 'address'])""",
+        r"""SELECT revision_id, page_index FROM page_text WHERE content ILIKE '%und der%'
+            OR list_has_all(string_split_regex(lower(content), '[^\p{L}\p{N}_]+'), ['und', 'der'])""",
     ),
 )
 def search_prefilter(spark, sf_dir):
-    return search.search_prefilter(fx.page_text(spark, sf_dir), "email address").select("revision_id", "page_index")
+    return search.search_prefilter(fx.page_text(spark, sf_dir), "und der").select("revision_id", "page_index")
 
 
 @query(
@@ -222,7 +222,7 @@ def search_paths_agree(spark, sf_dir):
 
 def _accepted(hits: DataFrame) -> DataFrame:
     """The reviewer's choice: hits whose text has an even length, and one unknown id."""
-    chosen = hits.where(F.length("text") % 2 == 0).select("revision_id", "hit_id")
+    chosen = hits.where(F.length("text") % 2 == 0).select("revision_id", "preset", "hit_id")
     return chosen.unionByName(chosen.withColumn("hit_id", F.lit("srh-none")).distinct())
 
 
