@@ -288,8 +288,8 @@ def preserved_map(
     shifted = F.transform(upto(page_count - position), lambda i: entry(position + i + 1, position + i))
     fresh = F.transform(upto(replacements), lambda i: entry(position + i, none))
     after = F.transform(
-        upto(F.size(page_order) - position),
-        lambda i: entry(position + replacements + i, F.get(page_order, (position + i).cast("int"))),
+        F.slice(page_order, position.cast("int") + 1, F.greatest(F.size(page_order) - position, F.lit(0)).cast("int")),
+        lambda p, i: entry(position + replacements + i, p),
     )
     return (
         F.when(operation.isin(IDENTITY_OPERATIONS), identity)

@@ -347,7 +347,7 @@ def expiring_soon(spark, sf_dir):
 
 def _key_licences(spark, sf_dir) -> DataFrame:
     """One licence per user; every fourth carries a key."""
-    return fx.licenses(spark, sf_dir).where("license_id < 100000000").selectExpr(
+    return fx.licenses(spark, sf_dir).selectExpr(
         "license_id", "license_id AS user_id", "tier", "CAST(license_id % 5 + 1 AS INT) AS seats",
         "CAST(NULL AS TIMESTAMP_NTZ) AS activated_at", "expires_at",
         "CASE WHEN license_id % 4 = 0 THEN concat('KEY-', license_id) END AS activation_key",
