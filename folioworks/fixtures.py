@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.plans.ordered import ordered_columns
+from folioworks.session import spread_small_input
 
 LINES_PER_PAGE = 8
 
@@ -18,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(revision_id, text) of the documents; a small file is spread over the cores."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("revision_id"), "text")
+    return spread_small_input(docs, "revision_id")
+
+
 def paged(text: str, keys: list[str], source: DataFrame) -> DataFrame:
     """(keys, page_index, lines): the lines of a text column cut into pages."""
     lines = source.select(*keys, F.split(text, "\n").alias("lines"))
@@ -34,7 +41,7 @@ SPANS = """transform(lines, (l, i) -> named_struct('text', l, 'bounds', named_st
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(revision_id, page_index, content, spans)"""
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "revision_id")
+    docs = texts(spark, sf_dir)
     return paged("text", ["revision_id"], docs).select(
         "revision_id",
         "page_index",
@@ -45,7 +52,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def revised_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pages with every fifth word of each line removed."""
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "revision_id")
+    docs = texts(spark, sf_dir)
     thinned = F.expr(
         "transform(lines, l -> array_join(filter(split(l, ' '), (w, i) -> i % 5 <> 4), ' '))"
     )

@@ -44,3 +44,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="folioworks-ckpt-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+
+
+def spread_partitions(spark: SparkSession) -> int:
+    """Partitions for work that is costly per byte: as many as configured, no fewer than cores."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(configured, spark.sparkContext.defaultParallelism)
+
+
+def spread_small_input(df, key: str):
+    """Give a scan with fewer partitions than cores to all cores; leave large scans alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores, key)
