@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -142,53 +141,58 @@ def lcs_steps(a: list[str], b: list[str]) -> list[tuple[str, int]]:
     return steps + [("same", n + k) for k in range(same_tail)]
 
 
-RECT = T.StructType([T.StructField(s, T.DoubleType()) for s in ["x0", "y0", "x1", "y1"]])
-CHANGE = T.ArrayType(
+RUNS = T.ArrayType(
     T.StructType(
         [
             T.StructField("class", T.StringType()),
-            T.StructField("text", T.StringType()),
-            T.StructField("rects", T.ArrayType(RECT)),
+            T.StructField("first", T.IntegerType()),
+            T.StructField("size", T.IntegerType()),
         ]
     )
 )
 
 
-def lcs_runs(words_a: list, words_b: list) -> list[dict]:
-    """Runs of deleted or inserted words with their text and distinct boxes."""
-    runs: list[dict] = []
-    open_class = None
-    steps = lcs_steps([w["key"] for w in words_a], [w["key"] for w in words_b])
-    for kind, at in steps:
+def lcs_runs(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
+    """Runs (class, first word, words); the words of a run lie side by side in a or b."""
+    runs: list[list] = []
+    open_class = "same"
+    for kind, at in lcs_steps(a, b):
         if kind != "same":
-            word = words_a[at] if kind == "deleted" else words_b[at]
-            if kind != open_class:
-                runs.append({"class": kind, "text": [], "rects": []})
-            runs[-1]["text"].append(word["word"])
-            if word["rect"] not in runs[-1]["rects"]:
-                runs[-1]["rects"].append(word["rect"])
+            if kind == open_class:
+                runs[-1][2] += 1
+            else:
+                runs.append([kind, at, 1])
         open_class = kind
-    return [{**run, "text": " ".join(run["text"])} for run in runs]
+    return [tuple(run) for run in runs]
+
+
+@F.pandas_udf(RUNS)
+def _aligned(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([lcs_runs(list(x), list(y)) for x, y in zip(a, b)])
 
 
 def text_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Word changes of every page pair: (revision_id, page_index, change, class, text, rects).
 
-    Equal pages drop out by content before any word is compared; the rest is
-    aligned page by page in Arrow batches.
+    Equal pages drop out by content before any word is compared. Python sees the
+    words' keys only and answers with positions; text and boxes stay in Spark.
     """
     changed = page_pairs(left, right).where(F.col("content_a") != F.col("content_b"))
     pairs = changed.select(*KEY, _words(F.col("spans_a")).alias("a"), _words(F.col("spans_b")).alias("b"))
-    schema = T.StructType([*[pairs.schema[k] for k in KEY], T.StructField("changes", CHANGE)])
-
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[KEY].copy()
-            out["changes"] = [lcs_runs(list(a), list(b)) for a, b in zip(batch["a"], batch["b"])]
-            yield out
-
-    runs = pairs.mapInPandas(align, schema)
-    return runs.select(*KEY, F.posexplode("changes").alias("change", "c")).select(*KEY, "change", "c.*")
+    keys = lambda words: F.transform(words, lambda w: w["key"])
+    runs = pairs.withColumn("runs", _aligned(keys("a"), keys("b")))
+    exploded = runs.select(*KEY, "a", "b", F.posexplode("runs").alias("change", "r"))
+    side = F.when(F.col("r.class") == "deleted", F.col("a")).otherwise(F.col("b"))
+    words = exploded.select(
+        *KEY, "change", F.col("r.class").alias("class"), F.slice(side, F.col("r.first") + 1, F.col("r.size")).alias("w")
+    )
+    return words.select(
+        *KEY,
+        "change",
+        "class",
+        F.array_join(F.transform("w", lambda w: w["word"]), " ").alias("text"),
+        F.array_distinct(F.transform("w", lambda w: w["rect"])).alias("rects"),
+    )
 
 
 # ── rasters ─────────────────────────────────────────────────────────────────
