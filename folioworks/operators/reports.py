@@ -217,26 +217,30 @@ def batch_plan(files: DataFrame, recipes: DataFrame) -> DataFrame:
     steps an array<struct<id, options map>>. Unknown steps become jobs with an
     error; a split size that is no positive number falls back to the default.
     """
-    jobs = files.join(recipes, "recipe_id").select(
-        "file_id", "filename", "recipe_id", F.posexplode("steps").alias("step_no", "step")
+    jobs = (
+        files.join(recipes, "recipe_id")
+        .select("file_id", "filename", "recipe_id", F.posexplode("steps").alias("step_no", "s"))
+        .select("file_id", "filename", "recipe_id", "step_no", F.col("s.id").alias("step"), F.col("s.options").alias("given"))
     )
+    empty = F.expr("cast(map() as map<string,string>)")
     defaults = F.lit(None).cast("map<string,string>")
     for name, options in STEPS.items():
         pairs = [F.lit(x) for pair in options.items() for x in pair]
-        table = F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")
-        defaults = F.when(F.col("step.id") == name, table).otherwise(defaults)
-    given = F.map_filter(F.coalesce("step.options", F.expr("cast(map() as map<string,string>)")), lambda k, v: v.isNotNull())
+        table = F.create_map(*pairs) if pairs else empty
+        defaults = F.when(F.col("step") == name, table).otherwise(defaults)
     bad_size = lambda k, v: (k == "every_n") & ~v.rlike(r"^\+?0*[1-9][0-9]*$")
-    given = F.map_filter(given, lambda k, v: ~((F.col("step.id") == "split") & bad_size(k, v)))
+    given = F.map_filter(
+        F.coalesce("given", empty), lambda k, v: v.isNotNull() & ~((F.col("step") == "split") & bad_size(k, v))
+    )
     missing = F.map_filter(defaults, lambda k, v: ~F.map_contains_key(given, k))
-    known = F.col("step.id").isin(list(STEPS))
+    known = F.col("step").isin(list(STEPS))
     stem = F.regexp_replace(F.regexp_extract("filename", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
     return jobs.select(
         "file_id",
         "recipe_id",
         "step_no",
-        F.col("step.id").alias("step"),
+        "step",
         F.when(known, F.map_concat(missing, given)).alias("options"),
-        F.when(known, F.concat(stem, F.lit(" — "), F.col("step.id"))).alias("title"),
-        F.when(~known, F.concat(F.lit("unknown step: "), F.col("step.id"))).alias("error"),
+        F.when(known, F.concat(stem, F.lit(" — "), F.col("step"))).alias("title"),
+        F.when(~known, F.concat(F.lit("unknown step: "), F.col("step"))).alias("error"),
     )

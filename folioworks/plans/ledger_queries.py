@@ -426,7 +426,7 @@ def stream_edit_sessions(spark, sf_dir):
     before = spark.conf.get(key)
     spark.conf.set(key, feeds.ROCKSDB)
     try:
-        done = sinks.run_appends(feeds.edit_session_stream(feed), "edit-sessions")
+        done = sinks.run_appends(feeds.edit_session_stream(feed, idle_ms=None), "edit-sessions")
     finally:
         spark.conf.set(key, before)
     return done.select("document_id", "op_id", "ok", "journal_depth", "redo_depth")

@@ -67,16 +67,22 @@ def unique_jobs_stream(jobs: DataFrame, seconds: int = 60, late: str = "1 hour")
 
 
 class EditSession(StatefulProcessor):
-    """Journal and redo depth per key; a session ends after 30 idle minutes.
+    """Journal and redo depth per key; with idle_ms a session ends after that silence.
+
+    Time is event time: an operation later than the idle span starts from empty
+    stacks, and a timer drops the state once the watermark has passed the span.
 
     The pushed operations live in a map state by journal level, so an operation
     reads and writes one entry and the state holds only what can be undone or
     redone.
     """
 
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        depths = T.StructType([T.StructField("journal", T.LongType()), T.StructField("redo", T.LongType())])
+        depths = T.StructType([T.StructField(c, T.LongType()) for c in ("journal", "redo", "seen_ms")])
         self.depths = handle.getValueState("depths", depths)
         self.levels = handle.getMapState(
             "levels",
@@ -85,11 +91,15 @@ class EditSession(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        journal, redo = self.depths.get() if self.depths.exists() else (0, 0)
+        journal, redo, seen_ms = self.depths.get() if self.depths.exists() else (0, 0, None)
         batch = pd.concat(rows).sort_values(["ts", "op_id"])
         touched, depths, redos, done = [], [], [], []
-        for op_id, kind in zip(batch["op_id"], batch["kind"]):
-            ok, at = True, None
+        for op_id, kind, ts in zip(batch["op_id"], batch["kind"], batch["ts"]):
+            now_ms = int(ts.value // 1_000_000)
+            if self.idle_ms is not None and seen_ms is not None and now_ms - seen_ms > self.idle_ms:
+                self.levels.clear()
+                journal, redo = 0, 0
+            ok, at, seen_ms = True, None, now_ms
             if kind == "undo":
                 ok = journal > 0
                 if ok:
@@ -108,11 +118,11 @@ class EditSession(StatefulProcessor):
             depths.append(journal)
             redos.append(redo)
             done.append(ok)
-        self.depths.update((journal, redo))
-        now = timerValues.getCurrentProcessingTimeInMs()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.handle.registerTimer(now + IDLE_END_MS)
+        self.depths.update((journal, redo, seen_ms))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+            self.handle.registerTimer(seen_ms + self.idle_ms + 1)
         yield pd.DataFrame(
             {
                 "document_id": key[0],
@@ -147,13 +157,19 @@ SESSION_ROW = T.StructType(
 )
 
 
-def edit_session_stream(journal: DataFrame) -> DataFrame:
+def edit_session_stream(journal: DataFrame, idle_ms: int | None = IDLE_END_MS, late: str = "1 hour") -> DataFrame:
     """Every operation with its outcome and the operation it pushed, undid or redid.
 
-    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    Without idle_ms sessions never end. Needs the RocksDB state store
+    (spark.sql.streaming.stateStore.providerClass).
     """
+    if idle_ms is not None:
+        journal = journal.withWatermark("ts", late)
     return journal.groupBy("document_id").transformWithStateInPandas(
-        statefulProcessor=EditSession(), outputStructType=SESSION_ROW, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=EditSession(idle_ms),
+        outputStructType=SESSION_ROW,
+        outputMode="Append",
+        timeMode="None" if idle_ms is None else "EventTime",
     )
 
 
