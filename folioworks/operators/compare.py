@@ -167,10 +167,14 @@ def lcs_runs(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
 
 
 @F.pandas_udf(RUNS)
-def _aligned(a: pd.Series, b: pd.Series) -> pd.Series:
+def _align(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_runs(list(x), list(y)) for x, y in zip(a, b)])
 
 
+# else the optimizer copies the call into a filter below the explode and runs it twice
+_aligned = _align.asNondeterministic()
+
+
 def text_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Word changes of every page pair: (revision_id, page_index, change, class, text, rects).
 
