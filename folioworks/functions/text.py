@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -33,7 +34,11 @@ def quoted(literal: str) -> str:
 def literal_pattern(query: str, match_case: bool = False, whole_word: bool = False) -> str:
     body = quoted(query)
     if whole_word:
-        body = WORD_EDGE + body + WORD_EDGE
+        # next to a word character an edge means no word character, and the reverse
+        word = re.compile(r"[A-Za-z0-9_]")
+        before = "(?<![A-Za-z0-9_])" if word.match(query[0]) else "(?<=[A-Za-z0-9_])"
+        after = "(?![A-Za-z0-9_])" if word.match(query[-1]) else "(?=[A-Za-z0-9_])"
+        body = before + body + after
     return body if match_case else "(?iu)" + body
 
 

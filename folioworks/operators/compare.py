@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,53 +83,59 @@ def token_delta(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def _advance(row: np.ndarray, code: int, codes_b: np.ndarray) -> np.ndarray:
-    """The next row of the table of common subsequence lengths."""
-    best = np.maximum(row[1:], row[:-1] + (codes_b == code))
-    out = np.zeros_like(row)
-    np.maximum.accumulate(best, out=out[1:])
-    return out
+MAX_ROW_BYTES = 256 * 1024 * 1024
+
+
+def _advance(row: int, same: int, ones: int) -> int:
+    """The next row of the table of common subsequence lengths, as a bit set.
+
+    Bit j is clear where the length grows from column j to j + 1 (Hyyrö's
+    bit-parallel recurrence).
+    """
+    hit = row & same
+    return ((row + hit) | (row & ~same)) & ones
 
 
 def lcs_steps(a: list[str], b: list[str]) -> list[tuple[str, int]]:
     """Alignment in document order: ("same"|"deleted", index in a) or ("inserted", index in b).
 
     Among equally long alignments a pair that matches is taken first, then an
-    insertion, read from the end. Empty keys match nothing. Rows are numpy
-    vectors; only every k-th row is kept and the rows between are made again on
-    the way back, so memory grows with sqrt(len(a)) * len(b).
+    insertion, read from the end. Empty keys match nothing. All rows are kept
+    while they are small; beyond that only every k-th, and the rows between are
+    made again on the way back, so no page is too long.
     """
     same_tail = 0
     while same_tail < min(len(a), len(b)) and a[-1 - same_tail] == b[-1 - same_tail] != "":
         same_tail += 1
     n, m = len(a) - same_tail, len(b) - same_tail
-    numbers: dict[str, int] = {}
-    codes_a = np.array([numbers.setdefault(t, len(numbers)) if t else -1 for t in a[:n]], dtype=np.int64)
-    codes_b = np.array([numbers.setdefault(t, len(numbers)) if t else -2 for t in b[:m]], dtype=np.int64)
-    block = max(1, math.isqrt(max(n, 1)))
-    kept = [np.zeros(m + 1, dtype=np.int32)]
-    row = kept[0]
+    ones = (1 << m) - 1
+    where: dict[str, int] = {}
+    for j in range(m):
+        if b[j]:
+            where[b[j]] = where.get(b[j], 0) | (1 << j)
+    block = 1 if n * m // 8 <= MAX_ROW_BYTES else math.isqrt(n)
+    kept, row = [ones], ones
     for i in range(n):
-        row = _advance(row, codes_a[i], codes_b)
+        row = _advance(row, where.get(a[i], 0), ones)
         if (i + 1) % block == 0:
             kept.append(row)
     steps: list[tuple[str, int]] = []
     i, j = n, m
-    first, rows = None, []
+    first, rows = n + 1, []
     while i > 0 or j > 0:
-        if i > 0 and j > 0 and codes_a[i - 1] == codes_b[j - 1]:
+        if i > 0 and j > 0 and a[i - 1] == b[j - 1] != "":
             i, j = i - 1, j - 1
             steps.append(("same", i))
             continue
         take_b = i == 0
         if i > 0 and j > 0:
-            if first is None or i - 1 < first:
-                start = (i - 1) // block
-                first = start * block
-                rows = [kept[start]]
+            if i < first:
+                first = i // block * block
+                rows = [kept[first // block]]
                 for k in range(first, i):
-                    rows.append(_advance(rows[-1], codes_a[k], codes_b))
-            take_b = rows[i - first][j - 1] >= rows[i - 1 - first][j]
+                    rows.append(_advance(rows[-1], where.get(a[k], 0), ones))
+            # no growth in this column: going left loses nothing
+            take_b = rows[i - first] >> (j - 1) & 1 == 1
         if take_b:
             j -= 1
             steps.append(("inserted", j))

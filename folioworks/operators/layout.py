@@ -21,11 +21,15 @@ STANDARD_FONTS = [
 SUBSET_PREFIX = r"^[A-Z0-9]{6,}\+"
 
 
-def _numbered(spans: Column) -> Column:
-    """Spans top to bottom, left to right, with the number of their line.
+SPAN = "struct<depth:double,left:double,ord:int,span:struct<text:string,bounds:struct<x0:double,y0:double,x1:double,y1:double>>>"
+
+
+def _lines(spans: Column) -> Column:
+    """Spans top to bottom, left to right, as an array of lines.
 
     A span opens a line when it overlaps the span before it by less than half
-    the average height (at least 4 points).
+    the average height (at least 4 points). Finished lines are set aside, so a
+    step copies one line and not the page.
     """
     boxed = F.filter(spans, lambda s: s["bounds"].isNotNull())
     ordered = F.array_sort(
@@ -35,68 +39,74 @@ def _numbered(spans: Column) -> Column:
                 (-(s["bounds"]["y1"] + s["bounds"]["y0"])).alias("depth"),
                 s["bounds"]["x0"].alias("left"),
                 i.alias("ord"),
-                s.alias("span"),
+                F.struct(s["text"].alias("text"), s["bounds"].alias("bounds")).alias("span"),
             ),
         )
     )
     heights = F.aggregate(
         boxed, F.lit(0.0), lambda acc, s: acc + F.abs(s["bounds"]["y1"] - s["bounds"]["y0"])
     )
-    threshold = F.greatest(heights / F.size(boxed) * 0.5, F.lit(4.0))
-    lines = F.aggregate(
-        ordered,
-        F.struct(
-            threshold.alias("need"), F.lit(0).alias("line"), F.lit(None).cast("double").alias("top"),
-            F.lit(None).cast("double").alias("bottom"), F.expr("cast(array() as array<int>)").alias("at"),
-        ),
-        lambda acc, x: F.struct(
-            acc["need"].alias("need"),
-            _line(acc, x["span"]["bounds"]).alias("line"),
-            x["span"]["bounds"]["y1"].alias("top"),
-            x["span"]["bounds"]["y0"].alias("bottom"),
-            F.concat(acc["at"], F.array(_line(acc, x["span"]["bounds"]))).alias("at"),
-        ),
-        lambda acc: acc["at"],
-    )
-    return F.transform(
-        F.arrays_zip(ordered.alias("o"), lines.alias("l")),
-        lambda z: F.struct(z["l"].alias("line"), z["o"]["left"].alias("left"), z["o"]["ord"].alias("ord"), z["o"]["span"].alias("span")),
-    )
+    need = F.greatest(heights / F.size(boxed) * 0.5, F.lit(4.0))
 
+    def step(acc: Column, x: Column) -> Column:
+        box = x["span"]["bounds"]
+        overlap = F.least(acc["top"], box["y1"]) - F.greatest(acc["bottom"], box["y0"])
+        opens = F.greatest(overlap, F.lit(0.0)) < acc["need"]
+        return F.struct(
+            acc["need"].alias("need"),
+            box["y1"].alias("top"),
+            box["y0"].alias("bottom"),
+            F.when(opens, F.concat(acc["done"], F.array(acc["line"]))).otherwise(acc["done"]).alias("done"),
+            F.when(opens, F.array(x)).otherwise(F.concat(acc["line"], F.array(x))).alias("line"),
+        )
 
-def _line(acc: Column, bounds: Column) -> Column:
-    overlap = F.greatest(F.least(acc["top"], bounds["y1"]) - F.greatest(acc["bottom"], bounds["y0"]), F.lit(0.0))
-    return acc["line"] + F.when(acc["top"].isNull() | (overlap < acc["need"]), 1).otherwise(0)
+    first = F.get(ordered, F.lit(0))
+    start = F.struct(
+        need.alias("need"),
+        first["span"]["bounds"]["y1"].alias("top"),
+        first["span"]["bounds"]["y0"].alias("bottom"),
+        F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("done"),
+        F.slice(ordered, 1, 1).cast(f"array<{SPAN}>").alias("line"),
+    )
+    rest = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0)))
+    folded = F.aggregate(rest, start, step, lambda acc: F.concat(acc["done"], F.array(acc["line"])))
+    return F.when(F.size(boxed) > 0, folded)
 
 
 def line_groups(pages: DataFrame) -> DataFrame:
     """(revision_id, page_index, line, text, bounds): one row per span, lines from 1."""
-    spans = pages.select("revision_id", "page_index", F.explode(_numbered(F.col("spans"))).alias("s"))
+    lines = pages.select("revision_id", "page_index", F.posexplode(_lines(F.col("spans"))).alias("i", "spans"))
+    spans = lines.select("revision_id", "page_index", (F.col("i") + 1).alias("line"), F.explode("spans").alias("s"))
     return spans.select(
-        "revision_id", "page_index", "s.line", F.col("s.span.text").alias("text"), F.col("s.span.bounds").alias("bounds")
+        "revision_id", "page_index", "line", F.col("s.span.text").alias("text"), F.col("s.span.bounds").alias("bounds")
     )
 
 
 def layout_text(pages: DataFrame) -> DataFrame:
     """Page text with gaps as blanks: (revision_id, page_index, text)."""
-    left_to_right = F.array_sort(_numbered(F.col("spans")))
-    folded = F.aggregate(
-        left_to_right,
-        F.struct(F.lit("").alias("text"), F.lit(0).alias("line"), F.lit(0.0).alias("right")),
-        lambda acc, s: F.struct(
-            F.concat(
-                acc["text"],
-                F.when(s["line"] != acc["line"], F.when(acc["line"] == 0, "").otherwise("\n")).otherwise(
-                    F.repeat(F.lit(" "), _blanks(s["span"]["bounds"]["x0"] - acc["right"]))
-                ),
-                F.coalesce(s["span"]["text"], F.lit("")),
-            ).alias("text"),
-            s["line"].alias("line"),
-            s["span"]["bounds"]["x1"].alias("right"),
-        ),
-        lambda acc: acc["text"],
-    )
-    return pages.select("revision_id", "page_index", folded.alias("text"))
+
+    def line_text(line: Column) -> Column:
+        left_to_right = F.array_sort(
+            F.transform(line, lambda s: F.struct(s["left"].alias("left"), s["ord"].alias("ord"), s["span"].alias("span")))
+        )
+        return F.aggregate(
+            left_to_right,
+            F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("right")),
+            lambda acc, s: F.struct(
+                F.concat(
+                    acc["text"],
+                    F.when(acc["right"].isNull(), "").otherwise(
+                        F.repeat(F.lit(" "), _blanks(s["span"]["bounds"]["x0"] - acc["right"]))
+                    ),
+                    F.coalesce(s["span"]["text"], F.lit("")),
+                ).alias("text"),
+                s["span"]["bounds"]["x1"].alias("right"),
+            ),
+            lambda acc: acc["text"],
+        )
+
+    text = F.array_join(F.transform(_lines(F.col("spans")), line_text), "\n")
+    return pages.select("revision_id", "page_index", F.coalesce(text, F.lit("")).alias("text"))
 
 
 def _blanks(gap: Column) -> Column:
@@ -115,13 +125,18 @@ def char_runs(chars: DataFrame, limit: int | None = None) -> DataFrame:
     baseline_y, bold, italic, x0, y0, x1, y1).
     """
     key = ["revision_id", "page_index"]
-    named = chars.withColumn("_font", font_base(F.col("font_name")))
+    side = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
+    # flat columns pass through Arrow much faster than structs
+    named = chars.select(
+        *[c for c in chars.columns if c != "bounds"],
+        font_base(F.col("font_name")).alias("_font"),
+        *[F.col(f"bounds.{s}").alias(s) for s in side],
+    )
     fold = HeadRuns(["_font"], {"font_size": 0.25, "baseline_y": 2.0})
     placed = fold_rows(named, key, ["ord"], fold, limit)
     head = F.min_by(F.struct("font_name", "font_size", "baseline_y", "bold", "italic"), "ord").alias("h")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "ch"))), lambda c: c["ch"]), "")
-    side = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
-    boxes = [F.coalesce(how(f"bounds.{s}"), F.lit(0.0)).alias(s) for s, how in side.items()]
+    boxes = [F.coalesce(how(s), F.lit(0.0)).alias(s) for s, how in side.items()]
     return placed.groupBy(*key, "run").agg(text.alias("text"), head, *boxes).select(
         *key, "run", "text", "h.*", *side
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.session import ensure_checkpoint_dir
+
 BAND = 36.0  # height in points of the strips that split a page's rectangle join
 
 # gram lengths that anchor the survivor search; a text uses the longest that fits
@@ -138,7 +140,9 @@ def verify_absent(redacted: DataFrame, strings: DataFrame) -> DataFrame:
     text's first characters are the join key, so only pages that hold them are
     compared with it.
     """
-    wanted = strings.where(F.col("text") != "").distinct()
+    ensure_checkpoint_dir(strings.sparkSession)
+    # read three times below
+    wanted = strings.where(F.col("text") != "").distinct().checkpoint()
     size = _gram(F.length("text"))
     anchored = wanted.withColumn("anchor", F.xxhash64(F.substring(F.col("text"), F.lit(1), size)))
     affected = redacted.join(wanted.select("revision_id").distinct(), "revision_id", "left_semi")

@@ -49,6 +49,10 @@ class Fold:
         raise NotImplementedError
 
 
+# outputs are never null, so numbers and flags can be plain arrays
+ARRAY_TYPES = {T.BooleanType: bool, T.LongType: "int64"}
+
+
 def fold_rows(
     df: DataFrame, keys: list[str], order: list[str], fold: Fold, limit: int | None = None
 ) -> DataFrame:
@@ -113,7 +117,8 @@ def _stream(keys: list[str], fold: Fold, columns: list[str], entry: str | None =
                 for name in added:
                     added[name].extend(out[name])
             for name, values in added.items():
-                batch[name] = pd.Series(values, index=batch.index, dtype=object)
+                kind = ARRAY_TYPES.get(type(fold.outputs[name]), object)
+                batch[name] = pd.Series(values, index=batch.index, dtype=kind)
             yield batch[columns]
 
     return run

@@ -227,8 +227,9 @@ def _accepted(hits: DataFrame) -> DataFrame:
 
 
 def _marks(spark, sf_dir) -> DataFrame:
-    hits = search.preset_scan(fx.page_text(spark, sf_dir), ["email", "card"])
-    return redact.marks_for_hits(hits, _accepted(hits))
+    hits = search.preset_scan(fx.page_text(spark, sf_dir), ["email", "card"]).checkpoint()
+    # hits and marks are few, and every redaction step reads them again
+    return redact.marks_for_hits(hits, _accepted(hits)).checkpoint()
 
 
 MARKS = f"""{JOINED}, found AS ({FOUND['email']} UNION ALL {FOUND['card']}), hits AS ({HITS}),
