@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.plans.ordered import ordered_columns
+from folioworks.plans.rows import positions
 from folioworks.session import spread_small_input
 
 LINES_PER_PAGE = 8
@@ -32,7 +33,7 @@ def paged(text: str, keys: list[str], source: DataFrame) -> DataFrame:
         f"transform(sequence(0, (size(lines) - 1) div {LINES_PER_PAGE}),"
         f" p -> slice(lines, cast(p * {LINES_PER_PAGE} + 1 as int), {LINES_PER_PAGE}))"
     )
-    return lines.select(*keys, F.posexplode(pages).alias("page_index", "lines"))
+    return positions(lines, keys, pages, "page_index", "lines")
 
 
 SPANS = """transform(lines, (l, i) -> named_struct('text', l, 'bounds', named_struct(

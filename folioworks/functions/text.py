@@ -55,22 +55,33 @@ def running_starts(lengths: Column, gap: int = 0) -> Column:
     )
 
 
-def matches(text: Column, pattern: str) -> Column:
+def cut_at(text: Column, pattern: str) -> list[Column]:
+    """Columns `_m` (all matches) and `_p` (the pieces between them) of a text.
+
+    Select them before placing the matches: nested in one expression they would
+    be computed again for every use. The pattern must not match "".
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_m")
+    return [found, F.split(text, pattern, -1).alias("_p")]
+
+
+def matches(found: Column, pieces: Column) -> Column:
     """array<struct<start:int,text:string>> of all matches, left to right.
 
-    The pieces between matches and the matches alternate, so the start of match
-    k is the length of everything before it. The pattern must not match "".
+    Pieces and matches alternate, so the start of match k is the length of
+    everything before it.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    before = F.transform(
-        F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m")),
-        lambda x: F.length(x["p"]) + F.length(x["m"]),
-    )
-    starts = running_starts(before)
-    return F.transform(
-        F.arrays_zip(starts.alias("s"), F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m")),
-        lambda x: F.struct((x["s"] + F.length(x["p"])).alias("start"), x["m"].alias("text")),
+    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("p"), found.alias("m"))
+    return F.aggregate(
+        pairs,
+        F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,text:string>>)").alias("hits")),
+        lambda acc, x: F.struct(
+            (acc["pos"] + F.length(x["p"]) + F.length(x["m"])).cast("int").alias("pos"),
+            F.concat(
+                acc["hits"], F.array(F.struct((acc["pos"] + F.length(x["p"])).cast("int").alias("start"), x["m"].alias("text")))
+            ).alias("hits"),
+        ),
+        lambda acc: acc["hits"],
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioworks.plans.ordered import ordered_columns
+from folioworks.plans.rows import positions
 from folioworks.session import spread_partitions
 
 KEY = ["revision_id", "page_index"]
@@ -36,7 +37,7 @@ def _words(spans: Column) -> Column:
 
 def tokenise(pages: DataFrame) -> DataFrame:
     """(revision_id, page_index, pos, word, key, rect): one row per word."""
-    words = pages.select(*KEY, F.posexplode(_words(F.col("spans"))).alias("pos", "w"))
+    words = positions(pages, KEY, _words(F.col("spans")), "pos", "w")
     return words.select(*KEY, "pos", "w.word", "w.key", "w.rect")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.plans.folds import HeadRuns, fold_rows
+from folioworks.plans.rows import positions
 
 SPACE_WIDTH = 4.0
 
@@ -24,15 +25,16 @@ SUBSET_PREFIX = r"^[A-Z0-9]{6,}\+"
 SPAN = "struct<depth:double,left:double,ord:int,span:struct<text:string,bounds:struct<x0:double,y0:double,x1:double,y1:double>>>"
 
 
-def _lines(spans: Column) -> Column:
-    """Spans top to bottom, left to right, as an array of lines.
+def _with_lines(pages: DataFrame) -> DataFrame:
+    """Pages with `_lines`: spans top to bottom, left to right, as an array of lines.
 
     A span opens a line when it overlaps the span before it by less than half
     the average height (at least 4 points). Finished lines are set aside, so a
-    step copies one line and not the page.
+    step copies one line and not the page. The sorted spans are a column of
+    their own, used several times but sorted once.
     """
-    boxed = F.filter(spans, lambda s: s["bounds"].isNotNull())
-    ordered = F.array_sort(
+    boxed = F.filter("spans", lambda s: s["bounds"].isNotNull())
+    ordered = F.sort_array(
         F.transform(
             boxed,
             lambda s, i: F.struct(
@@ -43,10 +45,11 @@ def _lines(spans: Column) -> Column:
             ),
         )
     )
+    spans = F.col("_ordered")
     heights = F.aggregate(
-        boxed, F.lit(0.0), lambda acc, s: acc + F.abs(s["bounds"]["y1"] - s["bounds"]["y0"])
+        spans, F.lit(0.0), lambda acc, s: acc + F.abs(s["span"]["bounds"]["y1"] - s["span"]["bounds"]["y0"])
     )
-    need = F.greatest(heights / F.size(boxed) * 0.5, F.lit(4.0))
+    need = F.greatest(heights / F.size(spans) * 0.5, F.lit(4.0))
 
     def step(acc: Column, x: Column) -> Column:
         box = x["span"]["bounds"]
@@ -60,22 +63,23 @@ def _lines(spans: Column) -> Column:
             F.when(opens, F.array(x)).otherwise(F.concat(acc["line"], F.array(x))).alias("line"),
         )
 
-    first = F.get(ordered, F.lit(0))
+    first = F.get(spans, F.lit(0))
     start = F.struct(
         need.alias("need"),
         first["span"]["bounds"]["y1"].alias("top"),
         first["span"]["bounds"]["y0"].alias("bottom"),
         F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("done"),
-        F.slice(ordered, 1, 1).cast(f"array<{SPAN}>").alias("line"),
+        F.slice(spans, 1, 1).cast(f"array<{SPAN}>").alias("line"),
     )
-    rest = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0)))
+    rest = F.slice(spans, F.lit(2), F.greatest(F.size(spans) - 1, F.lit(0)))
     folded = F.aggregate(rest, start, step, lambda acc: F.concat(acc["done"], F.array(acc["line"])))
-    return F.when(F.size(boxed) > 0, folded)
+    sorted_pages = pages.select("revision_id", "page_index", ordered.alias("_ordered"))
+    return sorted_pages.select("revision_id", "page_index", F.when(F.size(spans) > 0, folded).alias("_lines"))
 
 
 def line_groups(pages: DataFrame) -> DataFrame:
     """(revision_id, page_index, line, text, bounds): one row per span, lines from 1."""
-    lines = pages.select("revision_id", "page_index", F.posexplode(_lines(F.col("spans"))).alias("i", "spans"))
+    lines = positions(_with_lines(pages), ["revision_id", "page_index"], F.col("_lines"), "i", "spans")
     spans = lines.select("revision_id", "page_index", (F.col("i") + 1).alias("line"), F.explode("spans").alias("s"))
     return spans.select(
         "revision_id", "page_index", "line", F.col("s.span.text").alias("text"), F.col("s.span.bounds").alias("bounds")
@@ -86,7 +90,7 @@ def layout_text(pages: DataFrame) -> DataFrame:
     """Page text with gaps as blanks: (revision_id, page_index, text)."""
 
     def line_text(line: Column) -> Column:
-        left_to_right = F.array_sort(
+        left_to_right = F.sort_array(
             F.transform(line, lambda s: F.struct(s["left"].alias("left"), s["ord"].alias("ord"), s["span"].alias("span")))
         )
         return F.aggregate(
@@ -105,8 +109,8 @@ def layout_text(pages: DataFrame) -> DataFrame:
             lambda acc: acc["text"],
         )
 
-    text = F.array_join(F.transform(_lines(F.col("spans")), line_text), "\n")
-    return pages.select("revision_id", "page_index", F.coalesce(text, F.lit("")).alias("text"))
+    text = F.array_join(F.transform("_lines", line_text), "\n")
+    return _with_lines(pages).select("revision_id", "page_index", F.coalesce(text, F.lit("")).alias("text"))
 
 
 def _blanks(gap: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.plans.rows import positions
 from folioworks.session import ensure_checkpoint_dir
 
 BAND = 36.0  # height in points of the strips that split a page's rectangle join
@@ -47,8 +48,10 @@ def _covered(pages: DataFrame, marks: DataFrame) -> DataFrame:
     """
     marked = marks.select("revision_id", "page_index").distinct()
     spans = (
-        pages.join(marked, ["revision_id", "page_index"], "left_semi")
-        .select("revision_id", "page_index", F.posexplode("spans").alias("ord", "s"))
+        positions(
+            pages.join(marked, ["revision_id", "page_index"], "left_semi"),
+            ["revision_id", "page_index"], F.col("spans"), "ord", "s",
+        )
         .select("revision_id", "page_index", "ord", "s.text", F.col("s.bounds").alias("span_rect"))
         .withColumn("band", _bands(F.col("span_rect")))
     )
@@ -146,9 +149,9 @@ def verify_absent(redacted: DataFrame, strings: DataFrame) -> DataFrame:
     size = _gram(F.length("text"))
     anchored = wanted.withColumn("anchor", F.xxhash64(F.substring(F.col("text"), F.lit(1), size)))
     affected = redacted.join(wanted.select("revision_id").distinct(), "revision_id", "left_semi")
-    grams = affected.select(
-        "revision_id", F.col("page_index").alias("found_on"), "content",
-        F.explode(_page_grams(F.col("content"))).alias("anchor"),
+    grams = positions(
+        affected, ["revision_id", F.col("page_index").alias("found_on"), "content"],
+        _page_grams(F.col("content")), "_", "anchor",
     ).join(anchored.select("revision_id", "anchor").distinct(), ["revision_id", "anchor"], "left_semi")
     return (
         grams.join(anchored, ["revision_id", "anchor"])

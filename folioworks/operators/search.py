@@ -12,6 +12,7 @@ from folioworks.functions.text import (
     WORD_EDGE,
     around,
     collapsed,
+    cut_at,
     literal_pattern,
     matches,
     normalised,
@@ -19,6 +20,7 @@ from folioworks.functions.text import (
     running_starts,
     trimmed,
 )
+from folioworks.plans.rows import positions
 
 # The five detectors, label and pattern.
 PRESETS = {
@@ -102,9 +104,11 @@ def search(
         pages = pages.where(F.col("page_index") == page - 1)
     pattern = literal_pattern(query, match_case, whole_word)
     content = F.col("content")
-    hits = pages.where(content.rlike(pattern)).select(
-        "revision_id", "page_index", "content", "spans", F.posexplode(matches(content, pattern)).alias("hit", "m")
+    cut = pages.where(content.rlike(pattern)).select(
+        "revision_id", "page_index", "content", "spans", *cut_at(content, pattern)
     )
+    keep = ["revision_id", "page_index", "content", "spans"]
+    hits = positions(cut, keep, matches(F.col("_m"), F.col("_p")), "hit", "m")
     offset, length = F.col("m.start"), F.length("m.text")
     return hits.select(
         "revision_id",
@@ -122,7 +126,8 @@ def page_tokens(content: Column) -> Column:
 
 def token_table(pages: DataFrame) -> DataFrame:
     """Inverted index rows (token, revision_id, page_index), for repeated lookups."""
-    return pages.select(F.explode(page_tokens(F.col("content"))).alias("token"), "revision_id", "page_index")
+    tokens = positions(pages, ["revision_id", "page_index"], page_tokens(F.col("content")), "_", "token")
+    return tokens.select("token", "revision_id", "page_index")
 
 
 def search_prefilter(pages: DataFrame, query: str) -> DataFrame:
@@ -152,14 +157,12 @@ def _pattern_hits(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
     for name, pattern in patterns.items():
         hit = joined.rlike(pattern)
         any_hit = any_hit | (joined.rlike(HINTS[name]) & hit if name in HINTS else hit)
-    found = F.array(
-        *[F.struct(F.lit(name).alias("preset"), matches(joined, p).alias("m")) for name, p in patterns.items()]
-    )
-    hits = (
-        texts.where(any_hit)
-        .select("revision_id", "page_index", "spans", "joined", F.explode(found).alias("f"))
-        .select("revision_id", "page_index", "spans", "joined", "f.preset", F.posexplode("f.m").alias("i", "m"))
+    cuts = F.array(
+        *[F.struct(F.lit(name).alias("preset"), *cut_at(joined, p)) for name, p in patterns.items()]
     )
+    keep = ["revision_id", "page_index", "spans", "joined"]
+    found = positions(texts.where(any_hit), keep, cuts, "_", "f").where(F.size("f._m") > 0)
+    hits = positions(found, [*keep, "f.preset"], matches(F.col("f._m"), F.col("f._p")), "i", "m")
     start, length = F.col("m.start"), F.length("m.text")
     return hits.select(
         "revision_id",

@@ -108,7 +108,8 @@ def _stream(keys: list[str], fold: Fold, columns: list[str], entry: str | None =
             if batch.empty:
                 continue
             added: dict[str, list] = {name: [] for name in fold.outputs}
-            for rows in _runs(batch, keys):
+            used = [*keys, *fold.inputs, *([entry] if entry else [])]
+            for rows in _runs(batch[list(dict.fromkeys(used))], keys):
                 key = _key_of(rows, keys)
                 if current != key:
                     current = key
@@ -365,8 +366,8 @@ class HeadRuns(Fold):
         return {"head": None, "runs": 0}
 
     def _rows(self, rows):
-        same = [[None if pd.isna(v) else v for v in rows[c]] for c in self.same]
-        near = [[float(v) for v in rows[c]] for c in self.near]
+        same = [rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in self.same]
+        near = [rows[c].astype("float64").tolist() for c in self.near]
         return list(zip(*same, *near))
 
     def _differs(self, head, row) -> bool:

@@ -10,6 +10,7 @@ from folioworks.functions import geometry as geo
 from folioworks.operators import compare, layout
 from folioworks.plans.duck_views import with_views
 from folioworks.plans.registry import query
+from folioworks.plans.rows import positions
 
 # ── comparison ──────────────────────────────────────────────────────────────
 
@@ -215,11 +216,9 @@ def layout_text(spark, sf_dir):
 def chars(spark, sf_dir) -> DataFrame:
     """Glyph rows: every word is set as one glyph with a font, size and baseline."""
     docs = fx.texts(spark, sf_dir)
-    words = fx.paged("text", ["revision_id"], docs).select(
-        "revision_id", "page_index",
-        F.posexplode(F.expr(
-            "flatten(transform(lines, (l, i) -> transform(split(l, ' '), (w, j) -> named_struct('ch', w, 'i', i, 'j', j))))"
-        )).alias("ord", "c"),
+    glyphs = "flatten(transform(lines, (l, i) -> transform(split(l, ' '), (w, j) -> named_struct('ch', w, 'i', i, 'j', j))))"
+    words = positions(
+        fx.paged("text", ["revision_id"], docs), ["revision_id", "page_index"], F.expr(glyphs), "ord", "c"
     )
     return words.selectExpr(
         "revision_id", "page_index", "ord", "c.ch AS ch",

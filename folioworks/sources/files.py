@@ -97,16 +97,18 @@ def sheet_grid(cells: DataFrame) -> DataFrame:
         "sheet_id", "row", column_number(F.col("ref")).alias("col"), F.trim(F.coalesce("value", F.lit(""))).alias("value")
     )
     rows = placed.groupBy("sheet_id", "row").agg(
-        F.array_sort(F.collect_list(F.struct("col", "value"))).alias("c")     )
+        F.sort_array(F.collect_list(F.struct("col", "value"))).alias("c")
+    )
     # a cell given twice keeps its last value, as in a map
     last = F.filter(
         "c", lambda x, i: (i == F.size("c") - 1) | (F.get(F.col("c"), i + 1)["col"] != x["col"])
     )
-    before = F.concat(F.array(F.lit(0)), F.transform(last, lambda x: x["col"]))
+    rows = rows.select("sheet_id", "row", last.alias("x"))
+    before = F.concat(F.array(F.lit(0)), F.transform("x", lambda x: x["col"]))
     # each cell brings the gap in front of it
     dense = F.flatten(
         F.transform(
-            F.arrays_zip(last.alias("x"), F.slice(before, F.lit(1), F.size(last)).alias("p")),
+            F.arrays_zip("x", F.slice(before, F.lit(1), F.size("x")).alias("p")),
             lambda z: F.concat(F.array_repeat(F.lit(""), z["x"]["col"] - z["p"] - 1), F.array(z["x"]["value"])),
         )
     )
