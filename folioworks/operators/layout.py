@@ -29,9 +29,8 @@ def _with_lines(pages: DataFrame) -> DataFrame:
     """Pages with `_lines`: spans top to bottom, left to right, as an array of lines.
 
     A span opens a line when it overlaps the span before it by less than half
-    the average height (at least 4 points). Finished lines are set aside, so a
-    step copies one line and not the page. The sorted spans are a column of
-    their own, used several times but sorted once.
+    the average height (at least 4 points). The sorted spans and the line starts
+    are columns of their own, used several times but computed once.
     """
     boxed = F.filter("spans", lambda s: s["bounds"].isNotNull())
     ordered = F.sort_array(
@@ -45,36 +44,32 @@ def _with_lines(pages: DataFrame) -> DataFrame:
             ),
         )
     )
-    spans = F.col("_ordered")
+    spans, n = F.col("_ordered"), F.size("_ordered")
     heights = F.aggregate(
         spans, F.lit(0.0), lambda acc, s: acc + F.abs(s["span"]["bounds"]["y1"] - s["span"]["bounds"]["y0"])
     )
-    need = F.greatest(heights / F.size(spans) * 0.5, F.lit(4.0))
-
-    def step(acc: Column, x: Column) -> Column:
-        box = x["span"]["bounds"]
-        overlap = F.least(acc["top"], box["y1"]) - F.greatest(acc["bottom"], box["y0"])
-        opens = F.greatest(overlap, F.lit(0.0)) < acc["need"]
-        return F.struct(
-            acc["need"].alias("need"),
-            box["y1"].alias("top"),
-            box["y0"].alias("bottom"),
-            F.when(opens, F.concat(acc["done"], F.array(acc["line"]))).otherwise(acc["done"]).alias("done"),
-            F.when(opens, F.array(x)).otherwise(F.concat(acc["line"], F.array(x))).alias("line"),
-        )
+    need = F.greatest(heights / n * 0.5, F.lit(4.0))
+
+    def opens(z: Column) -> Column:
+        box, before = z["s"]["span"]["bounds"], z["before"]["span"]["bounds"]
+        overlap = F.least(before["y1"], box["y1"]) - F.greatest(before["y0"], box["y0"])
+        return z["before"].isNull() | (F.greatest(overlap, F.lit(0.0)) < z["need"])
 
-    first = F.get(spans, F.lit(0))
-    start = F.struct(
-        need.alias("need"),
-        first["span"]["bounds"]["y1"].alias("top"),
-        first["span"]["bounds"]["y0"].alias("bottom"),
-        F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("done"),
-        F.slice(spans, 1, 1).cast(f"array<{SPAN}>").alias("line"),
+    neighbours = F.arrays_zip(
+        spans.alias("s"),
+        F.slice(F.concat(F.array(F.lit(None).cast(SPAN)), spans), F.lit(1), n).alias("before"),
+        F.array_repeat(need, n).alias("need"),
+    )
+    starts = F.filter(F.transform(neighbours, lambda z, i: F.when(opens(z), i)), lambda i: i.isNotNull())
+    lines = F.transform(
+        "_starts",
+        lambda i, k: F.slice("_ordered", i + 1, F.coalesce(F.get(F.col("_starts"), k + 1), n) - i),
+    )
+    return (
+        pages.select("revision_id", "page_index", ordered.alias("_ordered"))
+        .select("revision_id", "page_index", "_ordered", starts.alias("_starts"))
+        .select("revision_id", "page_index", lines.alias("_lines"))
     )
-    rest = F.slice(spans, F.lit(2), F.greatest(F.size(spans) - 1, F.lit(0)))
-    folded = F.aggregate(rest, start, step, lambda acc: F.concat(acc["done"], F.array(acc["line"])))
-    sorted_pages = pages.select("revision_id", "page_index", ordered.alias("_ordered"))
-    return sorted_pages.select("revision_id", "page_index", F.when(F.size(spans) > 0, folded).alias("_lines"))
 
 
 def line_groups(pages: DataFrame) -> DataFrame:
@@ -139,7 +134,7 @@ def char_runs(chars: DataFrame, limit: int | None = None) -> DataFrame:
     fold = HeadRuns(["_font"], {"font_size": 0.25, "baseline_y": 2.0})
     placed = fold_rows(named, key, ["ord"], fold, limit)
     head = F.min_by(F.struct("font_name", "font_size", "baseline_y", "bold", "italic"), "ord").alias("h")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "ch"))), lambda c: c["ch"]), "")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "ch"))), lambda c: c["ch"]), "")
     boxes = [F.coalesce(how(s), F.lit(0.0)).alias(s) for s, how in side.items()]
     return placed.groupBy(*key, "run").agg(text.alias("text"), head, *boxes).select(
         *key, "run", "text", "h.*", *side

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioworks.plans.ordered import CHUNK, chunk_rows, group_limit, null_safe, split_hot
+from folioworks.session import spread_partitions
 
 
 class Fold:
@@ -58,15 +59,8 @@ def fold_rows(
 ) -> DataFrame:
     """Add the fold's output columns to df; `order` must be a total order in a key."""
     limit = group_limit(df, limit)
-    schema = T.StructType(
-        df.schema.fields + [T.StructField(name, kind) for name, kind in fold.outputs.items()]
-    )
     cold, hot, hot_rows = split_hot(df, keys, limit)
-    streamed = (
-        cold.repartition(*keys)
-        .sortWithinPartitions(*keys, *order)
-        .mapInPandas(_stream(keys, fold, list(schema.names)), schema)
-    )
+    streamed = _folded(cold, keys, order, fold, df.columns)
     if hot is None:
         return streamed
     chunks = chunk_rows(hot, keys, order, hot_rows, limit)
@@ -74,12 +68,26 @@ def fold_rows(
     entered = chunks.join(entries, null_safe(chunks, entries, [*keys, CHUNK], "_e_")).select(
         *chunks.columns, "_state"
     )
-    stitched = (
-        entered.repartition(*keys, CHUNK)
-        .sortWithinPartitions(*keys, CHUNK, *order)
-        .mapInPandas(_stream([*keys, CHUNK], fold, list(schema.names), entry="_state"), schema)
-    )
-    return streamed.unionByName(stitched)
+    return streamed.unionByName(_folded(entered, [*keys, CHUNK], order, fold, df.columns, entry="_state"))
+
+
+def _folded(
+    df: DataFrame, keys: list[str], order: list[str], fold: Fold, columns: list[str], entry: str | None = None
+) -> DataFrame:
+    """Hash and sort by key, then fold each task's rows in their order.
+
+    Only the key and the fold's inputs cross to Python; the iterator keeps its
+    state from batch to batch. It counts as non-deterministic, so the optimizer
+    neither repeats it nor drops the sort before it.
+    """
+    used = list(dict.fromkeys([*keys, *fold.inputs, *([entry] if entry else [])]))
+    added = T.StructType([T.StructField(name, kind) for name, kind in fold.outputs.items()])
+    stream = F.pandas_udf(_stream(keys, fold, entry), added).asNondeterministic()
+    # a fixed count: Python work is costly per byte, so small partitions must not merge
+    n = spread_partitions(df.sparkSession)
+    ordered = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+    folded = ordered.withColumn("_f", stream(F.struct(*used)))
+    return folded.select(*columns, *[F.col(f"_f.{name}").alias(name) for name in fold.outputs])
 
 
 def _runs(batch: pd.DataFrame, keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -101,15 +109,12 @@ def _key_of(rows: pd.DataFrame, keys: list[str]) -> tuple:
     return tuple(None if pd.isna(first[k]) else first[k] for k in keys)
 
 
-def _stream(keys: list[str], fold: Fold, columns: list[str], entry: str | None = None):
+def _stream(keys: list[str], fold: Fold, entry: str | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
-            if batch.empty:
-                continue
             added: dict[str, list] = {name: [] for name in fold.outputs}
-            used = [*keys, *fold.inputs, *([entry] if entry else [])]
-            for rows in _runs(batch[list(dict.fromkeys(used))], keys):
+            for rows in _runs(batch, keys):
                 key = _key_of(rows, keys)
                 if current != key:
                     current = key
@@ -117,10 +122,12 @@ def _stream(keys: list[str], fold: Fold, columns: list[str], entry: str | None =
                 out, state = fold.run(rows, state)
                 for name in added:
                     added[name].extend(out[name])
-            for name, values in added.items():
-                kind = ARRAY_TYPES.get(type(fold.outputs[name]), object)
-                batch[name] = pd.Series(values, index=batch.index, dtype=kind)
-            yield batch[columns]
+            yield pd.DataFrame(
+                {
+                    name: pd.Series(values, dtype=ARRAY_TYPES.get(type(fold.outputs[name]), object))
+                    for name, values in added.items()
+                }
+            )
 
     return run
 
