@@ -40,10 +40,15 @@ def mark_has_text(pages: DataFrame, page_text: DataFrame) -> DataFrame:
     return pages.join(texts, KEY, "left").withColumn("has_text", F.coalesce("has_text", F.lit(False)))
 
 
-def document_text(page_text: DataFrame) -> DataFrame:
-    """One reading-order text per revision: spans joined directly, pages by newline."""
+def reading_order_text(page_text: DataFrame) -> DataFrame:
+    """(revision_id, page_index, text): spans joined directly. A document's text is
+    its pages in order, one after a newline; it stays rows, as a document has no
+    size limit. Write it with write_reading_order."""
     joined = F.array_join(F.transform("spans", lambda s: F.coalesce(s["text"], F.lit(""))), "")
-    pages = page_text.select("revision_id", F.struct("page_index", joined.alias("t")).alias("p"))
-    return pages.groupBy("revision_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "\n").alias("text")
-    )
+    return page_text.select(*KEY, joined.alias("text"))
+
+
+def write_reading_order(page_text: DataFrame, path: str) -> None:
+    """One folder per revision whose part files, in name order, are its text."""
+    ordered = reading_order_text(page_text).orderBy(*KEY).select("revision_id", "text")
+    ordered.write.mode("error").partitionBy("revision_id").text(path)

@@ -100,16 +100,16 @@ def format_bytes_query(spark, sf_dir):
 
 
 def _flushes(spark, sf_dir) -> DataFrame:
-    """One flush per tenth document, some by a user who does not own it."""
-    return fx.table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").selectExpr(
+    """One flush per document, every third by a user who does not own it."""
+    return fx.table(spark, sf_dir, "customer").selectExpr(
         "c_custkey + 90000000 AS revision_id", "c_custkey AS document_id",
-        "(c_custkey + CASE WHEN c_custkey % 30 = 0 THEN 1 ELSE 0 END) % 1000 AS user_id",
+        "(c_custkey + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) % 1000 AS user_id",
         "c_custkey * 2 AS base_revision_id", "'autosave' AS label", "c_custkey * 10 AS byte_size",
     )
 
 
 FLUSHED = """flushed AS (SELECT c_custkey + 90000000 AS revision_id, c_custkey AS document_id, c_custkey * 2 AS flush_of,
-    c_custkey * 10 AS byte_size FROM customer WHERE c_custkey % 10 = 0 AND c_custkey % 30 <> 0)"""
+    c_custkey * 10 AS byte_size FROM customer WHERE c_custkey % 3 <> 0)"""
 
 
 @query(

@@ -373,11 +373,10 @@ def mark_has_text(spark, sf_dir):
 
 @query(
     "reading_order_text",
-    with_views("spans", """SELECT revision_id, string_agg(t, chr(10) ORDER BY page_index) AS text FROM (
-        SELECT revision_id, page_index, string_agg(text, '' ORDER BY ord) AS t FROM spans GROUP BY 1, 2) GROUP BY 1"""),
+    with_views("spans", "SELECT revision_id, page_index, string_agg(text, '' ORDER BY ord) AS text FROM spans GROUP BY 1, 2"),
 )
 def reading_order_text(spark, sf_dir):
-    return text_table.document_text(fx.page_text(spark, sf_dir))
+    return text_table.reading_order_text(fx.page_text(spark, sf_dir))
 
 
 @query(

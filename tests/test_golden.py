@@ -353,3 +353,12 @@ def test_translation_uses_the_cache_once(spark):
 
     got = {r.page: (r.translated, r.error) for r in reports.translated_pages(texts, cache, provider).collect()}
     assert got == {1: ("A", None), 2: ("A", None), 3: ("", None), 4: (None, "no"), 5: ("bekannt", None)}
+
+
+def test_reading_order_files(spark, tmp_path):
+    import glob
+
+    book = one_page(spark, "a", "b").unionByName(one_page(spark, "c", "d").withColumn("page_index", F.lit(1)))
+    text_table.write_reading_order(book, str(tmp_path / "texts"))
+    parts = sorted(glob.glob(str(tmp_path / "texts" / "revision_id=1" / "part-*")))
+    assert "".join(open(p).read() for p in parts) == "ab\ncd\n"
