@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,13 +173,16 @@ def lcs_runs(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     return [tuple(run) for run in runs]
 
 
-@F.pandas_udf(RUNS)
-def _align(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_runs(list(x), list(y)) for x, y in zip(a, b)])
+ARROW_RUNS = pa.list_(pa.struct([("class", pa.string()), ("first", pa.int32()), ("size", pa.int32())]))
 
 
-# else the optimizer copies the call into a filter below the explode and runs it twice
-_aligned = _align.asNondeterministic()
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace the key columns by the runs; the other columns pass as they are."""
+    for batch in batches:
+        a, b = batch.column("keys_a").to_pylist(), batch.column("keys_b").to_pylist()
+        runs = [[dict(zip(("class", "first", "size"), run)) for run in lcs_runs(x, y)] for x, y in zip(a, b)]
+        kept = batch.drop_columns(["keys_a", "keys_b"])
+        yield kept.append_column("runs", pa.array(runs, type=ARROW_RUNS))
 
 
 def text_diff(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -189,9 +193,10 @@ def text_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     changed = page_pairs(left, right).where(F.col("content_a") != F.col("content_b"))
     pairs = changed.select(*KEY, _words(F.col("spans_a")).alias("a"), _words(F.col("spans_b")).alias("b"))
-    keys = lambda words: F.transform(words, lambda w: w["key"])
-    runs = pairs.withColumn("runs", _aligned(keys("a"), keys("b")))
-    exploded = runs.select(*KEY, "a", "b", F.posexplode("runs").alias("change", "r"))
+    keys = lambda side: F.transform(side, lambda w: w["key"]).alias(f"keys_{side}")
+    schema = T.StructType([*pairs.schema.fields, T.StructField("runs", RUNS)])
+    runs = pairs.select("*", keys("a"), keys("b")).mapInArrow(_align, schema)
+    exploded = positions(runs, [*KEY, "a", "b"], F.col("runs"), "change", "r")
     side = F.when(F.col("r.class") == "deleted", F.col("a")).otherwise(F.col("b"))
     words = exploded.select(
         *KEY, "change", F.col("r.class").alias("class"), F.slice(side, F.col("r.first") + 1, F.col("r.size")).alias("w")
