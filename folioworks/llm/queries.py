@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from folioworks.llm import langid, quality, simhash
+from folioworks.llm import langid, mixing, quality, rules, sharding, simhash
 from folioworks.llm.common import crc_fold, table
 
 QUERIES = {}
@@ -42,3 +44,62 @@ def op6(spark, sf_dir):
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     scored = docs.select("doc_id", held_out.alias("held_out"), model.score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+@query("op7_mixing")
+def op7(spark, sf_dir):
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return planned.select(
+        "doc_id", "source", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken")
+    )
+
+
+@query("op8_sharding")
+def op8(spark, sf_dir):
+    placed = sharding.assign(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Base counts in SQL; the verdict repeats the sketches with the same buckets.
+RULES_SQL = rf"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
+tri AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, t) AS c FROM tri) WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, i + unnest([0, 1, 2]) AS p FROM rep) GROUP BY rid),
+ln AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^ 	-]') GROUP BY rid),
+m AS (SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(array_to_string(ws, ''), '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(length(regexp_replace(array_to_string(ws, ''), '[\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')) AS BIGINT) AS n_marks,
+    CAST(length(regexp_replace(array_to_string(ws, ''), '[^\p{{Lu}}]+', '', 'g')) AS BIGINT) AS n_upper,
+    CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines
+  FROM w LEFT JOIN cov USING (rid) LEFT JOIN ln USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+r AS (SELECT *, unnest([{", ".join(
+    f"{{{{'rate': '{k}', 'v': CASE WHEN {u} > 0 THEN 1000 * {o} // {u} ELSE 0 END, 'width': {w}}}}}" for k, (o, u, w) in rules.RATES.items()
+)}], recursive := true) FROM b),
+k AS (SELECT lang, source, rate, width, CAST(ceil(ln(v + 1) / {math.log(rules.GAMMA)!r}) AS INTEGER) AS bucket FROM r WHERE NOT base_failed),
+q AS (SELECT lang, source, rate, grouping(lang) + grouping(source) AS lvl, max(width) AS width, count(*) AS n,
+    2 * pow({rules.GAMMA!r}, quantile_disc(bucket, 0.25)) / ({rules.GAMMA!r} + 1) - 1 AS q25,
+    2 * pow({rules.GAMMA!r}, quantile_disc(bucket, 0.75)) / ({rules.GAMMA!r} + 1) - 1 AS q75
+  FROM k GROUP BY GROUPING SETS ((lang, source, rate), (lang, rate), (rate))),
+l AS (SELECT *, q75 + 3.0 * greatest(q75 - q25, width) AS lim FROM q),
+v AS (SELECT r.doc_id, bool_or(coalesce(r.v > CASE WHEN o.n >= 200 THEN o.lim WHEN g.n >= 200 THEN g.lim ELSE a.lim END, false)) AS over
+  FROM r LEFT JOIN l o ON o.lvl = 0 AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source AND o.rate = r.rate
+  LEFT JOIN l g ON g.lvl = 1 AND g.lang IS NOT DISTINCT FROM r.lang AND g.rate = r.rate
+  LEFT JOIN l a ON a.lvl = 2 AND a.rate = r.rate GROUP BY r.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept
+FROM b JOIN v USING (doc_id)
+"""
+
+
+@query("op9_quality_rules", RULES_SQL)
+def op9(spark, sf_dir):
+    return rules.judge(table(spark, sf_dir, "documents")).drop("failed")

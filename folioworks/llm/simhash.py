@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from folioworks.llm.common import cut, free_name
 from folioworks.llm.components import components
+from folioworks.session import spread_partitions
 
 BITS = 64
 #: Shingles hashed at a time, so that a very long text needs bounded memory besides itself.
@@ -84,7 +85,9 @@ def _signatures(fps: DataFrame, max_bits: int) -> DataFrame:
     keys = F.array(
         *[F.struct(F.lit(i).alias("mark"), F.lit(p).alias("wild"), F.lit(_signed(m)).alias("mask")) for i, (p, m) in enumerate(masks)]
     )
-    rows = fps.select("fp", F.explode(keys).alias("_k"))
+    # few bytes become many rows here, so the partition count is set and not left to be merged by size
+    spread = fps.repartition(spread_partitions(fps.sparkSession), "fp")
+    rows = spread.select("fp", F.explode(keys).alias("_k"))
     return rows.select("fp", "_k.wild", "_k.mark", F.xxhash64(F.col("_k.mark"), F.col("fp").bitwiseAND(F.col("_k.mask"))).alias("sig"))
 
 
