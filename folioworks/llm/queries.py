@@ -72,7 +72,8 @@ tri AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, t) AS c FROM tri) WHERE c > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, i + unnest([0, 1, 2]) AS p FROM rep) GROUP BY rid),
 ln AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
-  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^ 	-]') GROUP BY rid),
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^ 	-
+]') GROUP BY rid),
 m AS (SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(array_to_string(ws, ''), '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
@@ -83,7 +84,7 @@ m AS (SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
   FROM w LEFT JOIN cov USING (rid) LEFT JOIN ln USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 r AS (SELECT *, unnest([{", ".join(
-    f"{{{{'rate': '{k}', 'v': CASE WHEN {u} > 0 THEN 1000 * {o} // {u} ELSE 0 END, 'width': {w}}}}}" for k, (o, u, w) in rules.RATES.items()
+    f"{{'rate': '{k}', 'v': CASE WHEN {u} > 0 THEN 1000 * {o} // {u} ELSE 0 END, 'width': {w}}}" for k, (o, u, w) in rules.RATES.items()
 )}], recursive := true) FROM b),
 k AS (SELECT lang, source, rate, width, CAST(ceil(ln(v + 1) / {math.log(rules.GAMMA)!r}) AS INTEGER) AS bucket FROM r WHERE NOT base_failed),
 q AS (SELECT lang, source, rate, grouping(lang) + grouping(source) AS lvl, max(width) AS width, count(*) AS n,
