@@ -34,6 +34,7 @@ from folioworks.llm.common import cut
 
 UNDETERMINED = "und"
 PAD, GAP = 0, 1
+SLICE = 256
 
 
 def normalise(text: str) -> str:
@@ -145,7 +146,7 @@ def fit(
 class Parser:
     """Phrase counts of texts."""
 
-    def __init__(self, model: Model, kept: dict | None = None, lane: int = 512, group_chars: int = 1 << 20):
+    def __init__(self, model: Model, kept: dict | None = None, lane: int = 512, group_chars: int = 1 << 18):
         """kept: a dictionary that outlives the task and keeps the class of every code point."""
         self.model, self.lane, self.group = model, lane, group_chars
         kept = {} if kept is None else kept
@@ -216,13 +217,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "l
         kept = shared.value
         parser = Parser(Model(kept["langs"], kept["letters"], kept["tables"]), kept)
         for texts in batches:
-            letters, phrases = parser.counts(texts.to_pylist())
-            best = phrases.argmin(axis=1)
-            score = 1 / np.exp(-np.minimum(phrases - phrases.min(axis=1, keepdims=True), 700)).sum(axis=1)
-            found = [
-                {"lang": parser.model.langs[b], "score": float(s)} if n else {"lang": UNDETERMINED, "score": 0.0}
-                for n, b, s in zip(letters, best, score, strict=True)
-            ]
+            found = []
+            for at in range(0, len(texts), SLICE):  # few Python strings at a time
+                letters, phrases = parser.counts(texts.slice(at, SLICE).to_pylist())
+                best = phrases.argmin(axis=1)
+                score = 1 / np.exp(-np.minimum(phrases - phrases.min(axis=1, keepdims=True), 700)).sum(axis=1)
+                found += [
+                    {"lang": parser.model.langs[b], "score": float(s)} if n else {"lang": UNDETERMINED, "score": 0.0}
+                    for n, b, s in zip(letters, best, score, strict=True)
+                ]
             yield pa.array(found, arrow)
 
     return docs.withColumn(out, run(F.col(text_col).cast("string")))
