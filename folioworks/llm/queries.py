@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from folioworks.llm import chat, langid, mixing, quality, rules, sharding, simhash
+from folioworks.llm import chat, langid, mixing, pii, quality, rules, sharding, simhash
 from folioworks.llm.common import crc_fold, cut, table
 
 QUERIES = {}
@@ -130,3 +130,9 @@ def op2(spark, sf_dir):
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), (F.col("id") + 1).cast("int")).alias("role"), F.lit(FORGED).alias("text")
     )
     return chat.digest(cut(chat.format_log(chat.as_log(rows.unionByName(forged)))))
+
+
+@query("op4_pii_surrogates")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, pii.session_key(spark), count_col="n_mentions")
