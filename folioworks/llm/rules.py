@@ -143,10 +143,10 @@ def thresholds(sketch: DataFrame, min_rows: int = 200, reach: float = 3.0) -> Da
     """(lang, source, limits): own limits where enough rows were sketched, else the language's, else everything's."""
     own = _limits(sketch, ["lang", "source"], reach)
     lang = _limits(sketch, ["lang"], reach).select(F.col("lang").alias("_lang"), F.col("rows").alias("_n"), F.col("limits").alias("_l"))
-    # every lang and source meets the one row of the whole through a constant key
-    whole = _limits(sketch.withColumn("one", F.lit(1)), ["one"], reach).select("one", F.col("limits").alias("_w"))
-    found = own.join(lang, own["lang"].eqNullSafe(lang["_lang"]), "left").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one", "left")
-    limits = F.when(F.col("rows") >= min_rows, F.col("limits")).when(F.col("_n") >= min_rows, F.col("_l")).otherwise(F.col("_w"))
+    whole = _limits(sketch.withColumn("one", F.lit(1)), ["one"], reach).first()  # one number per rate
+    default = F.create_map(*[F.lit(x) for pair in sorted((whole["limits"] if whole else {}).items()) for x in pair])
+    found = own.join(lang, own["lang"].eqNullSafe(lang["_lang"]), "left")
+    limits = F.when(F.col("rows") >= min_rows, F.col("limits")).when(F.col("_n") >= min_rows, F.col("_l")).otherwise(default)
     return found.select("lang", "source", limits.alias("limits"))
 
 
