@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from folioworks.llm import chat, langid, mixing, pieces, pii, quality, rules, sharding, simhash
+from folioworks.llm import chat, langid, mixing, neardup, pieces, pii, quality, rules, sharding, simhash
 from folioworks.llm.common import crc_fold, cut, table
 
 QUERIES = {}
@@ -143,3 +143,8 @@ def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = pieces.encode(docs, model=pieces.session_model(spark), n_best=4, keep=["doc_id"], check=True)
     return coded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "score", "other_scores", "decodes")
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
