@@ -9,7 +9,6 @@ from folioworks.plans.folds import Threshold, fold_rows
 from folioworks.plans.ordered import ordered_columns
 from folioworks.session import ensure_checkpoint_dir
 
-MAX_SOURCES = 12
 NO_PAGES = "cast(array() as array<int>)"
 
 
@@ -216,36 +215,26 @@ def extract_pages(requests: DataFrame) -> DataFrame:
 # ── merge ───────────────────────────────────────────────────────────────────
 
 
-def page_offsets(sources: DataFrame) -> DataFrame:
+def page_offsets(sources: DataFrame, max_sources: int | None = None) -> DataFrame:
     """Add `page_offset` (pages before each source) and `error`.
 
-    `sources` holds (merge_id, ord, page_count). Over-long merges are set aside
-    by a count first, so the ordered part sees at most twelve rows per merge.
+    `sources` holds (merge_id, ord, page_count), ord unique in a merge. With max_sources, merges of more sources get
+    an error in place of their offsets; without it any number is placed.
     """
-    counts = sources.groupBy("merge_id").agg(F.count(F.lit(1)).alias("_sources"))
-    too_long = counts.where(F.col("_sources") > MAX_SOURCES)
-    fine = sources.join(too_long, "merge_id", "left_anti")
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "page_count", F.struct(*sources.columns).alias("row"))))
-    merged = fine.groupBy("merge_id").agg(ordered.alias("s"))
-    placed = merged.select(
-        F.explode(
-            F.transform(
-                "s",
-                lambda x, i: F.struct(
-                    x["row"].alias("row"),
-                    F.aggregate(
-                        F.slice("s", 1, i), F.lit(0).cast("bigint"), lambda a, y: a + y["page_count"]
-                    ).alias("page_offset"),
-                ),
-            )
-        ).alias("p")
-    ).select("p.row.*", "p.page_offset", F.lit(None).cast("string").alias("error"))
-    failed = sources.join(too_long, "merge_id").select(
+    placed = ordered_columns(sources, ["merge_id"], ["ord"], sums={"_upto": "page_count"})
+    offset = (F.col("_upto") - F.col("page_count")).cast("bigint")
+    if max_sources is None:
+        return placed.select(*sources.columns, offset.alias("page_offset"), F.lit(None).cast("string").alias("error"))
+    counts = sources.groupBy("merge_id").agg(F.count(F.lit(1)).alias("_sources")).where(F.col("_sources") > max_sources)
+    over = counts.select(F.col("merge_id").alias("_merge"), "_sources")
+    placed = placed.join(over, placed["merge_id"].eqNullSafe(over["_merge"]), "left")
+    return placed.select(
         *sources.columns,
-        F.lit(None).cast("bigint").alias("page_offset"),
-        F.format_string("too many sources: %d (at most %d)", "_sources", F.lit(MAX_SOURCES)).alias("error"),
+        F.when(F.col("_sources").isNull(), offset).alias("page_offset"),
+        F.when(
+            F.col("_sources").isNotNull(), F.format_string("too many sources: %d (at most %d)", "_sources", F.lit(max_sources))
+        ).alias("error"),
     )
-    return placed.unionByName(failed)
 
 
 def page_labels(placed: DataFrame, continue_numbering: bool) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.functions.text import running_starts
 from folioworks.plans.rows import positions
 from folioworks.session import ensure_checkpoint_dir
 
@@ -100,21 +101,47 @@ def redact_marks(pages: DataFrame, marks: DataFrame) -> DataFrame:
     ).drop("hidden")
 
 
+def _woven(text: Column, pattern: str) -> Column:
+    """The text with every match masked character by character, so its length stays."""
+    masked = F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), mask), F.array(F.lit("")))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("p"), masked.alias("m"))
+    return F.array_join(F.transform(pairs, lambda x: F.concat(x["p"], x["m"])), "")
+
+
+def _darker(a: Column, b: Column) -> Column:
+    """Two masked forms of one text laid over each other."""
+    both = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == "█", x).otherwise(y))
+    return F.when(a == b, a).otherwise(F.array_join(both, ""))
+
+
 def redact_pattern(pages: DataFrame, pattern: str) -> DataFrame:
-    """Pages with every match in the content masked character by character.
+    """Pages with every match masked character by character, in span texts and content.
 
-    Pieces and matches alternate, so joining masked matches between the pieces
-    gives back a text of the same length.
+    A match counts in the spans joined directly, as the detectors see them, and in the content, where line breaks
+    stand between them; what either way finds is masked in its spans, and the content is made from the masked spans.
+    Pages without spans have their content masked.
     """
-    pieces = F.split("content", pattern, -1)
-    found = F.regexp_extract_all("content", F.lit(pattern), F.lit(0))
-    masked = F.concat(F.transform(found, mask), F.array(F.lit("")))
-    woven = F.array_join(
-        F.transform(F.arrays_zip(pieces.alias("p"), masked.alias("m")), lambda x: F.concat(x["p"], x["m"])), ""
-    )
-    return pages.withColumn(
-        "content", F.when(F.col("content").rlike(pattern), woven).otherwise(F.col("content"))
+    keep = [F.col(c) for c in pages.columns]
+    texts = F.transform("spans", lambda s: F.coalesce(s["text"], F.lit("")))
+    df = pages.select(*keep, texts.alias("_texts"))
+    df = df.select(*keep, "_texts", F.array_join("_texts", "").alias("_joined"), F.array_join("_texts", "\n").alias("_lined"))
+    hit = F.col("_joined").rlike(pattern) | F.col("_lined").rlike(pattern)
+    df = df.withColumns({"_hit": hit, "_direct": _woven(F.col("_joined"), pattern), "_lines": _woven(F.col("_lined"), pattern)})
+    df = df.withColumn("_starts", running_starts(F.transform("_texts", F.length)))
+    cut = F.transform(
+        "_texts",
+        lambda t, i: _darker(
+            F.substring(F.col("_direct"), F.get("_starts", i) + 1, F.length(t)),
+            F.substring(F.col("_lines"), F.get("_starts", i) + i + 1, F.length(t)),
+        ),
     )
+    df = df.withColumn("_cut", F.when(F.col("_hit"), cut).otherwise(F.col("_texts")))
+    spans = F.transform("spans", lambda s, i: F.when(F.col("_hit"), s.withField("text", F.get("_cut", i))).otherwise(s))
+    without = F.coalesce(F.size("spans"), F.lit(0)) <= 0
+    content = F.when(without & F.col("content").rlike(pattern), _woven(F.col("content"), pattern))
+    content = content.when(~without & F.col("_hit"), F.array_join("_cut", "\n")).otherwise(F.col("content"))
+    new = {"spans": spans.alias("spans"), "content": content.alias("content")}
+    return df.select(*[new.get(c, F.col(c)) for c in pages.columns])
 
 
 def _gram(length: Column) -> Column:
@@ -135,31 +162,37 @@ def _page_grams(content: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(*[_grams_of(content, size) for size in GRAMS])))
 
 
+def _joined_spans(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.coalesce(s["text"], F.lit(""))), "")
+
+
 def verify_absent(redacted: DataFrame, strings: DataFrame) -> DataFrame:
-    """Redacted texts that can still be read somewhere in their document.
+    """Redacted texts that can still be read somewhere in their document, in content or spans.
 
     Returns (revision_id, page_index, text, found_on, same_page): a survivor on
     its own page means the mark failed, one on another page is a repeat. The
-    text's first characters are the join key, so only pages that hold them are
-    compared with it.
+    text's first characters are the join key: only keys are exploded and
+    shuffled, and only pages that hold one are joined back to their text.
     """
     ensure_checkpoint_dir(strings.sparkSession)
     # read three times below
     wanted = strings.where(F.col("text") != "").distinct().checkpoint()
     size = _gram(F.length("text"))
     anchored = wanted.withColumn("anchor", F.xxhash64(F.substring(F.col("text"), F.lit(1), size)))
-    affected = redacted.join(wanted.select("revision_id").distinct(), "revision_id", "left_semi")
-    grams = positions(
-        affected, ["revision_id", F.col("page_index").alias("found_on"), "content"],
-        _page_grams(F.col("content")), "_", "anchor",
-    ).join(anchored.select("revision_id", "anchor").distinct(), ["revision_id", "anchor"], "left_semi")
+    pages = redacted.select(
+        "revision_id", F.col("page_index").alias("found_on"), "content", _joined_spans(F.col("spans")).alias("joined")
+    ).join(wanted.select("revision_id").distinct(), "revision_id", "left_semi")
+    readable = F.array_union(_page_grams(F.coalesce("content", F.lit(""))), _page_grams(F.coalesce("joined", F.lit(""))))
+    grams = positions(pages, ["revision_id", "found_on"], readable, "_", "anchor").drop("_")
+    likely = grams.join(anchored, ["revision_id", "anchor"]).drop("anchor").distinct()
     return (
-        grams.join(anchored, ["revision_id", "anchor"])
-        .where(F.contains("content", "text"))
+        likely.join(pages, ["revision_id", "found_on"])
+        .where(F.contains("content", "text") | F.coalesce(F.contains("joined", "text"), F.lit(False)))
         .select(
             "revision_id", "page_index", "text", "found_on",
             (F.col("found_on") == F.col("page_index")).alias("same_page"),
         )
+        .distinct()
     )
 
 

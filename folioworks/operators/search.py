@@ -68,16 +68,16 @@ def _placed(spans: Column, gap: int) -> Column:
     )
 
 
-def span_at(spans: Column, offset: Column) -> Column:
-    """Bounds of the span holding an offset of the newline-joined text, else null."""
-    holding = F.filter(_placed(spans, 1), lambda p: (p["start"] <= offset) & (offset < p["end"]))
+def span_at(placed: Column, offset: Column) -> Column:
+    """Bounds of the placed span that holds an offset, else null."""
+    holding = F.filter(placed, lambda p: (p["start"] <= offset) & (offset < p["end"]))
     return F.get(holding, F.lit(0))["bounds"]
 
 
-def box_over(spans: Column, start: Column, length: Column) -> Column:
-    """Union of the boxes of the spans under a range of the directly joined text."""
+def box_over(placed: Column, start: Column, length: Column) -> Column:
+    """Union of the boxes of the placed spans under a range."""
     boxes = F.transform(
-        F.filter(_placed(spans, 0), lambda p: (p["start"] < start + length) & (p["end"] > start)),
+        F.filter(placed, lambda p: (p["start"] < start + length) & (p["end"] > start)),
         lambda p: p["bounds"],
     )
     zero = F.lit(0.0)
@@ -104,10 +104,11 @@ def search(
         pages = pages.where(F.col("page_index") == page - 1)
     pattern = literal_pattern(query, match_case, whole_word)
     content = F.col("content")
+    # spans are placed once per page, below the explode, not once per hit
     cut = pages.where(content.rlike(pattern)).select(
-        "revision_id", "page_index", "content", "spans", *cut_at(content, pattern)
+        "revision_id", "page_index", "content", _placed(F.col("spans"), 1).alias("placed"), *cut_at(content, pattern)
     )
-    keep = ["revision_id", "page_index", "content", "spans"]
+    keep = ["revision_id", "page_index", "content", "placed"]
     hits = positions(cut, keep, matches(F.col("_m"), F.col("_p")), "hit", "m")
     offset, length = F.col("m.start"), F.length("m.text")
     return hits.select(
@@ -116,7 +117,7 @@ def search(
         "hit",
         offset.alias("offset"),
         trimmed(F.replace(around(content, offset, length, 30, 30), F.lit("\n"), F.lit(" "))).alias("snippet"),
-        span_at(F.col("spans"), offset).alias("bounds"),
+        span_at(F.col("placed"), offset).alias("bounds"),
     )
 
 
@@ -153,16 +154,22 @@ def _pattern_hits(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
         "revision_id", "page_index", "spans", F.array_join(_texts(F.col("spans")), "").alias("joined")
     )
     joined = F.col("joined")
-    any_hit = F.lit(False)
+    found = []
     for name, pattern in patterns.items():
-        hit = joined.rlike(pattern)
-        any_hit = any_hit | (joined.rlike(HINTS[name]) & hit if name in HINTS else hit)
-    cuts = F.array(
-        *[F.struct(F.lit(name).alias("preset"), *cut_at(joined, p)) for name, p in patterns.items()]
+        all_of = F.regexp_extract_all(joined, F.lit(pattern), F.lit(0))
+        # without its hint a text is not searched
+        all_of = F.when(joined.rlike(HINTS[name]), all_of) if name in HINTS else all_of
+        found.append(F.struct(F.lit(name).alias("preset"), all_of.alias("_m")))
+    hit = positions(texts, ["revision_id", "page_index", "spans", "joined"], F.array(*found), "_", "f").where(F.size("f._m") > 0)
+    pieces = F.lit(None).cast("array<string>")
+    for name, pattern in patterns.items():
+        pieces = F.when(F.col("f.preset") == name, F.split(joined, pattern, -1)).otherwise(pieces)
+    # spans are placed once per page and detector, below the explode, not once per hit
+    keep = ["revision_id", "page_index", "joined", "placed", "preset"]
+    cut = hit.select(
+        "revision_id", "page_index", "joined", _placed(F.col("spans"), 0).alias("placed"), "f.preset", "f._m", pieces.alias("_p")
     )
-    keep = ["revision_id", "page_index", "spans", "joined"]
-    found = positions(texts.where(any_hit), keep, cuts, "_", "f").where(F.size("f._m") > 0)
-    hits = positions(found, [*keep, "f.preset"], matches(F.col("f._m"), F.col("f._p")), "i", "m")
+    hits = positions(cut, keep, matches(F.col("_m"), F.col("_p")), "i", "m")
     start, length = F.col("m.start"), F.length("m.text")
     return hits.select(
         "revision_id",
@@ -172,7 +179,7 @@ def _pattern_hits(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
         start.alias("offset"),
         F.col("m.text").alias("text"),
         collapsed(around(joined, start, length, 25, 40)).alias("snippet"),
-        box_over(F.col("spans"), start, length).alias("rect"),
+        box_over(F.col("placed"), start, length).alias("rect"),
     )
 
 

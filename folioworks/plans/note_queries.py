@@ -481,27 +481,36 @@ def sheet_grid(spark, sf_dir):
     return grid.select("sheet_id", "row", "is_header", F.size("cells").alias("width"), F.array_join("cells", "|").alias("cells"))
 
 
+# what a page's URL begins with, by its id, and the guard's answer; None keeps the page's own URL
+GUARDED = [
+    (None, None), ("http://localhost:80", "localhost"), ("https://10.1.2.3", "10"), ("http://user@172.20.0.1:8080", "172.16"),
+    ("http://172.32.0.1", None), ("http://192.168.1.1", "192.168"), ("http://127.8.0.1", "127"),
+    ("http://169.254.169.254", "169.254"), ("http://[::1]:81", "localhost"), ("https://[FD00::1]", "fc00"), ("http://[fe80::2]", "fe80"),
+    ("ftp://example.com", "ftp"), ("//example.com", urls.NO_SCHEME), ("http://", urls.NO_HOST), ("http://[0:0:0:0:0:0:0:1]", "::1"),
+    ("http://127.1", "127"), ("http://2130706433", "127"), ("http://0x7f.0.0.1", "127"), ("http://0177.0.0.1", "127"),
+    ("http://[::ffff:127.0.0.1]", "127"), ("http://[::ffff:a00:1]", "10"), ("http://[febf::1]", "fe80"), ("http://[0000:0000::1]", "::1"),
+    ("http://localhost.", "localhost"), ("http://0.1.2.3", "localhost"), ("http://[fdff:1::2]:8080", "fc00"), ("http://[2001:db8::1]", None),
+    ("http://172.15.255.255", None), ("http://172.1048577", "172.16"), ("http://10.example.com", None), ("http://[::]", "localhost"),
+    ("http://8.8.8.8", None),
+]
+
+
+def _sentence(answer: str | None) -> str:
+    if answer is None:
+        return "NULL"
+    text = "ftp".join(urls.BAD_SCHEME) if answer == "ftp" else urls.REFUSED.get(answer, answer)
+    return "'" + text.replace("'", "''") + "'"
+
+
 @query(
     "url_guard",
-    """SELECT page_id, CASE page_id % 16 WHEN 0 THEN NULL WHEN 1 THEN 'Requests to localhost are not allowed'
-            WHEN 2 THEN 'Requests to RFC1918 (10.0.0.0/8) addresses are not allowed'
-            WHEN 3 THEN 'Requests to RFC1918 (172.16.0.0/12) addresses are not allowed' WHEN 4 THEN NULL
-            WHEN 5 THEN 'Requests to RFC1918 (192.168.0.0/16) addresses are not allowed'
-            WHEN 6 THEN 'Requests to loopback addresses (127.0.0.0/8) are not allowed'
-            WHEN 7 THEN 'Requests to link-local addresses (169.254.0.0/16) are not allowed'
-            WHEN 8 THEN 'Requests to localhost are not allowed' WHEN 9 THEN 'Requests to unique-local IPv6 (fc00::/7) addresses are not allowed'
-            WHEN 10 THEN 'Requests to link-local IPv6 (fe80::/10) addresses are not allowed'
-            WHEN 11 THEN 'Scheme ''ftp'' is not allowed — only HTTP(S) URLs are accepted' WHEN 12 THEN 'URL is missing a scheme'
-            WHEN 13 THEN 'URL has no host' WHEN 14 THEN 'Requests to loopback (::1) are not allowed' END AS problem FROM pages""",
+    f"""SELECT page_id, CASE page_id % {len(GUARDED)}
+        {" ".join(f"WHEN {i} THEN {_sentence(answer)}" for i, (_, answer) in enumerate(GUARDED))} END AS problem FROM pages""",
 )
 def url_guard(spark, sf_dir):
-    prefixes = [
-        None, "http://localhost:80", "https://10.1.2.3", "http://user@172.20.0.1:8080", "http://172.32.0.1", "http://192.168.1.1",
-        "http://127.8.0.1", "http://169.254.169.254", "http://[::1]:81", "https://[FD00::1]", "http://[fe80::2]", "ftp://example.com",
-        "//example.com", "http://", "http://[0:0:0:0:0:0:0:1]", None,
-    ]
+    prefixes = [prefix for prefix, _ in GUARDED]
     table = F.array(*[F.lit(p) for p in prefixes])
     path = F.regexp_replace("url", r"^https?://[^/]*", "")
-    chosen = F.element_at(table, (F.col("page_id") % 16 + 1).cast("int"))
+    chosen = F.element_at(table, (F.col("page_id") % len(GUARDED) + 1).cast("int"))
     url = F.when(chosen.isNull(), F.col("url")).otherwise(F.concat(chosen, path))
     return fx.table(spark, sf_dir, "pages").select("page_id", urls.url_problem(url).alias("problem"))

@@ -221,19 +221,19 @@ def search_paths_agree(spark, sf_dir):
 
 
 def _accepted(hits: DataFrame) -> DataFrame:
-    """The reviewer's choice: hits whose text has an even length, and one unknown id."""
-    chosen = hits.where(F.length("text") % 2 == 0).select("revision_id", "preset", "hit_id")
+    """The reviewer's choice: all hits but short phone numbers, and one unknown id."""
+    chosen = hits.where(~((F.col("preset") == "phone") & (F.length("text") < 12))).select("revision_id", "preset", "hit_id")
     return chosen.unionByName(chosen.withColumn("hit_id", F.lit("srh-none")).distinct())
 
 
 def _marks(spark, sf_dir) -> DataFrame:
-    hits = search.preset_scan(fx.page_text(spark, sf_dir), ["email", "card"]).checkpoint()
+    hits = search.preset_scan(fx.page_text(spark, sf_dir)).checkpoint()
     # hits and marks are few, and every redaction step reads them again
     return redact.marks_for_hits(hits, _accepted(hits)).checkpoint()
 
 
-MARKS = f"""{JOINED}, found AS ({FOUND['email']} UNION ALL {FOUND['card']}), hits AS ({HITS}),
-    marks AS (SELECT DISTINCT revision_id, page_index, x0, y0, x1, y1 FROM hits WHERE length(text) % 2 = 0)"""
+MARKS = f"""{JOINED}, found AS ({ALL_FOUND}), hits AS ({HITS}),
+    marks AS (SELECT DISTINCT revision_id, page_index, x0, y0, x1, y1 FROM hits WHERE NOT (preset = 'phone' AND length(text) < 12))"""
 COVERED = """covered AS (SELECT DISTINCT s.revision_id, s.page_index, s.ord, s.text FROM spans s JOIN marks m
     ON s.revision_id = m.revision_id AND s.page_index = m.page_index AND least(s.x1, m.x1) > greatest(s.x0, m.x0)
     AND least(s.y1, m.y1) > greatest(s.y0, m.y0))"""
@@ -258,40 +258,62 @@ def spans_under_marks(spark, sf_dir):
     return redact.spans_under_marks(fx.page_text(spark, sf_dir), _marks(spark, sf_dir))
 
 
-@query("redact_marks", with_views("spans", f"WITH {MARKS}, {COVERED}, {REDACTED} FROM redacted"))
+def _with_spans(pages: DataFrame) -> DataFrame:
+    return pages.select("revision_id", "page_index", "content", F.array_join(F.col("spans.text"), "|").alias("span_texts"))
+
+
+@query(
+    "redact_marks",
+    with_views(
+        "spans",
+        f"""WITH {MARKS}, {COVERED}, {REDACTED} SELECT *, replace(content, chr(10), '|') AS span_texts FROM redacted""",
+    ),
+)
 def redact_marks(spark, sf_dir):
     pages = fx.page_text(spark, sf_dir)
-    return redact.redact_marks(pages, _marks(spark, sf_dir)).select("revision_id", "page_index", "content")
+    return _with_spans(redact.redact_marks(pages, _marks(spark, sf_dir)))
 
 
 @query(
     "redact_pattern",
     with_views(
         "page_text",
-        r"""SELECT revision_id, page_index, list_reduce(list_transform(range(len(p)), lambda k:
+        r"""SELECT *, replace(content, chr(10), '|') AS span_texts FROM (
+            SELECT revision_id, page_index, list_reduce(list_transform(range(len(p)), lambda k:
             p[k+1] || coalesce(repeat('█', CAST(length(m[k+1]) AS BIGINT)), '')), lambda a, x: a || x) AS content
         FROM (SELECT *, string_split_regex(content, '[0-9]+') AS p, regexp_extract_all(content, '[0-9]+') AS m
-              FROM page_text)""",
+              FROM page_text))""",
     ),
 )
 def redact_pattern(spark, sf_dir):
-    pages = fx.page_text(spark, sf_dir)
-    return redact.redact_pattern(pages, "[0-9]+").select("revision_id", "page_index", "content")
+    return _with_spans(redact.redact_pattern(fx.page_text(spark, sf_dir), "[0-9]+"))
+
+
+#: Every third document is left unredacted, so that the check has something to find.
+PARTLY = """partly AS (SELECT s.revision_id, s.page_index, string_agg(s.text, chr(10) ORDER BY s.ord) AS content
+    FROM spans s WHERE s.revision_id % 3 = 0 GROUP BY 1, 2 UNION ALL SELECT * FROM redacted WHERE revision_id % 3 <> 0)"""
+
+
+def _partly_redacted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(pages, texts under marks), with the marks applied in two of three documents."""
+    pages, marks = fx.page_text(spark, sf_dir), _marks(spark, sf_dir)
+    applied = redact.redact_marks(pages, marks.where(F.col("revision_id") % 3 != 0))
+    return applied, redact.spans_under_marks(pages, marks)
 
 
 @query(
     "redaction_survivors",
     with_views(
         "spans",
-        f"""WITH {MARKS}, {COVERED}, {REDACTED}
-        SELECT s.revision_id, s.page_index, s.text, r.page_index AS found_on, s.page_index = r.page_index AS same_page
+        f"""WITH {MARKS}, {COVERED}, {REDACTED}, {PARTLY}
+        SELECT DISTINCT s.revision_id, s.page_index, s.text, r.page_index AS found_on, s.page_index = r.page_index AS same_page
         FROM (SELECT DISTINCT revision_id, page_index, text FROM covered WHERE text <> '') s
-        JOIN redacted r ON r.revision_id = s.revision_id AND contains(r.content, s.text)""",
+        JOIN partly r ON r.revision_id = s.revision_id
+            AND (contains(r.content, s.text) OR contains(replace(r.content, chr(10), ''), s.text))""",
     ),
 )
 def redaction_survivors(spark, sf_dir):
-    pages, marks = fx.page_text(spark, sf_dir), _marks(spark, sf_dir)
-    return redact.verify_absent(redact.redact_marks(pages, marks), redact.spans_under_marks(pages, marks))
+    return redact.verify_absent(*_partly_redacted(spark, sf_dir))
 
 
 @query(
@@ -301,7 +323,8 @@ def redaction_survivors(spark, sf_dir):
         f"""WITH {MARKS}, {COVERED}
         SELECT s.revision_id, s.page_index, s.text, r.page_index AS found_on, s.page_index = r.page_index AS same_page
         FROM (SELECT DISTINCT revision_id, page_index, text FROM covered WHERE text <> '') s
-        JOIN page_text r ON r.revision_id = s.revision_id AND contains(r.content, s.text)""",
+        JOIN page_text r ON r.revision_id = s.revision_id
+            AND (contains(r.content, s.text) OR contains(replace(r.content, chr(10), ''), s.text))""",
     ),
 )
 def failed_redaction_survivors(spark, sf_dir):
@@ -314,16 +337,15 @@ def failed_redaction_survivors(spark, sf_dir):
     "release_gate",
     with_views(
         "spans",
-        f"""WITH {MARKS}, {COVERED}, {REDACTED}
-        SELECT revision_id, count(*) AS pages FROM redacted WHERE revision_id NOT IN (
-            SELECT s.revision_id FROM covered s JOIN redacted r ON r.revision_id = s.revision_id
-            AND s.text <> '' AND contains(r.content, s.text)) GROUP BY 1""",
+        f"""WITH {MARKS}, {COVERED}, {REDACTED}, {PARTLY}
+        SELECT revision_id, count(*) AS pages FROM partly WHERE revision_id NOT IN (
+            SELECT s.revision_id FROM covered s JOIN partly r ON r.revision_id = s.revision_id
+            AND s.text <> '' AND (contains(r.content, s.text) OR contains(replace(r.content, chr(10), ''), s.text))) GROUP BY 1""",
     ),
 )
 def release_gate(spark, sf_dir):
-    pages, marks = fx.page_text(spark, sf_dir), _marks(spark, sf_dir)
-    redacted = redact.redact_marks(pages, marks)
-    survivors = redact.verify_absent(redacted, redact.spans_under_marks(pages, marks))
+    redacted, texts = _partly_redacted(spark, sf_dir)
+    survivors = redact.verify_absent(redacted, texts)
     return redact.release_gate(redacted, survivors).groupBy("revision_id").agg(F.count("*").alias("pages"))
 
 
