@@ -1,10 +1,12 @@
 """Connected components of a distributed edge list.
 
-Every vertex starts as its own label. A round gives each root the smallest
-label seen across its edges, follows that pointer twice and renames the edges;
-edges inside one component drop out, so the list shrinks round by round. All
-steps are joins and combined aggregates on narrow rows: nothing is gathered per
-component, and the driver sees counts only.
+Every vertex starts as its own label. A round points each label at the smallest
+one beside it, follows the pointers to their ends by doubling and renames the
+edges; edges inside one component drop out. Only labels smaller than all beside
+them survive a round, at most half of those that have an edge, so rounds are
+logarithmic, and so are the doublings. All steps are joins and combined
+aggregates on narrow rows: nothing is gathered per component, and the driver
+sees counts only.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                                        F.struct(F.col("a").alias("root"), F.col("a").alias("to")))).alias("_"))
             .select("_.*").groupBy("root").agg(F.min("to").alias("to"))
         )
-        hook = cut(_jump(_jump(hook)))
+        hook = _ends(hook)
         labels = _follow(labels, "component", hook)
         e = _follow(_follow(e, "a", hook), "b", hook)
         e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
@@ -44,5 +46,9 @@ def _follow(df: DataFrame, column: str, hook: DataFrame) -> DataFrame:
     return found.withColumn(column, F.coalesce("_to", column)).drop("_root", "_to")
 
 
-def _jump(hook: DataFrame) -> DataFrame:
-    return _follow(hook, "to", hook)
+def _ends(hook: DataFrame) -> DataFrame:
+    """Pointers followed to their ends."""
+    while True:
+        hook = cut(_follow(hook.withColumn("was", F.col("to")), "to", hook))
+        if hook.where("to != was").isEmpty():
+            return hook.drop("was")
