@@ -46,7 +46,7 @@ def fold(events: DataFrame) -> DataFrame:
     # the parts of one message, which its final text is made of
     log = F.array_distinct(F.sort_array(F.collect_list(F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))))
     grouped = known.groupBy("conv_id", "message").agg(
-        F.min("seq").alias("at"), F.max_by("role", F.struct("seq", "kind", "role")).alias("role"), log.alias("log")
+        F.min("seq").alias("at"), F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "kind", "role"))).alias("role"), log.alias("log")
     )
     last = F.array_max(F.transform("log", lambda e, i: F.when(e["kind"] != "delta", i).otherwise(F.lit(0))))
     grouped = grouped.withColumn("last", last)
