@@ -348,6 +348,28 @@ def _round_trip(spark, sf_dir, fmt: str) -> DataFrame:
     return read.select("form_id", F.explode("values").alias("name", "value"))
 
 
+def _odd_names(spark, sf_dir) -> DataFrame:
+    """Names and values with characters that the formats have to escape, a dotted name and outer blanks."""
+    return fx.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("form_id"),
+        F.create_map(
+            F.lit('a & "b" (c)'), F.concat(F.lit(" "), "c_name", F.lit(", <x> \\ ("), "c_custkey", F.lit(" ")),
+            F.lit("group.part"), F.concat(F.lit('first\nsecond "'), "c_mktsegment", F.lit('"')),
+            F.lit("o'k"), F.concat(F.lit("'"), "c_custkey", F.lit("' & co)")),
+        ).alias("values"),
+    )
+
+
+ODD = r"""odd AS (SELECT c_custkey AS form_id, unnest(['a & "b" (c)', 'group.part', 'o''k']) AS name,
+    unnest([' ' || c_name || ', <x> \ (' || c_custkey || ' ', 'first' || chr(10) || 'second "' || c_mktsegment || '"',
+        chr(39) || c_custkey || chr(39) || ' & co)']) AS value FROM customer)"""
+
+
+def _odd_trip(spark, sf_dir, fmt: str) -> DataFrame:
+    read = forms.import_form_values(forms.export_form_values(_odd_names(spark, sf_dir), fmt), fmt)
+    return read.select("form_id", F.explode("values").alias("name", "value"))
+
+
 for _fmt, _sql in {
     "fdf": f"WITH {FORMS} FROM forms",
     "xfdf": f"WITH {FORMS} FROM forms",
@@ -355,6 +377,7 @@ for _fmt, _sql in {
     "csv": f"WITH {FORMS} FROM forms WHERE value <> ''",
 }.items():
     query(f"form_round_trip_{_fmt}", _sql)(lambda spark, sf_dir, fmt=_fmt: _round_trip(spark, sf_dir, fmt))
+    query(f"form_odd_trip_{_fmt}", f"WITH {ODD} FROM odd")(lambda spark, sf_dir, fmt=_fmt: _odd_trip(spark, sf_dir, fmt))
 
 
 @query(

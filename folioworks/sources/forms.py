@@ -2,120 +2,174 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioworks.functions.text import pdf_escape, trimmed, xml_escape, xml_unescape
+from folioworks.functions.text import pdf_escape, xml_escape
 from folioworks.operators.annotations import csv_cell
 
 FORMATS = ["fdf", "xfdf", "json", "csv"]
 EMPTY = "cast(map() as map<string,string>)"
+READ = T.StructType([T.StructField("values", T.MapType(T.StringType(), T.StringType())), T.StructField("error", T.StringType())])
 
-# a PDF string may nest parentheses, which no regular expression follows
-PDF_TOKEN = re.compile(r"\\(.)|([()])|([^\\()]+)|\\$", re.S)
-PDF_ESCAPES = {"n": "\n", "r": "\r", "t": "\t"}
-VALUE_START = re.compile(r"/V (\(|/([^ \n\r\t\]>]*))")
+# what an FDF text is made of; anything else in it is a plain word
+FDF_TOKEN = re.compile(r"%[^\n\r]*|<<|>>|[\[\](]|<[0-9A-Fa-f\s]*>|/[^\s()<>\[\]{}/%]*|[^\s()<>\[\]{}/%]+")
+PDF_STRING = re.compile(r"\\(\r\n|[0-7]{1,3}|.)|([()])|([^\\()]+)", re.S)
+PDF_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "\n": "", "\r": "", "\r\n": ""}
 
 
-def _pdf_string(text: str, start: int) -> tuple[str, int] | None:
-    """The string whose opening parenthesis ends at `start`, and where it ends."""
+class Broken(ValueError):
+    """A text that is not of its format."""
+
+
+def _pdf_string(text: str, start: int) -> tuple[str, int]:
+    """The string behind the opening parenthesis at `start` - 1, and where it ends; inner parentheses are part of it."""
     depth, out = 1, []
-    for token in PDF_TOKEN.finditer(text, start):
+    for token in PDF_STRING.finditer(text, start):
         escaped, paren, plain = token.groups()
         if paren:
             depth += 1 if paren == "(" else -1
             if depth == 0:
                 return "".join(out), token.end()
-        elif escaped is not None:
-            out.append(PDF_ESCAPES.get(escaped, escaped))
-        elif plain is not None:
-            out.append(plain)
-    return None
+        if escaped is not None:
+            octal = escaped[0] in "01234567"
+            out.append(chr(int(escaped, 8) & 255) if octal else PDF_ESCAPES.get(escaped, escaped))
+        else:
+            out.append(paren or plain)
+    raise Broken("string without an end")
+
+
+def _hex_string(token: str) -> str:
+    digits = "".join(token[1:-1].split())
+    data = bytes.fromhex(digits + "0" * (len(digits) % 2))
+    return data.decode("utf-16") if data[:2] in (b"\xfe\xff", b"\xff\xfe") else data.decode("latin-1")
 
 
 def fdf_pairs(text: str) -> dict[str, str]:
-    """Field names and values of an FDF text; reading stops at a broken string."""
+    """Field names and values of an FDF text.
+
+    /T and /V belong together inside one dictionary, or one after the other where fields are listed without
+    dictionaries; names of nested fields are joined by a dot. A field without /V has no value. Of a repeated name the
+    last value holds.
+    """
     pairs: dict[str, str] = {}
-    at = text.find("/T (")
-    while at >= 0:
-        name = _pdf_string(text, at + 4)
-        found = VALUE_START.search(text, name[1]) if name else None
-        if not found:
-            break
-        if found.group(2) is None:
-            value = _pdf_string(text, found.end())
-            if value is None:
-                break
-        else:
-            value = found.group(2), found.end()
-        pairs[name[0]] = value[0]
-        at = text.find("/T (", value[1])
+    levels: list[dict] = [{}]
+
+    def settle() -> None:
+        level = levels[-1]
+        if "T" in level and "V" in level:
+            name = ".".join(lv["T"] for lv in levels if "T" in lv)
+            pairs.pop(name, None)
+            pairs[name] = level["V"]
+        level.pop("V", None)
+
+    at, key, lists = 0, None, 0
+    while match := FDF_TOKEN.search(text, at):
+        token, at = match[0], match.end()
+        if token[0] == "%":
+            continue
+        value = None
+        if token == "(":
+            value, at = _pdf_string(text, at)
+        elif token[0] == "<" and token != "<<":
+            value = _hex_string(token)
+        elif token[0] == "/" and key == "V":
+            value = token[1:]
+        if value is not None and key:
+            if key == "T" and "T" in levels[-1]:  # fields listed without dictionaries: the next one begins
+                settle()
+            levels[-1][key] = value
+        elif token == "<<":
+            levels.append({})
+        elif token == ">>":
+            if len(levels) == 1:
+                raise Broken("dictionary without a beginning")
+            settle()
+            levels.pop()
+        elif token in "[]":
+            lists += 1 if token == "[" else -1
+        key = token[1:] if value is None and token in ("/T", "/V") else None
+    if len(levels) != 1 or lists:
+        raise Broken("dictionary or list without an end")
+    settle()
+    return pairs
+
+
+def xfdf_pairs(text: str) -> dict[str, str]:
+    """Field names and values of an XFDF text; names of nested fields are joined by a dot, fields without value left out."""
+    try:
+        root = ElementTree.fromstring(text.encode())
+    except ElementTree.ParseError as error:
+        raise Broken(str(error)) from error
+    pairs: dict[str, str] = {}
+    open_ = [(root, [])]
+    while open_:
+        node, names = open_.pop()
+        tag = node.tag.rpartition("}")[2]
+        if tag == "value" and names:
+            pairs.setdefault(".".join(names), node.text or "")  # read from the end, so the last one holds
+        names = [*names, node.get("name", "")] if tag == "field" else names
+        if tag != "annots":
+            open_ += [(child, names) for child in node]
     return pairs
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def _fdf_values(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else fdf_pairs(t))
+def csv_pairs(text: str) -> dict[str, str]:
+    """Field names and values of a CSV text: a record of names, a record of values; empty values are left out.
 
+    Quoted cells may hold commas, line breaks, doubled quotes and outer blanks.
+    """
+    try:
+        records = [r for r in csv.reader(io.StringIO(text, newline=""), skipinitialspace=True, strict=True) if r]
+    except csv.Error as error:
+        raise Broken(str(error)) from error
+    if len(records) < 2:
+        raise Broken("fewer than two records")
+    return {name.strip(): value for name, value in zip(records[0], records[1], strict=False) if value != ""}
 
-XFDF_FIELD = r'(?s)<field\s+name="([^"]*)"[^>]*>.*?<value>([^<]*)</value>.*?</field>'
 
+READERS = {"fdf": (fdf_pairs, "invalid_fdf"), "xfdf": (xfdf_pairs, "invalid_xfdf"), "csv": (csv_pairs, "unexpected_format")}
 
-def _last_wins(names: Column, values: Column) -> Column:
-    """A map of the pairs where a repeated name takes its last value."""
-    pairs = F.aggregate(
-        F.arrays_zip(names.alias("k"), values.alias("v")),
-        F.expr("cast(array() as array<struct<k:string,v:string>>)"),
-        lambda kept, p: F.concat(F.filter(kept, lambda q: q["k"] != p["k"]), F.array(p)),
-    )
-    return F.map_from_entries(pairs)
 
+def _reader(fmt: str):
+    pairs_of, broken = READERS[fmt]
 
-def _csv_cells(line: Column) -> Column:
-    """Cells of a CSV line; quoted cells may hold commas and doubled quotes."""
-    # a trailing comma makes every cell end the same way
-    cells = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'(\s*"(?:[^"]|"")*"\s*|[^,]*),'), F.lit(1))
+    def read(text):
+        if text is None:
+            return None, None
+        try:
+            return pairs_of(text), None
+        except Broken:
+            return None, broken
 
-    def clean(cell: Column) -> Column:
-        bare = trimmed(cell)
-        inner = F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"'))
-        return F.when(bare.rlike('(?s)^".*"$'), inner).otherwise(bare)
+    @F.pandas_udf(READ)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [read(t) for t in texts]
+        return pd.DataFrame({c: pd.Series([f[i] for f in found], dtype=object) for i, c in enumerate(("values", "error"))})
 
-    return F.transform(cells, clean)
+    return run
 
 
 def form_values(text: Column, fmt: str) -> Column:
-    """struct<values: map<string,string>, error: string> of one file's text."""
-    none = F.lit(None).cast("string")
-    if fmt == "fdf":
-        return F.struct(_fdf_values(text).alias("values"), none.alias("error"))
-    if fmt == "xfdf":
-        names = F.regexp_extract_all(text, F.lit(XFDF_FIELD), F.lit(1))
-        values = F.transform(F.regexp_extract_all(text, F.lit(XFDF_FIELD), F.lit(2)), xml_unescape)
-        return F.struct(_last_wins(names, values).alias("values"), none.alias("error"))
+    """struct<values: map<string,string>, error: string> of one file's text; a broken text has an error and no values."""
     if fmt == "json":
-        values = F.from_json(text, "map<string,string>")
-        valid = F.get_json_object(text, "$").isNotNull() | text.rlike(r"^\s*(null|true|false|-?[0-9.eE+]+|\".*\")\s*$")
-        error = F.when(text.rlike(r"^\s*\{") & values.isNotNull(), none).otherwise(
-            F.when(valid & ~text.rlike(r"^\s*\{"), "expected_object").otherwise("invalid_json")
-        )
+        # a whole valid text stays valid in front of one more member, whose name no text can contain
+        mark = F.md5(text)
+        framed = F.concat(F.lit('{"v":'), text, F.lit(',"'), mark, F.lit('":1}'))
+        valid = F.coalesce(F.call_function("get_json_object", framed, F.concat(F.lit("$."), mark)) == "1", F.lit(False))
+        values, is_object = F.from_json(text, "map<string,string>"), text.rlike(r"^\s*\{")
+        error = F.when(~valid | (is_object & values.isNull()), "invalid_json").when(~is_object, "expected_object")
+        error = F.when(text.isNotNull(), error)
         return F.struct(F.when(error.isNull(), values).alias("values"), error.alias("error"))
-    if fmt == "csv":
-        lines = F.filter(F.split(text, r"\r?\n"), lambda line: line != "")
-        names, cells = _csv_cells(F.get(lines, F.lit(0))), _csv_cells(F.get(lines, F.lit(1)))
-        pairs = F.filter(
-            F.slice(F.arrays_zip(names.alias("k"), cells.alias("v")), 1, F.least(F.size(names), F.size(cells))),
-            lambda p: p["v"] != "",
-        )
-        values = _last_wins(F.transform(pairs, lambda p: p["k"]), F.transform(pairs, lambda p: p["v"]))
-        short = F.size(lines) < 2
-        return F.struct(
-            F.when(~short, values).alias("values"), F.when(short, "unexpected_format").alias("error")
-        )
+    if fmt in READERS:
+        return _reader(fmt)(text)
     raise ValueError(f"unknown form format: {fmt}")
 
 
@@ -130,6 +184,19 @@ def read_form_files(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return import_form_values(texts, fmt)
 
 
+def _xml_text(value: Column) -> Column:
+    """Escaped, line breaks and tabs too, which an XML reader would change."""
+    out = xml_escape(value)
+    for char, code in [("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")]:
+        out = F.replace(out, F.lit(char), F.lit(code))
+    return out
+
+
+def _csv_cell(value: Column) -> Column:
+    """As in the other CSV files, and quoted when blanks begin or end the value."""
+    return F.when(value.rlike(r"^\s|\s$") & ~value.rlike('[,"\n\r]'), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(csv_cell(value))
+
+
 def form_text(values: Column, fmt: str) -> Column:
     """The text of a file with these values, names in order."""
     entries = F.array_sort(F.map_entries(values))
@@ -137,8 +204,8 @@ def form_text(values: Column, fmt: str) -> Column:
     if fmt == "json":
         return F.to_json(F.map_from_entries(entries))
     if fmt == "csv":
-        names = F.array_join(F.transform(entries, lambda e: csv_cell(e["key"])), ", ")
-        cells = F.array_join(F.transform(entries, lambda e: csv_cell(value(e))), ", ")
+        names = F.array_join(F.transform(entries, lambda e: _csv_cell(e["key"])), ", ")
+        cells = F.array_join(F.transform(entries, lambda e: _csv_cell(value(e))), ", ")
         return F.concat(names, F.lit("\n"), cells, F.lit("\n"))
     if fmt == "xfdf":
         head = (
@@ -146,7 +213,7 @@ def form_text(values: Column, fmt: str) -> Column:
             '<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">\n<fields>\n'
         )
         line = lambda e: F.format_string(
-            '  <field name="%s"><value>%s</value></field>\n', xml_escape(e["key"]), xml_escape(value(e))
+            '  <field name="%s"><value>%s</value></field>\n', _xml_text(e["key"]), _xml_text(value(e))
         )
         return F.concat(F.lit(head), F.array_join(F.transform(entries, line), ""), F.lit("</fields>\n</xfdf>\n"))
     if fmt == "fdf":

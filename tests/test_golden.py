@@ -88,6 +88,40 @@ def test_marks_masks_and_survivors(spark):
     assert redact.redact_pattern(page.where("page_index = 0"), r"\d+").first().content == "call me\nsecret ███\nbye"
 
 
+def test_pattern_redaction_leaves_nothing(spark):
+    mail, ssn = search.preset_pattern("email"), search.preset_pattern("ssn")
+    page = one_page(spark, "SSN 123-45-6789", "mail jane@ex", "ample.com now")
+    both = redact.redact_pattern(redact.redact_pattern(page, ssn), mail)
+    row = both.first()
+    assert [s.text for s in row.spans] == ["SSN ███████████", "mail ███████", "█████████ now"]
+    assert row.content == "\n".join(s.text for s in row.spans)
+    leak = page.withColumn("content", F.lit("SSN ███████████\nmail jane@ex\nample.com now"))
+    strings = spark.createDataFrame([(1, 0, "123-45-6789"), (1, 0, "jane@example.com"), (1, 0, "nothing")], "revision_id int, page_index int, text string")
+    assert {r.text for r in redact.verify_absent(leak, strings).collect()} == {"123-45-6789", "jane@example.com"}
+    assert redact.verify_absent(both, strings).count() == 0
+    bare = page.withColumn("spans", F.lit(None).cast(page.schema["spans"].dataType))
+    assert redact.redact_pattern(bare, ssn).first().content.startswith("SSN ███████████\n")
+
+
+def test_broken_and_nested_forms(spark):
+    def read(fmt, *texts):
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+        return [(r["values"], r.error) for r in forms.import_form_values(rows, fmt).orderBy("i").collect()]
+
+    nested = "<< /T (p) /Kids [<< /T (q) /V <4142> >> << /V /Off /T (r) >>] >>"
+    assert read("fdf", "/T (a) /T (b) /V (1)", "<</T(a)/V(1)>>", nested, "/T (a) /V (1", "<< /T (a)") == [
+        ({"b": "1"}, None), ({"a": "1"}, None), ({"p.q": "AB", "p.r": "Off"}, None), (None, "invalid_fdf"), (None, "invalid_fdf"),
+    ]
+    frame = "<xfdf><fields>{}</fields></xfdf>"
+    empty = frame.format("<field name='a'/><field name='b'><value>1</value></field>")
+    nested = frame.format('<field name="p"><field name="q&amp;"><value>x</value></field><field name="r"><value/></field></field>')
+    assert read("xfdf", empty, nested, "<xfdf><fields>") == [({"b": "1"}, None), ({"p.q&": "x", "p.r": ""}, None), (None, "invalid_xfdf")]
+    assert read("csv", 'a,b\n"x\ny", " z"\n', "a,b\n", 'a\n"x') == [({"a": "x\ny", "b": " z"}, None), (None, "unexpected_format"), (None, "unexpected_format")]
+    assert [e for _, e in read("json", '{"a":1} trailing', '{"a":1}] x', '{"a":1}', "12", '{"a":1}{"b":2}')] == [
+        "invalid_json", "invalid_json", None, "expected_object", "invalid_json",
+    ]
+
+
 def test_range_specs(spark):
     rows = spark.createDataFrame([("1-3,5", 10), ("1-99", 10), ("", 3), ("3-1", 9), ("0", 9), ("1-2-3", 9), ("x", 9), ("2,2,1", 9)], "spec string, page_count int")
     got = {r.spec: (r.pages, r.error) for r in pages.parse_ranges(rows).collect()}
@@ -213,8 +247,8 @@ def test_form_formats(spark, tmp_path):
         data = row if fmt != "csv" else row.withColumn("values", F.map_filter("values", lambda k, v: k != "line"))
         expected = data.first()["values"]
         if fmt == "fdf":
-            # unescaped parentheses inside a string are dropped, escaped ones stay
-            assert forms.fdf_pairs("/T (a (b) c) /V (x \\(y\\))") == {"a b c": "x (y)"}
+            # balanced parentheses are part of a string
+            assert forms.fdf_pairs("/T (a (b) c) /V (x \\(y\\))") == {"a (b) c": "x (y)"}
         read = forms.import_form_values(forms.export_form_values(data, fmt), fmt).first()
         assert read["values"] == expected and read.error is None, fmt
     bad = spark.createDataFrame([("[1]",), ("{",), ('{"a": "b"}',)], "text string")
