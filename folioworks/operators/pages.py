@@ -27,13 +27,24 @@ def page_selected(page_index: Column, mode: Column, first: Column, last: Column,
     )
 
 
+# What a broken page range is answered with.
+SPEC_ERRORS = {
+    "number": 'invalid page number "%s"',
+    "small": "page number %s must be ≥ 1",
+    "range": 'invalid range "%s"',
+    "reversed": "range %s is reversed (must be from ≤ to)",
+    "beyond": "page %d is out of range (document has %d pages)",
+    "none": "no ranges given",
+}
+
+
 def _number(text: Column) -> Column:
     """(value, error) of one page number in a spec."""
     value = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
     return F.struct(
         value.alias("value"),
-        F.when(value.isNull(), F.format_string('invalid page number "%s"', text))
-        .when(value < 1, F.format_string("page number %s must be ≥ 1", text))
+        F.when(value.isNull(), F.format_string(SPEC_ERRORS["number"], text))
+        .when(value < 1, F.format_string(SPEC_ERRORS["small"], text))
         .alias("error"),
     )
 
@@ -44,14 +55,12 @@ def _span_of(part: Column, page_count: Column) -> Column:
     a, b = _number(F.get(sides, F.lit(0))), _number(F.get(sides, F.lit(1)))
     single = F.size(sides) == 1
     top = F.when(single, a["value"]).otherwise(b["value"])
-    beyond = F.concat(
-        F.lit("page "), top, F.lit(" is out of range (document has "), page_count, F.lit(" pages)")
-    )
+    beyond = F.format_string(SPEC_ERRORS["beyond"], top, page_count)
     error = (
-        F.when(F.size(sides) > 2, F.format_string('invalid range "%s"', part))
+        F.when(F.size(sides) > 2, F.format_string(SPEC_ERRORS["range"], part))
         .when(a["error"].isNotNull(), a["error"])
         .when(~single & b["error"].isNotNull(), b["error"])
-        .when(~single & (a["value"] > b["value"]), F.format_string("range %s is reversed (must be from ≤ to)", part))
+        .when(~single & (a["value"] > b["value"]), F.format_string(SPEC_ERRORS["reversed"], part))
         .when(top > page_count, beyond)
     )
     return F.struct(
@@ -90,7 +99,7 @@ def parse_range_groups(specs: DataFrame, spec: str = "spec", page_count: str = "
     """Add `groups` (one page array per part, in the order given) and `error`."""
     blank = F.trim(spec) == ""
     parsed = specs.withColumn("_spans", _spans(F.col(spec), F.col(page_count))).withColumn(
-        "error", F.when(blank, "no ranges given").otherwise(_first_error(F.col("_spans")))
+        "error", F.when(blank, SPEC_ERRORS["none"]).otherwise(_first_error(F.col("_spans")))
     )
     groups = F.transform("_spans", lambda s: F.sequence(s["first"], s["last"]))
     return parsed.withColumn("groups", F.when(F.col("error").isNull(), groups)).drop("_spans")
@@ -261,32 +270,22 @@ def preserved_map(
     act; `replacements` is the number of pages replace brings in.
     """
 
-    def entry(new: Column, old: Column) -> Column:
+    def run(first: Column, end: Column) -> Column:
+        # an empty sequence where there is nothing between
+        return F.when(end > first, F.sequence(first.cast("int"), (end - 1).cast("int"))).otherwise(F.expr(NO_PAGES))
+
+    # every operation is some old pages, a gap of new ones, and the rest of a list of old pages, numbered by place
+    gap = F.when(operation == "insert_blank", F.lit(1)).when(operation == "replace", replacements).otherwise(F.lit(0)).cast("int")
+    cut = F.when(operation.isin("insert_blank", "replace"), position).otherwise(F.lit(0)).cast("int")
+    source = F.when(operation.isin("insert_blank", "background"), run(F.lit(0), page_count)).otherwise(page_order)
+    rest = F.slice(source, cut + 1, F.greatest(F.size(source) - cut, F.lit(0)))
+    olds = F.concat(run(F.lit(0), cut), F.array_repeat(F.lit(None).cast("int"), gap), rest)
+
+    def numbered(old: Column, place: Column) -> Column:
+        new = F.when(operation.isin(IDENTITY_OPERATIONS), old).otherwise(place)
         return F.struct(new.cast("int").alias("new_idx"), old.cast("int").alias("old_idx"))
 
-    def upto(n: Column) -> Column:
-        # an empty sequence where n is zero or less
-        return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.expr(NO_PAGES))
-
-    none = F.lit(None).cast("int")
-    identity = F.transform(page_order, lambda p: entry(p, p))
-    all_pages = F.transform(upto(page_count), lambda p: entry(p, p))
-    placed = F.transform(page_order, lambda p, i: entry(i, p))
-    before = F.transform(upto(position), lambda p: entry(p, p))
-    blank = F.array(entry(position, none))
-    shifted = F.transform(upto(page_count - position), lambda i: entry(position + i + 1, position + i))
-    fresh = F.transform(upto(replacements), lambda i: entry(position + i, none))
-    after = F.transform(
-        F.slice(page_order, position.cast("int") + 1, F.greatest(F.size(page_order) - position, F.lit(0)).cast("int")),
-        lambda p, i: entry(position + replacements + i, p),
-    )
-    return (
-        F.when(operation.isin(IDENTITY_OPERATIONS), identity)
-        .when(operation == "background", all_pages)
-        .when(operation == "insert_blank", F.concat(before, blank, shifted))
-        .when(operation == "replace", F.concat(before, fresh, after))
-        .otherwise(placed)
-    )
+    return F.transform(olds, numbered)
 
 
 def carry_forward(page_map: DataFrame, pages: DataFrame, page_text: DataFrame) -> DataFrame:

@@ -79,6 +79,24 @@ def signature_rollup(signatures: DataFrame) -> DataFrame:
 FORBIDDEN = ["JavaScript", "AA", "OpenAction"]
 
 
+# Names of the conformance rules.
+RULE_NAMES = {
+    "encryption": "No encryption",
+    "intent": "ICC OutputIntent",
+    "metadata": "XMP metadata",
+    "marked": "MarkInfo",
+    "actions": "No JS / actions",
+    "tagged": "StructTreeRoot (tagged)",
+}
+# what a rule found, held and not held
+DETAILS = {
+    "encryption": ("readable without a key", "needs a key"),
+    "intent": ("colour intent given", "colour intent absent"),
+    "metadata": ("metadata stream given", "metadata stream absent"),
+    "marked": ("declared as marked", "not declared as marked"),
+}
+
+
 def conformance_report(catalogues: DataFrame) -> DataFrame:
     """Six rule rows (document_id, name, status, detail) per document.
 
@@ -99,18 +117,22 @@ def conformance_report(catalogues: DataFrame) -> DataFrame:
         )
 
     found = F.filter(F.array(*[F.when(present(k), F.lit("/" + k)) for k in sorted(FORBIDDEN)]), lambda k: k.isNotNull())
-    rules = F.array(
-        rule("No encryption", ~present("Encrypt"), "no /Encrypt", "document is encrypted"),
-        rule("ICC OutputIntent", F.length(value("OutputIntents")) > 0, "/OutputIntents present", "missing /OutputIntents"),
-        rule("XMP metadata", value("Metadata") == "ref", "/Metadata present", "missing /Metadata"),
-        rule("MarkInfo", value("MarkInfo") == "Marked=true", "/MarkInfo /Marked true", "missing /MarkInfo /Marked true"),
-        rule("No JS / actions", F.size(found) == 0, "no /JavaScript, /AA or /OpenAction", F.concat(F.lit("found: "), F.array_join(found, ", "))),
+    held = {
+        "encryption": ~present("Encrypt"),
+        "intent": F.length(value("OutputIntents")) > 0,
+        "metadata": value("Metadata") == "ref",
+        "marked": value("MarkInfo") == "Marked=true",
+        "actions": F.size(found) == 0,
+    }
+    rules = [rule(RULE_NAMES[k], ok, *DETAILS[k]) for k, ok in held.items() if k != "actions"]
+    listed = F.concat(F.lit("active content: "), F.array_join(found, ", "))
+    rules.append(rule(RULE_NAMES["actions"], held["actions"], "free of active content", listed))
+    rules.append(
         F.struct(
-            F.lit("StructTreeRoot (tagged)").alias("name"),
-            F.lit("not_verified").alias("status"),
-            F.lit("tagging needs a check by hand").alias("detail"),
-        ),
+            F.lit(RULE_NAMES["tagged"]).alias("name"), F.lit("not_verified").alias("status"), F.lit("not decided by this report").alias("detail")
+        )
     )
+    rules = F.array(*rules)
     return catalogues.select("document_id", F.inline(rules))
 
 
@@ -150,7 +172,7 @@ def telemetry_summary(events: DataFrame, keys: list[str], value: str = "value")
 # ── translation ─────────────────────────────────────────────────────────────
 
 Provider = Callable[[str, str, str], str]
-DISABLED = "Translation disabled — configure a provider"
+UNTRANSLATED = "This text was not translated: no provider is set."
 
 
 def unchanged(text: str, source: str, target: str) -> str:
@@ -191,13 +213,20 @@ def translate(misses: DataFrame, provider: Provider = unchanged) -> DataFrame:
 
 
 def translated_pages(texts: DataFrame, cache: DataFrame, provider: Provider = unchanged) -> DataFrame:
-    """Pages with `translated` and `error`; only texts the cache lacks are translated."""
+    """Pages with `translated`, `error` and `banner`; only texts the cache lacks are translated.
+
+    The banner tells readers that the default provider left the text as it was; blank pages need no lookup and none.
+    """
     fresh = translate(cache_misses(texts, cache), provider)
     known = cache.select("key", "output", F.lit(None).cast("string").alias("error")).unionByName(fresh)
     keyed = texts.withColumn("key", cache_key(F.col("text"), F.col("source_lang"), F.col("target_lang")))
-    joined = keyed.join(known, "key", "left")
     blank = F.col("text") == ""
-    return joined.withColumn("translated", F.when(blank, "").otherwise(F.col("output"))).drop("key", "output")
+    # blank pages share one text; they stay out of the join, where they would be one hot key
+    done = keyed.where(blank).select(*texts.columns, F.col("text").alias("translated"), F.lit(None).cast("string").alias("error"))
+    joined = keyed.where(~blank | F.col("text").isNull()).join(known, "key", "left")
+    out = done.unionByName(joined.select(*texts.columns, F.col("output").alias("translated"), "error"))
+    shown = F.when((F.col("text") != "") & F.lit(provider is unchanged), F.lit(UNTRANSLATED))
+    return out.withColumn("banner", shown)
 
 
 def translation_report(pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime
 from collections.abc import Iterator
 
@@ -36,10 +37,11 @@ def unique_jobs_within_watermark(jobs: DataFrame, seconds: int = 60) -> DataFram
 def unique_jobs_stream(jobs: DataFrame, seconds: int = 60, late: str = "1 hour") -> DataFrame:
     """Jobs kept when repeats within `seconds` of a kept job are dropped.
 
-    The state of a (worker, args) is the time of the kept job; it expires when
-    the watermark has passed its window.
+    The state of a (worker, args) holds the times of the kept jobs that a late row may still fall beside, so a row
+    older than what was kept is judged by its nearest kept jobs on either side. The state expires when the watermark
+    has passed the last of them.
     """
-    reach = pd.Timedelta(seconds=seconds)
+    reach = seconds * 1_000_000
     fields = [f for f in jobs.schema.fields if f.name in ("worker", "args", "job_id", "ts")]
     columns = [f.name for f in fields]
 
@@ -47,21 +49,24 @@ def unique_jobs_stream(jobs: DataFrame, seconds: int = 60, late: str = "1 hour")
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(batches).sort_values(["ts", "job_id"])
-        kept_at = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        chosen = []
-        for i, ts in enumerate(rows["ts"]):
-            if kept_at is None or ts - kept_at > reach:
-                kept_at = ts
-                chosen.append(i)
-        state.update((int(kept_at.value // 1000),))
-        expiry = int(kept_at.value // 1_000_000) + seconds * 1000 + 1
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[chosen][columns]
+        kept = [int(t) for t in state.get[0].split()] if state.exists else []
+        for rows in batches:  # one Arrow batch of the key at a time
+            rows = rows.sort_values(["ts", "job_id"])
+            chosen = []
+            for i, ts in enumerate(rows["ts"].astype("datetime64[us]").astype("int64")):
+                at = bisect.bisect_left(kept, ts)
+                if all(abs(ts - near) > reach for near in kept[max(at - 1, 0) : at + 1]):
+                    kept.insert(at, ts)
+                    chosen.append(i)
+            yield rows.iloc[chosen][columns]
+        passed = state.getCurrentWatermarkMs() * 1000 - reach
+        kept = kept[bisect.bisect_left(kept, passed) :] or kept[-1:]
+        state.update((" ".join(map(str, kept)),))
+        state.setTimeoutTimestamp(max(kept[-1] // 1000 + seconds * 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
     timed = jobs.withWatermark("ts", late)
     return timed.groupBy("worker", "args").applyInPandasWithState(
-        keep, T.StructType(fields), T.StructType([T.StructField("kept_at", T.LongType())]),
+        keep, T.StructType(fields), T.StructType([T.StructField("kept", T.StringType())]),
         "append", GroupStateTimeout.EventTimeTimeout,
     )
 
