@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 from array import array
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,19 +48,19 @@ class Vocabulary:
 
     def __init__(self, parts: dict, cache: dict | None = None, cache_size: int = 300_000):
         self.pieces, self.byte_ids, self.unknown = parts["pieces"], parts["byte_ids"], parts["unknown"]
-        self.prefixes, self.letters, self.joined = parts["prefixes"], parts["letters"], parts["joined"]
+        self.trie, self.letters, self.joined = parts["trie"], parts["letters"], parts["joined"]
         self.cache, self.cache_size = {} if cache is None else cache, cache_size
 
     def edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """Edges that end at each place: (begin, score, ids)."""
         out: list[list] = [[] for _ in range(len(unit) + 1)]
         for begin in range(len(unit)):
-            for end in range(begin + 1, len(unit) + 1):
-                found = self.prefixes.get(unit[begin:end])
-                if found is None:
-                    break
-                if found:
-                    out[end].append((begin, found[1], (found[0],)))
+            node, end = self.trie, begin
+            while node and end < len(unit) and unit[end] in node:
+                node, piece, score = node[unit[end]]
+                end += 1
+                if piece:
+                    out[end].append((begin, score, piece))
             if unit[begin] not in self.pieces:
                 out[begin + 1].append((begin, self.unknown, self.bytes_of(unit[begin])))
         return out
@@ -107,15 +108,19 @@ class Vocabulary:
         n, low = len(unit), float("-inf")
         forward, last, edges = [0.0] + [low] * n, [0] * (n + 1), []
         for begin in range(n):
-            so_far = forward[begin]
-            for end in range(begin + 1, n + 1):
-                found = self.prefixes.get(unit[begin:end])
-                if found is None:
+            so_far, node, end = forward[begin], self.trie, begin
+            while end < n:
+                step = node.get(unit[end])
+                if step is None:
+                    break
+                node, piece, score = step
+                end += 1
+                if piece:
+                    if so_far + score > forward[end]:
+                        forward[end], last[end] = so_far + score, len(edges)
+                    edges.append((begin, end, score, piece))
+                if node is None:
                     break
-                if found:
-                    edges.append((begin, end, found[1], (found[0],)))
-                    if so_far + found[1] > forward[end]:
-                        forward[end], last[end] = so_far + found[1], len(edges) - 1
             if unit[begin] not in self.pieces:
                 edges.append((begin, begin + 1, self.unknown, self.bytes_of(unit[begin])))
                 if so_far + self.unknown > forward[begin + 1]:
@@ -146,28 +151,45 @@ class Vocabulary:
         cuts = [0, *(np.flatnonzero(~self.joined[kind[:-1], kind[1:]]) + 1).tolist(), len(marked)]
         return [marked[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def encode(self, text: str | None, n: int = 1) -> list[tuple[float, list[int]]]:
-        """The n best (score, ids) of a whole text, best first."""
+    def encode(self, text: str | None, n: int = 1) -> tuple[float, array, list]:
+        """(score, ids, others) of a whole text: the best segmentation, and the second to n-th as (score, edits).
+
+        An edit (at, drop, ids) puts ids in the place of `drop` pieces from `at` on; see `expand`.
+        """
         units = self.units(text or "")
-        found = [self.two_best(u) for u in units]
-        score = sum(f[1] for f in found)
-        first = [f[0] for f in found]
-        out = [(score, [i for ids in first for i in ids])]
-        if n < 2 or not units:
-            return out
-        near = heapq.nsmallest(n - 1, [(f[2], i) for i, f in enumerate(found) if f[2] != float("inf")])
+        if not units:
+            return 0.0, array("i"), []
+        known = self.cache
+        found = [known.get(u) or self.two_best(u) for u in units]
+        parts, scores, gaps = zip(*found, strict=True)
+        score, ids = sum(scores), array("i", chain.from_iterable(parts))
+        if n < 2:
+            return score, ids, []
+        gaps = np.array(gaps)
+        limit = np.partition(gaps, min(n - 2, len(gaps) - 1))[min(n - 2, len(gaps) - 1)]
+        close = np.flatnonzero((gaps <= limit) & (gaps < np.inf))
+        near = sorted(close[np.argsort(gaps[close], kind="stable")[: n - 1]].tolist())
         # totals of choices in those units: (loss, ((unit, ids), ...))
         mixes: list[tuple[float, tuple]] = [(0.0, ())]
-        for _, i in sorted(near, key=lambda x: x[1]):
+        for i in near:
             options = self.n_best(units[i], n)
-            joined = [(loss + options[0][0] - s, (*made, (i, ids))) for loss, made in mixes for s, ids in options]
+            joined = [
+                (loss + options[0][0] - s, made if at == 0 else (*made, (i, way)))
+                for loss, made in mixes
+                for at, (s, way) in enumerate(options)
+            ]
             mixes = heapq.nsmallest(n, joined, key=lambda m: m[0])
-        for loss, made in mixes[1:]:
-            other = list(first)
-            for i, ids in made:
-                other[i] = ids
-            out.append((score - loss, [i for ids in other for i in ids]))
-        return out
+        begins = list(accumulate(map(len, parts), initial=0))
+        others = [(score - loss, [(begins[i], len(parts[i]), list(way)) for i, way in made]) for loss, made in mixes[1:]]
+        return score, ids, others
+
+
+def expand(ids, edits) -> list[int]:
+    """The ids of another segmentation: edits applied to the best one's ids."""
+    out = list(ids)
+    for at, drop, new in sorted(edits, reverse=True):
+        out[at : at + drop] = new
+    return out
 
 
 class Decoder:
@@ -178,8 +200,11 @@ class Decoder:
         for b, i in enumerate(parts["byte_ids"]):
             self.parts[i] = bytes([b])
 
+    def spell(self, ids) -> bytes:
+        return b"".join(map(self.parts.__getitem__, ids))
+
     def decode(self, ids) -> str:
-        return b"".join(map(self.parts.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return self.spell(ids).decode("utf-8", "replace")[1:]
 
 
 def session_model(spark: SparkSession) -> str:
@@ -198,11 +223,11 @@ def load(path: str = DEFAULT_MODEL) -> dict:
     byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     if not all(model.is_byte(i) for i in byte_ids):
         raise ValueError("the model has no byte pieces")
-    prefixes: dict[str, tuple] = {}  # () for what only begins a piece
-    for name, found in pieces.items():
-        for end in range(1, len(name)):
-            prefixes.setdefault(name[:end], ())
-        prefixes[name] = found
+    # character -> (further characters or None, ids or None, score)
+    nodes: dict[str, dict] = {"": {}}
+    for name in sorted({name[:end] for name in pieces for end in range(1, len(name) + 1)}, key=len, reverse=True):
+        found = pieces.get(name)
+        nodes.setdefault(name[:-1], {})[name[-1]] = (nodes.get(name), (found[0],) if found else None, found[1] if found else 0.0)
     inside = sorted({c for name in pieces if len(name) > 1 for c in name})
     letters = np.zeros(0x110000, np.int32)
     letters[[ord(c) for c in inside]] = np.arange(1, len(inside) + 1)
@@ -212,7 +237,7 @@ def load(path: str = DEFAULT_MODEL) -> dict:
         joined[codes[:-1], codes[1:]] = True
     return {
         "pieces": pieces,
-        "prefixes": prefixes,
+        "trie": nodes[""],
         "byte_ids": byte_ids,
         "unknown": min(score for _, score in pieces.values()) - 10,
         "texts": [name if ok else None for name, ok in zip(names, plain, strict=True)],
@@ -230,14 +255,14 @@ def encode(
     keep: list[str] | None = None,
     check: bool = False,
 ) -> DataFrame:
-    """The kept columns (default: all but the text) with ids, score, other_scores and others.
+    """The kept columns (default: all but the text) with ids, score and others.
 
-    ids and score are the best segmentation's; others holds the ids of the second to n-th best, other_scores their
-    scores. Fewer are listed when a text has fewer segmentations. With `check` a column `decodes` says whether every
-    segmentation decodes to the text.
+    ids and score are the best segmentation's; others holds the second to n-th best as struct<score, edits>, an edit
+    being struct<at, drop, ids>: ids in the place of `drop` pieces from `at` on. Fewer are listed when a text has
+    fewer segmentations. With `check` a column `decodes` says whether every segmentation decodes to the text.
     """
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    names = ["ids", "score", "other_scores", "others", *(["decodes"] if check else [])]
+    names = ["ids", "score", "others", *(["decodes"] if check else [])]
     added = [free_name(docs.select(*keep), c) for c in names]
     carried = docs.select(F.col(text_col).cast("string"), F.struct(*keep) if keep else F.struct(F.lit(1).alias("_")))
     carried = carried.toDF("text", "kept")
@@ -251,26 +276,38 @@ def encode(
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = [words.encode(t.as_py(), n_best) for t in part.column(0)]
+                texts = part.column(0).to_pylist()
+                found = [words.encode(t, n_best) for t in texts]
                 columns = [
                     part.column(1),
-                    _lists([f[0][1] for f in found]),
-                    pa.array([f[0][0] for f in found], pa.float64()),
-                    pa.array([[s for s, _ in f[1:]] for f in found], pa.list_(pa.float64())),
-                    _nested([[ids for _, ids in f[1:]] for f in found]),
+                    _lists([ids for _, ids, _ in found]),
+                    pa.array([score for score, _, _ in found], pa.float64()),
+                    pa.array([[{"score": s, "edits": [dict(zip(EDIT, e, strict=True)) for e in edits]} for s, edits in f[2]] for f in found], others),
                 ]
                 if check:
-                    texts = [t.as_py() or "" for t in part.column(0)]
-                    columns.append(pa.array([all(back.decode(ids) == t for _, ids in f) for f, t in zip(found, texts, strict=True)]))
+                    columns.append(pa.array([_decodes(back, t or "", f) for t, f in zip(texts, found, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, ["kept", *names])
 
-    kind = f"kept {kept_type}, ids array<int>, score double, other_scores array<double>, others array<array<int>>"
+    edit = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
+    others = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(edit))]))
+    kind = f"kept {kept_type}, ids array<int>, score double, "
+    kind += "others array<struct<score: double, edits: array<struct<at: int, drop: int, ids: array<int>>>>>"
     kind += ", decodes boolean" if check else ""
     out = carried.mapInArrow(run, kind)
     return out.select(*[F.col("kept").getField(c).alias(c) for c in keep], *[F.col(c).alias(n) for c, n in zip(names, added, strict=True)])
 
 
-def _lists(rows: list[list[int]]) -> pa.ListArray:
+EDIT = ("at", "drop", "ids")
+
+
+def _decodes(back: Decoder, text: str, found: tuple) -> bool:
+    """Whether the best ids give the text, and the pieces of every edit spell what those they replace spell."""
+    _, ids, others = found
+    spelled = all(back.spell(new) == back.spell(ids[at : at + drop]) for _, edits in others for at, drop, new in edits)
+    return spelled and back.decode(ids) == text
+
+
+def _lists(rows: list[array]) -> pa.ListArray:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
     flat = array("i")
@@ -279,12 +316,6 @@ def _lists(rows: list[list[int]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
 
 
-def _nested(rows: list[list[list[int]]]) -> pa.ListArray:
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), _lists([ids for r in rows for ids in r]))
-
-
 def decode(rows: DataFrame, ids_col: str = "ids", out: str = "text", *, model: str = DEFAULT_MODEL) -> DataFrame:
     """rows with a column `out`: the text of the ids (null ids: null)."""
     shared = rows.sparkSession.sparkContext.broadcast(load(model))

@@ -142,7 +142,7 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = pieces.encode(docs, model=pieces.session_model(spark), n_best=4, keep=["doc_id"], check=True)
-    return coded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "score", "other_scores", "decodes")
+    return coded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "score", "others", "decodes")
 
 
 @query("op10_embedding_near_dedup")
