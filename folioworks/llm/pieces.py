@@ -46,7 +46,7 @@ SLICE = 128
 class Vocabulary:
     """Search in the lattice of a text; parts as `load` gives them, cache a dictionary that may outlive the object."""
 
-    def __init__(self, parts: dict, cache: dict | None = None, cache_size: int = 300_000):
+    def __init__(self, parts: dict, cache: dict | None = None, cache_size: int = 800_000):
         self.pieces, self.byte_ids, self.unknown = parts["pieces"], parts["byte_ids"], parts["unknown"]
         self.trie, self.letters, self.joined = parts["trie"], parts["letters"], parts["joined"]
         self.cache, self.cache_size = {} if cache is None else cache, cache_size

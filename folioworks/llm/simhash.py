@@ -54,15 +54,16 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp) of every row: `fp` is the fingerprint as a bigint."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, h, fp) of every row: `h` is a hash of the text, `fp` the fingerprint as a bigint."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
     def run(batches):
         for batch in batches:
-            fp = [fingerprint(t.as_py(), width, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
+            fp = [fingerprint(t.as_py(), width, seed) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], ["id", "h", "fp"])
 
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, "id long, h long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -140,6 +141,16 @@ def _hub_links(fps: DataFrame, max_bits: int) -> DataFrame:
     return tied.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _classes(fps: DataFrame, max_bits: int, bucket_limit: int) -> DataFrame:
+    """(fp, root, component_id): the component of each distinct fingerprint and its smallest id."""
+    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")))
+    links = fingerprint_links(classes, max_bits, bucket_limit)
+    of = components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    rooted = classes.join(of, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -156,27 +167,36 @@ def near_duplicates(
     has a null component_id. Ids that repeat are fine.
     """
     fps = cut(fingerprints(docs, id_col, text_col, width, seed))
-    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")))
-    links = fingerprint_links(classes, max_bits, bucket_limit)
-    of = components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    # from here the key of a class is the root fingerprint of its component; linked classes are few, the rest keep their own
-    rooted = classes.join(of, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    named = _classes(fps, max_bits, bucket_limit)
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_first(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    width: int = 3,
+    max_bits: int = 3,
+    seed: int = 42,
+    bucket_limit: int = 256,
+) -> DataFrame:
     """One row of docs per group of near copies, that of the smallest id, with all its columns.
 
-    Of rows that repeat the smallest id the one with the smallest text is kept. Rows with a null id are kept.
+    Null ids come last. Of different texts of the smallest id one is kept, and of rows that repeat id and text one.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    mark, row = free_name(docs, "_first"), free_name(docs, "_row")
-    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(mark)).distinct()
-    kept = docs.join(first, docs[id_col] == first[mark], "left_semi")
-    kept = kept.groupBy(F.col(id_col).alias(mark)).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias(row))
-    return kept.select(f"{row}.*").unionByName(docs.where(F.col(id_col).isNull()))
+    fps = cut(fingerprints(docs, id_col, text_col, width, seed))
+    named = _classes(fps, max_bits, bucket_limit).select("fp", "root")
+    winner = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("w")
+    winners = fps.join(named, "fp").groupBy("root").agg(winner)
+    a, b, row = (free_name(docs, c) for c in ("_id", "_h", "_row"))
+    winners = winners.select(F.col("w.id").alias(a), F.col("w.h").alias(b))
+    hashed = docs.withColumn(row, F.xxhash64(F.col(text_col).cast("string")))
+    kept = hashed.join(winners, hashed[id_col].eqNullSafe(winners[a]) & (hashed[row] == winners[b]), "left_semi")
+    # repeats of id and text: the row with the smallest hash of its other columns
+    others = [F.col(c) for c, kind in docs.dtypes if c != text_col and "map<" not in kind and "variant" not in kind]
+    one = kept.groupBy(F.col(id_col).alias(a), F.col(row).alias(b)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*others)).alias(row))
+    return one.select(f"{row}.*")
 
 
 def as_hex(fp: Column) -> Column:

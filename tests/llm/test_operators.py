@@ -69,7 +69,7 @@ def slow_fingerprint(text):
 def test_fingerprint():
     for text in [t for t in ODD if t is not LONG] + ["A b\x0bC d " * 50, "x y z x y z x y z w"]:
         assert simhash.fingerprint(text) & (2**64 - 1) == slow_fingerprint(text)
-    assert simhash.fingerprint(LONG) == simhash.fingerprint("lorem ipsum dolor " * 30_000) or True
+    assert simhash.fingerprint(LONG) == simhash.fingerprint("lorem ipsum dolor " * 20_000 + "\n")
 
 
 def test_simhash_odd(spark):
@@ -78,9 +78,9 @@ def test_simhash_odd(spark):
     assert got[6].component_id == 5
     kept = simhash.keep_first(docs(spark, [*ODD, "one two three four"], [*range(len(ODD)), None]))
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 4, 5, 7, 8, 9]
-    assert kept.where("doc_id is null").count() == 1 and kept.columns == docs(spark, ODD).columns
+    assert kept.where("doc_id is null").count() == 0 and kept.columns == docs(spark, ODD).columns
     again = simhash.keep_first(docs(spark, ["b c", "a b", "b c"], [1, 1, 1]))
-    assert [r.text for r in again.collect()] == ["a b", "b c"] or again.count() <= 2
+    assert sorted(r.text for r in again.collect()) == ["a b", "b c"]
     assert simhash.near_duplicates(docs(spark, [])).count() == 0 and simhash.keep_first(docs(spark, [])).count() == 0
 
 
@@ -479,6 +479,20 @@ def test_simhash_query(spark, sf):
     assert {i: r.component_id for i, r in rows.items()} == closed(links, fps)
 
 
+def test_held_out_accuracy(spark):
+    from folioworks.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    found = QUERIES["op3_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = found.where("held_out and lang is not null").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert held[0] > 0.98 and held[1] > 200
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in found.where("held_out").collect())
+    sf = "/root/testdata/sf0.1"
+    scored = QUERIES["op6_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and quality is not null")
+    kept = {r.quality: r.kept for r in scored.groupBy("quality").agg(F.avg("predicted").alias("kept")).collect()}
+    assert kept[1] > 0.97 and kept[0] < 0.15
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
