@@ -1,14 +1,13 @@
-"""XFDF annotation import through Spark's XML source, which splits large files."""
+"""XFDF annotation import: elements cut out of whole files and parsed as XML."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioworks.operators.annotations import XFDF_KINDS, looked_up
+from folioworks.plans.rows import positions
 
 ELEMENT = T.StructType(
     [
@@ -53,21 +52,32 @@ def _imported(tag: Column, element) -> list[Column]:
     ]
 
 
+# an element with its attributes and all it holds; attribute values may contain angle brackets
+ELEMENT_TEXT = r"""(?s)<([A-Za-z][\w.-]*)(?:[^<>"']|"[^"]*"|'[^']*')*+(?:(?<=/)>|>.*?</\1\s*>)"""
+
+
 def read_xfdf(spark: SparkSession, path: str, tags: list[str] | None = None) -> DataFrame:
-    """Annotations of all XFDF files under a path, with `file` and nested reply texts.
+    """Annotations of all XFDF files under a path, with `file` and nested reply texts, in one scan.
 
-    The XML source reads one element name at a time; pass `tags` to read fewer.
+    Every child of `annots` is an annotation; element names without a kind of their own become sticky notes. Pass
+    `tags` to keep only some names. A file is one row while its elements are cut out.
     """
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    bare = F.regexp_replace("text", "(?s)<!--.*?-->", "")
+    annots = F.regexp_extract(bare, r"(?s)<annots\b[^>]*(?<!/)>(.*)</annots\s*>", 1)
+    elements = texts.select("file", annots.alias("annots")).select("file", F.regexp_extract_all("annots", F.lit(ELEMENT_TEXT), F.lit(0)).alias("e"))
+    rows = positions(elements, ["file"], F.col("e"), "_", "element").drop("_")
+    if tags is not None:
+        rows = rows.where(_tag(F.col("element")).isin(*tags))
+    return parse_elements(rows, "element").drop("element")
 
-    def read(tag: str) -> DataFrame:
-        rows = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(ELEMENT).load(path)
-        return rows.select(F.input_file_name().alias("file"), *_imported(F.lit(tag), F.col))
 
-    return reduce(DataFrame.unionByName, [read(tag) for tag in tags or XFDF_KINDS])
+def _tag(element: Column) -> Column:
+    return F.regexp_extract(element, r"^\s*<([A-Za-z][\w.-]*)", 1)
 
 
 def parse_elements(rows: DataFrame, column: str) -> DataFrame:
     """Add the imported columns for a column holding one annotation element."""
-    tag = F.regexp_extract(F.col(column), r"^\s*<([a-z-]+)", 1)
+    tag = _tag(F.col(column))
     parsed = rows.withColumn("_e", F.from_xml(F.col(column), ELEMENT))
     return parsed.select(*rows.columns, *_imported(tag, lambda name: F.col(f"_e.{name}")))

@@ -103,6 +103,20 @@ def test_pattern_redaction_leaves_nothing(spark):
     assert redact.redact_pattern(bare, ssn).first().content.startswith("SSN ███████████\n")
 
 
+def test_unknown_xfdf_elements_are_kept(spark, tmp_path):
+    (tmp_path / "a.xfdf").write_text(
+        '<?xml version="1.0"?>\n<xfdf xmlns="http://ns.adobe.com/xfdf/"><!-- <ink page="9"/> --><annots>\n'
+        '<highlight page="0" rect="1,2,3,4" title="ann &amp; > co" flags="print,resolved"><contents>say "hi" &lt;b&gt;</contents>'
+        "<reply-to><contents>ok</contents></reply-to></highlight>\n"
+        '<redact page="2" rect="1,2,3,4"/><sound page="1"><contents>beep</contents></sound></annots></xfdf>'
+    )
+    rows = xfdf.read_xfdf(spark, str(tmp_path)).orderBy("page_index").collect()
+    assert [(r.page_index, r.kind, r.contents, r.author, r.resolved, r.replies) for r in rows] == [
+        (0, "highlight", 'say "hi" <b>', "ann & > co", True, ["ok"]), (1, "sticky_note", "beep", "", False, []), (2, "sticky_note", "", "", False, []),
+    ]
+    assert xfdf.read_xfdf(spark, str(tmp_path), ["sound"]).count() == 1
+
+
 def test_broken_and_nested_forms(spark):
     def read(fmt, *texts):
         rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
