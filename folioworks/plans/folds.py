@@ -323,38 +323,53 @@ class UndoRedo(Fold):
         return {"ok": ok, "journal_depth": depths, "redo_depth": redos}, [depth, redo]
 
     def summarise(self, rows):
+        """What a chunk does to any entry state, in a summary no longer than the chunk.
+
+        Before the first push, depth + redo stays the same number and the depth walks between 0 and it: a shift
+        clamped at both ends while that number is at least the walk's range, below that one end value per number.
+        From the first push on the redo stack is known, and only small depths meet an empty journal.
+        """
         kinds = rows[self.kind].to_numpy()
         undo, redo = kinds == "undo", kinds == "redo"
         pushes = ~(undo | redo)
-        first_push = int(np.argmax(pushes)) if pushes.any() else len(kinds)
-        # entry depths from here on never meet an empty journal, whatever redos do
-        deep = int(max(0, np.max(np.cumsum(undo.astype(int) - pushes.astype(int)))))
-        # entry redo depths from here on never run dry before the first push
-        rich = int(redo[:first_push].sum())
-        depth, stack = (a.ravel() for a in np.meshgrid(np.arange(deep + 1), np.arange(rich + 1), indexing="ij"))
-        for is_undo, is_redo in zip(undo, redo):
-            if is_undo:
-                step = depth > 0
-                depth, stack = depth - step, stack + step
-            elif is_redo:
-                step = stack > 0
-                depth, stack = depth + step, stack - step
-            else:
-                depth, stack = depth + 1, np.zeros_like(stack)
-        return {
-            "deep": deep,
-            "rich": rich,
-            "pushed": bool(pushes.any()),
-            "depth": depth.tolist(),
-            "redo": stack.tolist(),
-        }
+        first = int(np.argmax(pushes)) if pushes.any() else len(kinds)
+        steps = redo[:first].astype(int) - undo[:first].astype(int)
+        walk = np.concatenate(([0], np.cumsum(steps)))
+        shift, width = int(walk[-1]), int(walk.max() - walk.min())
+        total = np.arange(width)
+        ends = np.zeros(width, dtype=int)
+        for step in steps if width else []:
+            ends = np.clip(ends + step, 0, total)
+        summary = {"shift": shift, "low": shift - int(walk.min()), "high": int(walk.max()) - shift, "ends": ends.tolist()}
+        if first < len(kinds):
+            undo, redo, pushes = undo[first + 1 :], redo[first + 1 :], pushes[first + 1 :]
+            # depths from here on never meet an empty journal, whatever redos do
+            deep = int(max(0, np.cumsum(undo.astype(int) - pushes.astype(int)).max(initial=0)))
+            depth, stack = np.arange(deep + 1), np.zeros(deep + 1, dtype=int)
+            for is_undo, is_redo in zip(undo, redo):
+                if is_undo:
+                    step = depth > 0
+                    depth, stack = depth - step, stack + step
+                elif is_redo:
+                    step = stack > 0
+                    depth, stack = depth + step, stack - step
+                else:
+                    depth, stack = depth + 1, np.zeros_like(stack)
+            summary |= {"depth": depth.tolist(), "redo": stack.tolist()}
+        return summary
 
     def apply_summary(self, state, summary):
         depth, redo = state
-        d, r = min(depth, summary["deep"]), min(redo, summary["rich"])
-        at = d * (summary["rich"] + 1) + r
-        extra = 0 if summary["pushed"] else redo - r
-        return [summary["depth"][at] + depth - d, summary["redo"][at] + extra]
+        total, ends = depth + redo, summary["ends"]
+        if total < len(ends):
+            depth = ends[total]
+        else:
+            depth = min(max(depth + summary["shift"], summary["low"]), total - summary["high"])
+        if "depth" not in summary:
+            return [depth, total - depth]
+        depth += 1
+        at = min(depth, len(summary["depth"]) - 1)
+        return [summary["depth"][at] + depth - at, summary["redo"][at]]
 
 
 class HeadRuns(Fold):

@@ -1,7 +1,10 @@
 """A key over the row limit takes the chunked way and must give the same rows."""
 
+import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +97,15 @@ def test_operators_take_the_limit(spark):
         "revision_id int, page_index int, ord int, ch string, font_name string, font_size double, baseline_y double, bold boolean, italic boolean",
     ).withColumn("bounds", F.expr("named_struct('x0', 1.0D * ord, 'y0', 0.0D, 'x1', 1.0D + ord, 'y1', 9.0D)"))
     assert rows_of(layout.char_runs(glyphs, limit=40)) == rows_of(layout.char_runs(glyphs))
+
+
+def test_undo_redo_summaries_do_what_the_rows_do():
+    fold, rng = UndoRedo("kind"), np.random.default_rng(0)
+    for _ in range(300):
+        kinds = rng.choice(["undo", "redo", "edit"], rng.integers(1, 14), p=rng.dirichlet([1, 1, 0.4]))
+        rows = pd.DataFrame({"kind": kinds})
+        summary = fold.summarise(rows)
+        for state in itertools.product(range(6), range(6)):
+            assert list(fold.run(rows, list(state))[1]) == list(fold.apply_summary(list(state), summary))
+    long = fold.summarise(pd.DataFrame({"kind": ["undo"] * 10_000 + ["redo"] * 10_000}))
+    assert len(long["ends"]) == 10_000 and fold.apply_summary([3, 4], long) == [7, 0]
