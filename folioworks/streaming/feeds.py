@@ -58,7 +58,8 @@ def unique_jobs_stream(jobs: DataFrame, seconds: int = 60, late: str = "1 hour")
                 if all(abs(ts - near) > reach for near in kept[max(at - 1, 0) : at + 1]):
                     kept.insert(at, ts)
                     chosen.append(i)
-            yield rows.iloc[chosen][columns]
+            if chosen:
+                yield rows.iloc[chosen][columns]
         passed = state.getCurrentWatermarkMs() * 1000 - reach
         kept = kept[bisect.bisect_left(kept, passed) :] or kept[-1:]
         state.update((" ".join(map(str, kept)),))
