@@ -48,7 +48,11 @@ PATTERNS = {
 }
 BEHIND = r"(?<![\p{L}\p{N}])"
 PATTERN = BEHIND + "(?:" + "|".join(PATTERNS.values()) + ")"
-DIGIT_KINDS = ("card", "ssn", "phone")
+DIGIT_KINDS = ("card", "ssn")
+#: Country calling codes. The code of an international number is read from here, however it is spaced.
+CALLING_CODE = r"^\+([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-69]|3[578]|42|5[09]|6[7-9]|8[0578]|9[679])\d)"
+#: A calling code stays where so many digits follow, and for so many attempts, so that enough surrogates are left.
+LEAST_REST, CODED_ATTEMPTS = 6, 32
 #: Syllables of made-up names by script.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe fo ga go ha he ja jo ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve",
@@ -107,6 +111,7 @@ def entities(mention: Column, kind: Column) -> Column:
     surname = F.struct(F.concat_ws("_", F.lit("surname"), script, F.lit("n")).alias("kind"), F.element_at(words, -1).alias("canonical"))
     given = F.struct(F.concat_ws("_", F.lit("given"), script, gender).alias("kind"), F.element_at(words, 1).alias("canonical"))
     plain = F.when(kind == "email", F.lower(mention)).when(kind.isin(*DIGIT_KINDS), _digits(mention))
+    plain = plain.when(kind == "phone", F.concat(F.regexp_extract(mention, r"^\+?", 0), _digits(mention)))
     plain = plain.when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "secret", F.lower(mention)).otherwise(mention)
     one = F.array(F.struct(kind.alias("kind"), plain.alias("canonical")))
     return F.when(kind == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(one)
@@ -183,13 +188,23 @@ def _name(key: str) -> Column:
     return out
 
 
+def _phone(key: str) -> Column:
+    """Keyed digits; an international number keeps its plus sign and calling code."""
+    full = F.col("canonical")
+    plus, code, n = F.regexp_extract(full, r"^\+?", 0), F.regexp_extract(full, CALLING_CODE, 1), F.char_length(_digits(full))
+    rest = n - F.char_length(code)
+    coded = (rest >= LEAST_REST) & (F.col("attempt") < CODED_ATTEMPTS)
+    return F.concat(plus, F.when(coded, F.concat(code, _decimal(key, rest))).otherwise(_decimal(key, n)))
+
+
 def _candidate(key: str) -> Column:
     """The canonical surrogate of an entity for its attempt."""
     kind, n = F.col("kind"), F.char_length("canonical")
     return (
         F.when(kind == "email", F.concat(_letters(key, "a", 10), F.lit("@"), _letters(key, "b", 6), F.lit(".example")))
         .when(kind == "card", _with_check_digit(_decimal(key, n), F.col("canonical")))
-        .when(kind.isin("ssn", "phone"), _decimal(key, n))
+        .when(kind == "ssn", _decimal(key, n))
+        .when(kind == "phone", _phone(key))
         .when(kind == "ip", _ip(key))
         .when(kind == "iban", _iban(key))
         .when((kind == "secret") & F.col("canonical").startswith("akia"), F.concat(F.lit("akia"), _shaped(key, F.substr("canonical", F.lit(5)))))
@@ -201,19 +216,24 @@ def _candidate(key: str) -> Column:
 def surrogates(found: DataFrame, key: str) -> DataFrame:
     """(kind, canonical, surrogate) for distinct entities (kind, canonical).
 
-    Within a kind no two surrogates are equal and none is an entity. A round settles all but what collides, so the
+    Within a kind no two surrogates are equal and none is an entity, for phone numbers with or without a plus sign. A round settles all but what collides, so the
     rounds needed grow with the logarithm of the number of entities.
     """
+
+    def bare(c: str) -> Column:
+        return F.when(F.col("kind") == "phone", _digits(F.col(c))).otherwise(F.col(c)).alias("bare")
+
     known = cut(found.select("kind", "canonical").distinct())
     settled, open_, attempt = None, known, 0
     while True:
         tried = open_.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", _candidate(key))
-        tried = tried.select("kind", "canonical", "surrogate")
-        taken = known.select("kind", F.col("canonical").alias("surrogate"))
+        tried = tried.select("kind", "canonical", "surrogate", bare("surrogate"))
+        taken = known.select("kind", bare("canonical"))
         if settled is not None:
-            taken = taken.unionByName(settled.select("kind", "surrogate"))
-        free = tried.join(taken, ["kind", "surrogate"], "left_anti")
-        won = cut(free.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical")).select("kind", "canonical", "surrogate"))
+            taken = taken.unionByName(settled.select("kind", bare("surrogate")))
+        free = tried.join(taken, ["kind", "bare"], "left_anti")
+        first = F.min(F.struct("canonical", "surrogate")).alias("_f")
+        won = cut(free.groupBy("kind", "bare").agg(first).select("kind", "_f.canonical", "_f.surrogate"))
         settled = won if settled is None else cut(settled.unionByName(won))
         open_ = cut(open_.join(won, ["kind", "canonical"], "left_anti"))
         attempt += 1
@@ -234,17 +254,13 @@ def _pour(mention: Column, digits: Column) -> Column:
 def _written(mention: Column, kind: Column, cores: Column) -> Column:
     """A mention's replacement in its own format; cores are the surrogates of its entities."""
     core = F.get(cores, F.lit(0))
-    # a written-out country code stays
-    code = F.regexp_extract(mention, r"^\+(\d+)", 1)
-    phone = F.concat(code, F.substr(core, F.char_length(code) + 1))
     spaced = F.regexp_like(mention, F.lit(" "))
     cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(core)).otherwise(core)
     iban = F.when(spaced, F.trim(F.regexp_replace(core, "(.{4})", "$1 "))).otherwise(core)
     title = F.regexp_extract(mention, rf"^({_TITLE}\.? )", 1)
     name = F.concat(title, F.array_join(F.transform(cores, F.initcap), " "))
     return (
-        F.when(kind == "phone", _pour(mention, phone))
-        .when(kind.isin("card", "ssn"), _pour(mention, core))
+        F.when(kind.isin("card", "ssn", "phone"), _pour(mention, _digits(core)))
         .when(kind == "iban", iban)
         .when(kind == "ip", core)
         .when(kind == "name", name)

@@ -231,6 +231,23 @@ def test_surrogates_stay_distinct(spark):
     assert len(got) == 30 == len(set(made)) and not set(made) & set(known[:30])
 
 
+def test_compact_phones(spark):
+    """International numbers without separators: replaced, one surrogate for all spellings, the country code kept."""
+    texts = ["+14155550123", "+1 415 555 0123", "+442079460958", "+4420 7946 0958", "+44 20 7946 0958", "+35312345678", "(1415) 555 0123"]
+    new = {r.doc_id: r for r in pii.pseudonymise(docs(spark, texts), "key", count_col="n").collect()}
+    digits = [re.sub(r"\D", "", new[i].text) for i in range(len(texts))]
+    assert all(new[i].n == 1 and re.sub(r"\d", "0", new[i].text) == re.sub(r"\d", "0", t) for i, t in enumerate(texts))
+    assert digits[0] == digits[1] and digits[2] == digits[3] == digits[4] and len(set(digits)) == 4
+    for i, (t, code) in enumerate(zip(texts, ["1", "1", "44", "44", "44", "353", ""], strict=True)):
+        was = re.sub(r"\D", "", t)
+        assert digits[i].startswith(code) and sum(a != b for a, b in zip(was[len(code) :], digits[i][len(code) :], strict=True)) >= 3
+    # few numbers left to a country: none equal to another or to a real one
+    real = [f"+352{i:06d}" for i in range(0, 400)] + [f"352{i:06d}" for i in range(400, 800)] + [f"+352{i:02d}" for i in range(60)]
+    made = pii.surrogates(spark.createDataFrame([("phone", k) for k in real], "kind string, canonical string"), "key").collect()
+    bare = [r.surrogate.lstrip("+") for r in made]
+    assert len(made) == len(real) == len(set(bare)) and not set(bare) & {k.lstrip("+") for k in real}
+
+
 # ---- pieces
 
 
