@@ -61,9 +61,13 @@ SYLLABLES = {
 ENDINGS = {("latin", "m"): "n", ("latin", "f"): "ra", ("latin", "n"): "s", ("cyrillic", "m"): "н", ("cyrillic", "f"): "ра", ("cyrillic", "n"): "с"}
 
 
+#: What a mention without a title has at least: a digit, an at sign, the mark of a secret or a hex string of letters.
+QUICK = r"[0-9@]|AKIA|(?i:password=|secret=|token=)|[a-f]{32}|[A-F]{32}"
+
+
 def _may_have(text: Column) -> Column:
-    """Whether a text can have a mention at all: a quick look for a digit, an at sign or a title."""
-    quick = F.regexp_like(text, F.lit("[0-9@]"))
+    """Whether a text can have a mention at all: a quick look for what PATTERN cannot do without."""
+    quick = F.regexp_like(text, F.lit(QUICK))
     for titles in TITLES.values():
         for title in titles:
             quick = quick | F.contains(text, F.lit(title))
