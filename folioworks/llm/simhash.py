@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.llm import shingles
 from folioworks.llm.common import cut, free_name
 from folioworks.llm.components import components
 from folioworks.session import spread_partitions
@@ -180,13 +181,18 @@ def keep_first(
     max_bits: int = 3,
     seed: int = 42,
     bucket_limit: int = 256,
+    similarity: float | None = None,
 ) -> DataFrame:
     """One row of docs per group of near copies, that of the smallest id, with all its columns.
 
-    Null ids come last. Of different texts of the smallest id one is kept, and of rows that repeat id and text one.
+    With a similarity, near copies are texts whose sets of `width` word shingles have that Jaccard similarity or more,
+    each checked on the whole sets (see `shingles`); max_bits does not count then. Null ids come last. Of different texts of the smallest id one is kept, and of rows that repeat id and text one.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, width, seed))
-    named = _classes(fps, max_bits, bucket_limit).select("fp", "root")
+    if similarity is None:
+        fps = cut(fingerprints(docs, id_col, text_col, width, seed))
+        named = _classes(fps, max_bits, bucket_limit).select("fp", "root")
+    else:
+        fps, named = shingles.similar_classes(docs, id_col, text_col, width=width, similarity=similarity, seed=seed, bucket_limit=bucket_limit)
     winner = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("w")
     winners = fps.join(named, "fp").groupBy("root").agg(winner)
     a, b, row = (free_name(docs, c) for c in ("_id", "_h", "_row"))

@@ -99,6 +99,43 @@ def test_simhash_links_connect_what_they_should(spark, bits, limit):
     assert closed(links, fps) == want
 
 
+@pytest.mark.parametrize("limit", [8, 32])
+def test_similar_texts_against_brute_force(spark, limit):
+    """Near copies by 5-word Jaccard 0.8: chains of edits, groups under one common passage, short, odd and equal texts."""
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts, common = list(ODD), words(30)
+    for size in (20, 60, 200, 300):
+        for base in (words(size), common + words(size)):
+            for _ in range(12):
+                copy = list(base)
+                for at in rng.integers(0, size, rng.integers(0, max(2, size // 40))):
+                    copy[at] = f"e{rng.integers(0, 10**9)}"
+                texts.append(" ".join(copy))
+                if rng.random() < 0.3:
+                    base = copy  # chains
+    texts += [" ".join(common + words(60)) for _ in range(12)] + [texts[-1].upper()]
+
+    def shingle_set(text):
+        ws = [w.encode() for w in WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))]
+        return {b" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    got = [shingle_set(t) for t in texts]
+    close = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if got[a] == got[b] or 5 * len(got[a] & got[b]) >= 4 * len(got[a] | got[b])]
+    assert len(close) > 100
+    kept = simhash.keep_first(docs(spark, texts), width=5, similarity=0.8, bucket_limit=limit)
+    assert {r.doc_id for r in kept.collect()} == set(closed(close, range(len(texts))).values())
+    assert simhash.keep_first(docs(spark, []), similarity=0.8).count() == 0
+
+
+def test_pipeline_stage_drops_similar_texts(spark, sf):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(100)]
+    given = docs(spark, [" ".join(base), " ".join(["x", *base[1:50], "y", *base[51:]]), " ".join(base[:50])])
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, given, sf).collect()} == {0, 2}
+
+
 # ---- chat
 
 
