@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from folioworks.llm import chat, langid, mixing, neardup, pieces, pii, quality, rules, sharding, simhash
+from folioworks.llm import audit, centroids, chat, langid, mixing, neardup, packing, pieces, pii, quality, rules, sharding, simhash
 from folioworks.llm.common import crc_fold, cut, table
 
 QUERIES = {}
@@ -148,3 +148,53 @@ def op5(spark, sf_dir):
 @query("op10_embedding_near_dedup")
 def op10(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_centroid_clustering")
+def op11(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+#: Every document's failure mask; the steps are counted from the masks directly.
+AUDIT_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+f AS (SELECT t, min(doc_id) AS least FROM w GROUP BY t),
+l AS (SELECT doc_id, max(quality) FILTER (WHERE quality = 1) AS good, max(toxic) FILTER (WHERE toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(ws) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INTEGER)
+    + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) AS INTEGER)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(w.doc_id > least, false) AS INTEGER) AS mask
+  FROM w JOIN f USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good = 1) AS g, count(*) FILTER (WHERE toxic = 1) AS x FROM m GROUP BY part, mask),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) a,
+    (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) b, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) c,
+    (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) d, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+s AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+    CAST(list_sum([0] || [1 << (ascii(filter_order[i]) - 65) FOR i IN range(1, step)]) AS INTEGER) AS before
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, own,
+    sum(n) FILTER (WHERE mask & (before + own) = 0) AS kept,
+    sum(n) FILTER (WHERE mask & before = 0 AND mask & own <> 0) AS removed,
+    sum(n) FILTER (WHERE mask & before <> 0 AND mask & own <> 0) AS redundant,
+    sum(n) FILTER (WHERE mask = own) AS unique_fails,
+    sum(g) FILTER (WHERE mask & before = 0 AND mask & own <> 0) AS good_lost,
+    sum(x) FILTER (WHERE mask & before = 0 AND mask & own <> 0) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_packing")
+def op13(spark, sf_dir):
+    found = packing.pack(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
