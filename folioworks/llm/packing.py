@@ -29,8 +29,11 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import json
+import re
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -167,36 +170,95 @@ def session_tokenizer(spark: SparkSession) -> str:
     return Path(named).read_text(encoding="utf-8")
 
 
+#: Letters that stay one character each in lower case and in composed form, then at most one mark.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of a text as little-endian 32-bit numbers; what stands between blanks is looked up once.
 
     For tokenizers that drop white space: no token crosses a blank or a line feed, so a text's ids are those of what
-    stands between them.
+    stands between them. Where the tokenizer lowers its input and takes runs of letters as words, a plain word goes to
+    its model alone, whatever its case and the mark behind it; everything else goes through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer: str, cache_size: int = 500_000, longest: int = 64):
+    def __init__(self, tokenizer: str, cache_size: int = 600_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
         self.cache_size, self.longest = cache_size, longest
+        self.letters, self.marks = _byte_letters(), {"": b""}
+        if self._words_alone(json.loads(tokenizer)):
+            self._learn(list(".,;:!?"))
+            self.marks |= {m: self.known[m] for m in ".,;:!?"}
+        else:
+            self.marks = {}
+
+    @staticmethod
+    def _words_alone(parts: dict) -> bool:
+        def kinds(step: dict | None, name: str) -> list[str]:
+            return [x["type"] for x in (step or {}).get(name, [])]
+
+        if kinds(parts["normalizer"], "normalizers") != ["NFC", "Replace", "Lowercase"]:
+            return False
+        if kinds(parts["pre_tokenizer"], "pretokenizers") != ["Split", "ByteLevel"]:
+            return False
+        runs = parts["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", "").split("|")
+        return r"[\p{L}]+" in runs and r"[^\s\p{L}\p{N}]+" in runs
 
     def ids(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
-        fresh = [c for c in set(chunks) if c not in self.known]
-        if len(self.known) + len(fresh) > self.cache_size:
-            self.known = {"": b""}
-            fresh = list(set(chunks) - {""})
-        for at in range(0, len(fresh), 1000):
-            group = fresh[at : at + 1000]
-            for chunk, coded in zip(group, self.tokenizer.encode_batch(group, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(coded.ids, dtype="<u4").tobytes()
+        fresh = set(chunks).difference(self.known)
+        if fresh:
+            if len(self.known) + len(fresh) > self.cache_size:
+                self.known, self.words = {"": b""}, {}
+                fresh = set(chunks).difference(self.known)
+            self._learn(fresh)
         out = b"".join(map(self.known.__getitem__, chunks))
         for chunk in fresh:
             if len(chunk) > self.longest:
                 del self.known[chunk]
         return out
 
+    def _learn(self, chunks: Iterable[str]) -> None:
+        rest = []
+        for chunk in chunks:
+            plain = PLAIN.fullmatch(chunk)
+            if plain and plain[2] in self.marks:
+                word = plain[1].lower()
+                coded = self.words.get(word)
+                if coded is None:
+                    letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+                    coded = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                    if len(word) <= self.longest:
+                        self.words[word] = coded
+                self.known[chunk] = coded + self.marks[plain[2]]
+            else:
+                rest.append(chunk)
+        if rest:
+            self._learn_whole(rest)
+
+    def _learn_whole(self, chunks: list[str]) -> None:
+        """One call for all of them; a token belongs to the chunk in which it begins."""
+        coded = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        begins = np.fromiter((begin for begin, _ in coded.offsets), dtype=np.int64, count=len(coded.ids))
+        ends = np.cumsum(np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) + 1)
+        past = (np.searchsorted(begins, ends) * ID_BYTES).tolist()
+        raw, at = np.array(coded.ids, dtype="<u4").tobytes(), 0
+        for chunk, end in zip(chunks, past, strict=True):
+            self.known[chunk] = raw[at:end]
+            at = end
+
 
 PIECE = [("start", T.LongType()), ("length", T.IntegerType()), ("doc_tokens", T.LongType()), ("ids", T.BinaryType()), ("chunk", T.IntegerType()), ("nth", T.LongType())]
 
@@ -207,12 +269,17 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, *, max_t
     schema = T.StructType([named.schema["id"], *[T.StructField(n, t) for n, t in PIECE]])
     end = int(end_id).to_bytes(ID_BYTES, "little")
     step = max_tokens * ID_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast({"tokenizer": tokenizer})  # the tokenizer's size, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, chunk, counts = Encoder(tokenizer), TaskContext.get().partitionId(), {}
+        held = shared.value  # kept by the worker for its later tasks, with what the encoder has looked up
+        if "encoder" not in held:
+            held["encoder"] = Encoder(held["tokenizer"])
+        encoder = held["encoder"]
+        chunk, counts = TaskContext.get().partitionId(), {}
         for batch in batches:
             ids, texts = batch.column("id"), batch.column("text")
             at, rows, size = [], [], 0
