@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.plans.folds import StateMachine, Threshold, UndoRedo, fold_rows
+from folioworks.plans.folds import JointSigning, StateMachine, Threshold, UndoRedo, fold_rows
 from folioworks.plans.ordered import ordered_columns
 
 # Legal moves of envelopes and signers.
@@ -92,6 +92,29 @@ def signer_replay(events: DataFrame, limit: int | None = None) -> DataFrame:
     return fold_rows(events, ["signer_id"], ["occurred_at", "event_id"], fold, limit)
 
 
+def signing_replay(events: DataFrame, signers: DataFrame, envelopes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Replay (envelope_id, event_id, occurred_at, event, signer_id) through an envelope and its signers together.
+
+    `signers` is (envelope_id, signer_id, signer_order), `envelopes` (envelope_id, signing_mode), null meaning
+    sequential. Events are sent, viewed, signed, declined, voided and expired. Adds the states of the envelope and of
+    the event's signer before and after, accepted, and a reason for each refused event. In sequential mode signers sign
+    in their order (ties by id); the last signature completes the envelope; only a signer who has not looked yet can
+    decline, and only before the first signature. A signer that the envelope does not have is `signer_not_found`.
+    """
+    places = ordered_columns(
+        signers.select("envelope_id", "signer_id", "signer_order"), ["envelope_id"], ["signer_order", "signer_id"],
+        row_number="_place", limit=limit,
+    )
+    counts = signers.groupBy("envelope_id").agg(F.count(F.lit(1)).alias("_signers"))
+    modes = envelopes.select("envelope_id", F.coalesce(F.col("signing_mode") == "parallel", F.lit(False)).alias("_parallel"))
+    known = places.join(counts.join(modes, "envelope_id", "left"), "envelope_id")
+    known = known.select("envelope_id", "signer_id", "_place", "_signers", F.coalesce("_parallel", F.lit(False)).alias("_parallel"))
+    fold = JointSigning("event", "_place", "_signers", "_parallel", SIGNING_REFUSALS)
+    placed = events.join(known, ["envelope_id", "signer_id"], "left")
+    replayed = fold_rows(placed, ["envelope_id"], ["occurred_at", "event_id"], fold, limit)
+    return replayed.drop("_place", "_signers", "_parallel")
+
+
 # ── edit journals ───────────────────────────────────────────────────────────
 
 COALESCING_KINDS = ["text.style", "annot.update"]

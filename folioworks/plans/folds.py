@@ -436,3 +436,132 @@ class HeadRuns(Fold):
         if summary["tail"] is None:
             return state
         return {"head": summary["tail"]["head"], "runs": state["runs"] + summary["tail"]["runs"]}
+
+
+class JointSigning(Fold):
+    """One envelope and its signers moving together, with the signing order as a parameter of the rows.
+
+    Signer rows carry the signer's place (from 1), the number of signers and whether all may sign at once. The
+    envelope follows its signers: a signature is refused out of turn, the last one completes the envelope, a refusal
+    by a signer who has not looked yet ends it. Every refused row gets a reason.
+
+    A chunk's summary is the few rows of it that can have an effect in any entry state. A row cannot if an earlier row
+    of the chunk of the same kind and signer would have done the same and nothing since then could have made a
+    difference: so signatures stay only after the sending, the signer's first view or a signature one place before.
+    """
+
+    outputs = {
+        "state_before": T.StringType(),
+        "state_after": T.StringType(),
+        "signer_before": T.StringType(),
+        "signer_after": T.StringType(),
+        "accepted": T.BooleanType(),
+        "reason": T.StringType(),
+    }
+
+    def __init__(self, event: str, place: str, signers: str, parallel: str, refusals: dict[str, str]):
+        self.inputs = [event, place, signers, parallel]
+        self.refusals = refusals
+
+    def initial(self):
+        return {"envelope": "draft", "signers": {}, "signed": 0}
+
+    def _rows(self, rows):
+        event, place, signers, parallel = (rows[c].tolist() for c in self.inputs)
+        known = [not pd.isna(p) for p in place]
+        return [
+            (e, str(int(p)) if k else None, int(n) if k else 0, bool(a) if k else False)
+            for e, p, n, a, k in zip(event, place, signers, parallel, known)
+        ]
+
+    def _refusal(self, state, row) -> str | None:
+        event, place, _, parallel = row
+        envelope, signer = state["envelope"], state["signers"].get(place, "pending")
+        if event == "sent":
+            return None if envelope == "draft" else "invalid_transition"
+        if event in ("voided", "expired"):
+            return None if envelope in ("sent", "partially_signed") else "invalid_transition"
+        if event not in ("viewed", "signed", "declined"):
+            return "invalid_transition"
+        if place is None:
+            return "signer_not_found"
+        if event == "viewed":
+            return None if signer == "pending" else "invalid_transition"
+        if event == "declined":
+            return None if (envelope, signer) == ("sent", "pending") else "invalid_transition"
+        if envelope in self.refusals:
+            return self.refusals[envelope]
+        if signer != "viewed":
+            return "signer_not_viewed_yet" if signer == "pending" else f"already_{signer}"
+        # in order, those who have signed are the first ones
+        return None if parallel or int(place) == state["signed"] + 1 else "signer_out_of_order"
+
+    def _enter(self, state, row) -> None:
+        event, place, signers, _ = row
+        if event in ("sent", "voided", "expired"):
+            state["envelope"] = event
+            return
+        state["signers"][place] = event
+        if event == "declined":
+            state["envelope"] = "declined"
+        elif event == "signed":
+            state["signed"] += 1
+            state["envelope"] = "completed" if state["signed"] == signers else "partially_signed"
+
+    def run(self, rows, state):
+        state = {**state, "signers": dict(state["signers"])}
+        out: dict[str, list] = {name: [] for name in self.outputs}
+        for row in self._rows(rows):
+            signer = None if row[1] is None else state["signers"].get(row[1], "pending")
+            out["state_before"].append(state["envelope"])
+            out["signer_before"].append(signer)
+            reason = self._refusal(state, row)
+            if reason is None:
+                self._enter(state, row)
+            out["state_after"].append(state["envelope"])
+            out["signer_after"].append(None if row[1] is None else state["signers"].get(row[1], "pending"))
+            out["accepted"].append(reason is None)
+            out["reason"].append(reason)
+        return out, state
+
+    def summarise(self, rows):
+        kept: list = []
+        # position in `kept` of the last row of a kind and signer, and of what last could make a difference to it
+        last: dict = {}
+        sent = 0  # rows kept up to and with the first sending
+        closed = False  # ended by a row of this chunk, whatever the entry state
+        for row in self._rows(rows):
+            event, place, _, parallel = row
+            if event in ("viewed", "signed", "declined") and place is None:
+                continue
+            if event == "sent":
+                keep = not sent
+            elif event == "viewed":
+                keep = (event, place) not in last
+            elif closed:
+                keep = False
+            elif event in ("voided", "expired"):
+                keep = True
+            elif event == "declined":
+                keep = last.get((event, place), -1) < sent
+            elif event == "signed":
+                before = 0 if parallel else last.get((event, str(int(place) - 1)), 0)
+                keep = last.get((event, place), -1) < max(sent, last.get(("viewed", place), 0), before)
+            else:
+                keep = False
+            if not keep:
+                continue
+            kept.append(list(row))
+            last[event, place] = len(kept)
+            if event == "sent":
+                sent, closed = len(kept), False
+            elif event in ("voided", "expired"):
+                closed = True
+        return kept
+
+    def apply_summary(self, state, summary):
+        state = {**state, "signers": dict(state["signers"])}
+        for row in summary:
+            if self._refusal(state, row) is None:
+                self._enter(state, row)
+        return state

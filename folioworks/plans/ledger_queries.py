@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioworks import fixtures as fx
 from folioworks.operators import access, ledger, reports
 from folioworks.plans.duck_views import with_views
+from folioworks.plans.ordered import ordered_columns
 from folioworks.plans.record_queries import OPERATIONS, ORDERS_NOW, POINTERS, operations
 from folioworks.plans.registry import query
 from folioworks.streaming import feeds, sinks
@@ -101,6 +102,96 @@ def signer_replay(spark, sf_dir):
     return ledger.signer_replay(events).select("signer_id", "event_id", "state_before", "accepted")
 
 
+#: Attempts of each signer: event, days after the order's date, for which signers.
+SIGNER_ATTEMPTS = [
+    ("viewed", "5 + l_partkey % 80", "l_suppkey % 11 > 0"),
+    ("signed", "20 + l_suppkey % 70", "l_linenumber > 0"),
+    ("declined", "2 + l_partkey % 60", "l_partkey % 29 = 0"),
+    ("viewed", "95", "l_linenumber > 0"),
+    ("signed", "100 + signer_order", "l_partkey % 13 > 0"),
+    ("signed", "110 + l_partkey % 20", "l_linenumber > 0"),
+]
+#: The same for each envelope.
+ENVELOPE_ATTEMPTS = [
+    ("sent", "o_orderkey % 60", "o_orderkey % 17 > 0"),
+    ("sent", "90", "o_orderkey % 5 = 0"),
+    ("voided", "75 + o_custkey % 60", "o_orderkey % 7 = 0"),
+    ("expired", "140", "o_orderkey % 3 = 0"),
+    ("archived", "50", "o_orderkey % 19 = 0"),
+]
+
+
+def _signer_log(spark, sf_dir) -> DataFrame:
+    """(event_id, envelope_id, signer_id, occurred_at, event): lines of an order as its signers, in line order."""
+    lines = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    placed = ordered_columns(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], row_number="signer_order")
+    dated = placed.join(fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_orderdate"), "l_orderkey")
+    signer = "l_orderkey * 1000 + signer_order"
+    acts = ", ".join(
+        f"IF({when}, named_struct('n', {i}, 'day', CAST({day} AS INT), 'event', '{event}'), NULL)" for i, (event, day, when) in enumerate(SIGNER_ATTEMPTS)
+    )
+    # every 41st acts on the next order, where nobody knows them
+    acting = dated.selectExpr(f"{signer} AS signer_id", "l_orderkey + IF(l_partkey % 41 = 0, 1, 0) AS envelope_id", "o_orderdate", f"explode(array_compact(array({acts}))) AS a")
+    sides = fx.table(spark, sf_dir, "orders").selectExpr(
+        "CAST(NULL AS BIGINT) AS signer_id", "o_orderkey AS envelope_id", "o_orderdate",
+        "explode(array_compact(array(" + ", ".join(
+            f"IF({when}, named_struct('n', {i}, 'day', CAST({day} AS INT), 'event', '{event}'), NULL)" for i, (event, day, when) in enumerate(ENVELOPE_ATTEMPTS)
+        ) + "))) AS a",
+    )
+    return acting.unionByName(sides).selectExpr(
+        "coalesce(signer_id, envelope_id * 1000) * 10 + a.n AS event_id", "envelope_id", "signer_id", "o_orderdate + make_dt_interval(a.day) AS occurred_at", "a.event"
+    )
+
+
+_ATTEMPTS_SQL = " UNION ALL ".join(
+    [
+        f"""SELECT (l_orderkey * 1000 + signer_order) * 10 + {i} AS event_id, l_orderkey + CASE WHEN l_partkey % 41 = 0 THEN 1 ELSE 0 END AS envelope_id,
+            l_orderkey * 1000 + signer_order AS signer_id, o_orderdate + ({day}) * INTERVAL '1' DAY AS occurred_at, '{event}' AS event
+            FROM placed JOIN orders ON o_orderkey = l_orderkey WHERE {when}"""
+        for i, (event, day, when) in enumerate(SIGNER_ATTEMPTS)
+    ]
+    + [
+        f"""SELECT o_orderkey * 10000 + {i}, o_orderkey, CAST(NULL AS BIGINT), o_orderdate + ({day}) * INTERVAL '1' DAY, '{event}' FROM orders WHERE {when}"""
+        for i, (event, day, when) in enumerate(ENVELOPE_ATTEMPTS)
+    ]
+)
+
+_OPEN = "a.e IN ('sent', 'partially_signed')"
+_SIGNING_SQL = f"""WITH placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS signer_order
+        FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)),
+    log AS ({_ATTEMPTS_SQL}),
+    sizes AS (SELECT l_orderkey, count(*) AS n FROM placed GROUP BY 1),
+    known AS (SELECT log.*, p.signer_order AS r FROM log LEFT JOIN placed p ON p.l_orderkey = log.envelope_id AND p.l_orderkey * 1000 + p.signer_order = log.signer_id),
+    lists AS (SELECT envelope_id, list({{'id': event_id, 'ev': event, 'r': r}} ORDER BY occurred_at, event_id) AS evs FROM known GROUP BY 1),
+    folded AS (SELECT envelope_id, list_reduce(evs, lambda a, x: list_transform([CASE
+            WHEN x.ev = 'sent' THEN CASE WHEN a.e = 'draft' THEN '' ELSE 'invalid_transition' END
+            WHEN x.ev IN ('voided', 'expired') THEN CASE WHEN {_OPEN} THEN '' ELSE 'invalid_transition' END
+            WHEN x.ev NOT IN ('viewed', 'signed', 'declined') THEN 'invalid_transition'
+            WHEN x.r IS NULL THEN 'signer_not_found'
+            WHEN x.ev = 'viewed' THEN CASE WHEN a.st[x.r] = 'pending' THEN '' ELSE 'invalid_transition' END
+            WHEN x.ev = 'declined' THEN CASE WHEN a.e = 'sent' AND a.st[x.r] = 'pending' THEN '' ELSE 'invalid_transition' END
+            WHEN a.e = 'draft' THEN 'envelope_not_sent' WHEN a.e = 'completed' THEN 'envelope_already_completed'
+            WHEN NOT {_OPEN} THEN 'envelope_' || a.e
+            WHEN a.st[x.r] = 'pending' THEN 'signer_not_viewed_yet' WHEN a.st[x.r] <> 'viewed' THEN 'already_' || a.st[x.r]
+            WHEN a.odd AND list_position(list_transform(a.st, lambda v: v IN ('signed', 'declined')), false) <> x.r THEN 'signer_out_of_order'
+            ELSE '' END], lambda why: {{'e': CASE WHEN why <> '' OR x.ev = 'viewed' THEN a.e WHEN x.ev <> 'signed' THEN x.ev
+                    WHEN len(list_filter(a.st, lambda v: v IN ('signed', 'declined'))) + 1 = len(a.st) THEN 'completed' ELSE 'partially_signed' END,
+                'odd': a.odd, 'st': CASE WHEN why <> '' OR x.r IS NULL THEN a.st ELSE list_transform(a.st, lambda v, i: CASE WHEN i = x.r THEN x.ev ELSE v END) END,
+                'out': list_append(a.out, {{'id': x.id, 'b': a.e, 's': a.st[x.r], 'why': why}})}})[1],
+            {{'e': 'draft', 'odd': envelope_id % 2 <> 0, 'st': CAST(list_transform(range(coalesce(n, 0)), lambda i: 'pending') AS VARCHAR[]),
+              'out': CAST([] AS STRUCT(id BIGINT, b VARCHAR, s VARCHAR, why VARCHAR)[])}}).out AS out
+        FROM lists LEFT JOIN sizes ON l_orderkey = envelope_id)
+    SELECT envelope_id, o.id AS event_id, o.b AS state_before, o.s AS signer_before, o.why = '' AS accepted, nullif(o.why, '') AS reason
+    FROM (SELECT envelope_id, unnest(out) AS o FROM folded)"""
+
+
+@query("signing_replay", _SIGNING_SQL)
+def signing_replay(spark, sf_dir):
+    signers = fx.signers(spark, sf_dir).withColumn("signer_id", F.expr("envelope_id * 1000 + signer_order"))
+    replayed = ledger.signing_replay(_signer_log(spark, sf_dir), signers, fx.envelopes(spark, sf_dir))
+    return replayed.select("envelope_id", "event_id", "state_before", "signer_before", "accepted", "reason")
+
+
 # ── edit journals ───────────────────────────────────────────────────────────
 
 EIGHT_HOURS = 8 * 3600 * 1_000_000
