@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioworks import fixtures as fx
 from folioworks.functions.text import html_escape, pdf_escape, xml_escape
-from folioworks.operators import redact, search
-from folioworks.operators import text_table
+from folioworks.operators import redact, search, text_index, text_table
 from folioworks.plans.duck_views import with_views
 from folioworks.plans.registry import query
 
@@ -59,6 +61,30 @@ def search_one_page(spark, sf_dir):
     return _flat(search.search(fx.page_text(spark, sf_dir), "tion", page=2), "bounds")
 
 
+#: Name, query, whole word, pattern: a word, a phrase with open ends, a phrase of whole words, a substring, two characters.
+INDEXED = [
+    ("word", "License", True, r"(?i)\blicense\b"),
+    ("phrase", "d the", False, "(?i)d the"),
+    ("words", "of the", True, r"(?i)\bof the\b"),
+    ("substring", "heitung", False, "(?i)heitung"),
+    ("short", "ß.", False, r"(?i)ß\."),
+]
+
+
+@query(
+    "search_indexed",
+    " UNION ALL ".join(f"SELECT '{name}' AS query, * FROM ({_search_sql(pattern)})" for name, _, _, pattern in INDEXED),
+)
+def search_indexed(spark, sf_dir):
+    folder = f"{spark.sparkContext.getCheckpointDir()}/text-index-{uuid.uuid4().hex}"
+    text_index.build(fx.page_text(spark, sf_dir), folder, buckets=8, parts=32, splits=1)
+    found = [
+        text_index.search_indexed(spark, folder, text, whole_word=whole).select(F.lit(name).alias("query"), "*")
+        for name, text, whole, _ in INDEXED
+    ]
+    return _flat(reduce(DataFrame.unionByName, found), "bounds")
+
+
 @query(
     "search_prefilter",
     with_views(
