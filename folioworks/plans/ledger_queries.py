@@ -489,23 +489,49 @@ def batch_plan(spark, sf_dir):
 # ── streams ─────────────────────────────────────────────────────────────────
 
 
+def _shuffled(rows: DataFrame, time: str, name: str, closing: dict[str, str], count: int = 4) -> tuple[DataFrame, str]:
+    """(stream, delay): rows dealt to micro-batches out of order, and the watermark delay that covers the disorder.
+
+    A row is up to a tenth of the whole time span off its place. A last batch holds one row, far behind the others in
+    time, whose columns `closing` gives: it moves the watermark past everything else and stays waiting itself.
+    """
+    micros = F.unix_micros(F.col(time))
+    first, last = rows.select(F.min(micros), F.max(micros)).first()
+    span = max(last - first, 1)
+    noise = F.pmod(F.xxhash64(*rows.columns), F.lit(1001)) / 1000.0 - 0.5
+    at = (micros - F.lit(first)) / F.lit(span) + 0.2 * noise
+    number = F.greatest(F.least(F.floor(at * count), F.lit(count - 1)), F.lit(0)).cast("int")
+    end = rows.limit(1).select(*[F.expr(closing.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    end = end.withColumn(time, F.timestamp_micros(F.lit(last + span + 400 * 86_400_000_000)))
+    numbered = rows.withColumn("_batch", number).unionByName(end.withColumn("_batch", F.lit(count)))
+    stream = sinks.micro_batches(numbered.select(*rows.columns, "_batch"), F.col("_batch"), count + 1, name)
+    return stream.drop("_batch"), f"{int(0.3 * span / 1e6) + 1} seconds"
+
+
 @query("stream_progress", with_views("operation_events", PROGRESS))
 def stream_progress(spark, sf_dir):
     events = sinks.file_stream(spark, f"{sf_dir}/events*.parquet").selectExpr(
-        "event_id", "user_id AS operation_id", "ts",
+        "event_id", "user_id AS operation_id", "CAST(ts AS TIMESTAMP) AS ts",
         "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'progress' END AS message",
         "CAST(floor(value) AS BIGINT) % 101 AS progress",
     )
-    return sinks.run_updates(feeds.progress_stream(events), "progress", ["operation_id"])
+    with sinks.rocksdb(spark):
+        return sinks.run_updates(feeds.progress_stream(events), "progress", ["operation_id"])
 
 
 @query("stream_unique_jobs", f"WITH {UNIQUE} SELECT worker, args, unnest(keep) AS job_id FROM folded")
 def stream_unique_jobs(spark, sf_dir):
-    feed = sinks.file_stream(spark, f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    kept = sinks.run_appends(feeds.unique_jobs_stream(jobs(feed), 3600), "unique-jobs")
+    rows = jobs(fx.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    feed, late = _shuffled(rows, "ts", "jobs-in", {"worker": "''", "args": "''", "job_id": "-1"})
+    with sinks.rocksdb(spark):
+        kept = sinks.run_appends(feeds.unique_jobs_stream(feed, 3600, late), "unique-jobs")
     return kept.select("worker", "args", "job_id")
 
 
+def _journal(spark, sf_dir) -> DataFrame:
+    return fx.edit_journal(spark, sf_dir).selectExpr("op_id", "document_id", "CAST(ts AS TIMESTAMP) AS ts", "kind")
+
+
 @query("stream_edit_sessions", with_views("edit_journal", f"WITH {UNDO} SELECT * EXCLUDE (seq) FROM steps"))
 def stream_edit_sessions(spark, sf_dir):
     feed = sinks.file_stream(spark, f"{sf_dir}/events*.parquet").selectExpr(
@@ -513,16 +539,50 @@ def stream_edit_sessions(spark, sf_dir):
         "CASE event_type WHEN 'click' THEN 'text.style' WHEN 'view' THEN 'annot.update' WHEN 'signup' THEN 'page.rotate' "
         "WHEN 'purchase' THEN 'undo' ELSE 'redo' END AS kind",
     )
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, feeds.ROCKSDB)
-    try:
+    with sinks.rocksdb(spark):
         done = sinks.run_appends(feeds.edit_session_stream(feed, idle_ms=None), "edit-sessions")
-    finally:
-        spark.conf.set(key, before)
     return done.select("document_id", "op_id", "ok", "journal_depth", "redo_depth")
 
 
+@query(
+    "stream_edit_sessions_idle",
+    with_views(
+        "edit_journal",
+        f"""WITH gaps AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > {EIGHT_HOURS}, false) AS silent
+                FROM edit_journal WINDOW w AS (PARTITION BY document_id ORDER BY ts, op_id)),
+            sessions AS (SELECT *, count(*) FILTER (silent) OVER (PARTITION BY document_id ORDER BY ts, op_id ROWS UNBOUNDED PRECEDING) AS session FROM gaps),
+            {UNDO.replace("FROM edit_journal GROUP BY 1", "FROM sessions GROUP BY document_id, session")} SELECT * EXCLUDE (seq) FROM steps""",
+    ),
+)
+def stream_edit_sessions_idle(spark, sf_dir):
+    feed, late = _shuffled(_journal(spark, sf_dir), "ts", "journal-in", {"op_id": "-1", "document_id": "-1", "kind": "'undo'"})
+    with sinks.rocksdb(spark):
+        done = sinks.run_appends(feeds.edit_session_stream(feed, EIGHT_HOURS // 1000, late), "edit-sessions-idle")
+    return done.select("document_id", "op_id", "ok", "journal_depth", "redo_depth")
+
+
+@query(
+    "stream_expiry_timers",
+    """SELECT o_orderkey AS envelope_id, 'expired' AS event, o_orderdate + (CASE WHEN o_orderkey % 4 = 0 THEN 50 ELSE 30 END) * INTERVAL '1' DAY AS occurred_at
+        FROM orders WHERE NOT (o_orderstatus = 'F' AND o_custkey % 60 <= CASE WHEN o_orderkey % 4 = 0 THEN 50 ELSE 30 END)""",
+)
+def stream_expiry_timers(spark, sf_dir):
+    """Each envelope is sent, every fourth gets 20 days more on its tenth day, some are completed within 60 days."""
+    changes = fx.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS envelope_id",
+        "explode(array_compact(array(named_struct('day', 0, 'status', 'sent', 'until', 30), "
+        "IF(o_orderkey % 4 = 0, named_struct('day', 10, 'status', 'partially_signed', 'until', 50), NULL), "
+        "IF(o_orderstatus = 'F', named_struct('day', CAST(o_custkey % 60 AS INT), 'status', 'completed', 'until', CAST(NULL AS INT)), NULL)))) AS c",
+        "o_orderdate",
+    ).selectExpr(
+        "envelope_id", "c.status", "CAST(o_orderdate + make_dt_interval(c.until) AS TIMESTAMP) AS expires_at",
+        "CAST(o_orderdate + make_dt_interval(c.day) AS TIMESTAMP) AS changed_at",
+    )
+    feed, late = _shuffled(changes, "changed_at", "envelopes-in", {"envelope_id": "-1", "status": "'draft'"})
+    with sinks.rocksdb(spark):
+        return sinks.run_appends(feeds.expiry_timers(feed, late), "expiry-timers")
+
+
 @query(
     "stream_expiry",
     with_views(

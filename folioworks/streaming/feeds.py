@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import datetime
 from collections.abc import Iterator
 
@@ -10,18 +9,71 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from folioworks.operators.ledger import latest_progress
-from folioworks.operators.sweeps import expire_envelopes
+from folioworks.operators.sweeps import OPEN_STATES, expire_envelopes
 
 IDLE_END_MS = 30 * 60 * 1000
 
 
-def progress_stream(events: DataFrame) -> DataFrame:
-    """Latest state per operation, for update mode; the same columns as the batch fold."""
-    return latest_progress(events)
+class Progress(StatefulProcessor):
+    """Percentage and status of one operation; forgotten once it has finished and the watermark has passed its end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "percent long, at long, event_id long, status string, ended_at long, ended_id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        percent, at, event_id, status, ended_at, ended_id = self.newest.get() if self.newest.exists() else (None, -1, -1, "running", -1, -1)
+        for batch in rows:
+            for when, event, message, progress in zip(batch["at_us"], batch["event_id"], batch["message"], batch["progress"]):
+                ends = {"completed": "success", "failed": "error"}.get(message)
+                if (when, event) > (at, event_id):
+                    at, event_id = int(when), int(event)
+                    percent = 100 if message != "progress" else None if pd.isna(progress) else int(progress)
+                if ends and (when, event) > (ended_at, ended_id):
+                    ended_at, ended_id, status = int(when), int(event), ends
+        self.newest.update((percent, at, event_id, status, ended_at, ended_id))
+        if status != "running":
+            wake(self.handle, at)
+        yield pd.DataFrame({"operation_id": [key[0]], "percent": pd.array([percent], dtype="Int64"), "status": [status]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def plain(value):
+    """A value for the state: null instead of a missing number, whole numbers that pandas holds as floats whole again."""
+    if pd.isna(value):
+        return None
+    return value if isinstance(value, str) else int(value)
+
+
+def wake(handle: StatefulProcessorHandle, at_us: int | None) -> None:
+    """Leave the key one timer, just behind a time in microseconds, or none."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+    if at_us is not None:
+        handle.registerTimer(at_us // 1000 + 1)
+
+
+def progress_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Latest state per operation, for update mode; the same columns as the batch fold.
+
+    An operation's state goes when it has finished and no message can come that is `late` behind the newest. Needs the
+    RocksDB state store.
+    """
+    timed = events.withWatermark("ts", late).withColumn("at_us", F.unix_micros(F.col("ts")))
+    schema = T.StructType(
+        [timed.schema["operation_id"], T.StructField("percent", T.LongType()), T.StructField("status", T.StringType())]
+    )
+    return timed.groupBy("operation_id").transformWithStateInPandas(
+        statefulProcessor=Progress(), outputStructType=schema, outputMode="Update", timeMode="EventTime"
+    )
 
 
 def unique_jobs_within_watermark(jobs: DataFrame, seconds: int = 60) -> DataFrame:
@@ -34,122 +86,189 @@ def unique_jobs_within_watermark(jobs: DataFrame, seconds: int = 60) -> DataFram
     return jobs.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(["worker", "args"])
 
 
+class InOrder(StatefulProcessor):
+    """Holds a key's rows back until the watermark has passed them, then passes them on in event order.
+
+    Rows come with their time in microseconds as `at_us` and a number `row_id` that orders equal times. Whatever order they
+    arrive in, within the watermark's delay, `release` sees them in the order of their batch twin. One timer a key
+    stands at its oldest waiting row; when it goes off, all rows that are due are sorted and released, the others stay.
+    """
+
+    #: Types of the waiting rows' columns behind at_us and row_id.
+    payload = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", ", ".join(filter(None, ["at_us long, row_id long", self.payload])))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = ["at_us", "row_id", *[field.split()[0] for field in self.payload.split(",") if field]]
+        first = None
+        for batch in rows:
+            self.waiting.appendList(list(zip(*[[plain(v) for v in batch[c]] for c in names])))
+            first = min(filter(lambda t: t is not None, (first, int(batch["at_us"].min()))))
+        timers = [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
+        if first is not None and all(first // 1000 + 1 < t for t in timers):
+            wake(self.handle, first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], []
+        for row in self.waiting.get():
+            (due if row[0] <= passed else later).append(tuple(row))
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        due.sort(key=lambda row: row[:2])
+        yield from self.release(key, due, passed)
+        # what is kept of the key goes only when nothing waits
+        next_ = min(row[0] for row in later) if later else self.forget(passed)
+        wake(self.handle, next_)
+
+    def release(self, key, rows: list[tuple], passed: int) -> Iterator[pd.DataFrame]:
+        """Output for rows in order, the last of them not behind `passed`."""
+        raise NotImplementedError
+
+    def forget(self, passed: int) -> int | None:
+        """Clear what the watermark has made useless, or say when it will be."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class UniqueJobs(InOrder):
+    """Jobs farther than `reach` behind the last kept one."""
+
+    def __init__(self, reach: int):
+        self.reach = reach
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "at long")
+
+    def release(self, key, rows, passed):
+        kept = self.kept.get()[0] if self.kept.exists() else None
+        chosen = []
+        for at, job_id in rows:
+            if kept is None or at - kept > self.reach:
+                kept = at
+                chosen.append((key[0], key[1], job_id, at))
+        if kept is not None:
+            self.kept.update((kept,))
+        if chosen:
+            yield pd.DataFrame(chosen, columns=["worker", "args", "job_id", "at_us"])
+
+    def forget(self, passed):
+        if not self.kept.exists():
+            return None
+        until = self.kept.get()[0] + self.reach
+        if until > passed:
+            return until
+        self.kept.clear()
+        return None
+
+
 def unique_jobs_stream(jobs: DataFrame, seconds: int = 60, late: str = "1 hour") -> DataFrame:
-    """Jobs kept when repeats within `seconds` of a kept job are dropped.
+    """Jobs kept when repeats within `seconds` of a kept job are dropped, as the batch twin keeps them.
 
-    The state of a (worker, args) holds the times of the kept jobs that a late row may still fall beside, so a row
-    older than what was kept is judged by its nearest kept jobs on either side. The state expires when the watermark
-    has passed the last of them.
+    Jobs are judged in event order, once the watermark (`late` behind the newest) has passed them. The state of a
+    (worker, args) is the waiting jobs and the time of the last kept one. Needs the RocksDB state store.
     """
-    reach = seconds * 1_000_000
-    fields = [f for f in jobs.schema.fields if f.name in ("worker", "args", "job_id", "ts")]
-    columns = [f.name for f in fields]
-
-    def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = [int(t) for t in state.get[0].split()] if state.exists else []
-        for rows in batches:  # one Arrow batch of the key at a time
-            rows = rows.sort_values(["ts", "job_id"])
-            chosen = []
-            for i, ts in enumerate(rows["ts"].astype("datetime64[us]").astype("int64")):
-                at = bisect.bisect_left(kept, ts)
-                if all(abs(ts - near) > reach for near in kept[max(at - 1, 0) : at + 1]):
-                    kept.insert(at, ts)
-                    chosen.append(i)
-            if chosen:
-                yield rows.iloc[chosen][columns]
-        passed = state.getCurrentWatermarkMs() * 1000 - reach
-        kept = kept[bisect.bisect_left(kept, passed) :] or kept[-1:]
-        state.update((" ".join(map(str, kept)),))
-        state.setTimeoutTimestamp(max(kept[-1] // 1000 + seconds * 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
-    timed = jobs.withWatermark("ts", late)
-    return timed.groupBy("worker", "args").applyInPandasWithState(
-        keep, T.StructType(fields), T.StructType([T.StructField("kept", T.StringType())]),
-        "append", GroupStateTimeout.EventTimeTimeout,
+    timed = jobs.withWatermark("ts", late).withColumns({"at_us": F.unix_micros(F.col("ts")), "row_id": F.col("job_id").cast("long")})
+    schema = T.StructType([jobs.schema["worker"], jobs.schema["args"], T.StructField("job_id", T.LongType()), T.StructField("at_us", T.LongType())])
+    kept = timed.groupBy("worker", "args").transformWithStateInPandas(
+        statefulProcessor=UniqueJobs(seconds * 1_000_000), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
+    return kept.select("worker", "args", F.col("job_id").cast(jobs.schema["job_id"].dataType), F.timestamp_micros("at_us").alias("ts"))
 
 
-class EditSession(StatefulProcessor):
-    """Journal and redo depth per key; with idle_ms a session ends after that silence.
-
-    Time is event time: an operation later than the idle span starts from empty
-    stacks, and a timer drops the state once the watermark has passed the span.
+class Journal:
+    """Journal and redo depth of a key, and the pushed operations in a map state by journal level.
 
-    The pushed operations live in a map state by journal level, so an operation
-    reads and writes one entry and the state holds only what can be undone or
-    redone.
+    An operation reads and writes one entry, and the state holds only what can be undone or redone.
     """
 
-    def __init__(self, idle_ms: int | None = None):
-        self.idle_ms = idle_ms
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.depths = handle.getValueState("depths", "journal long, redo long, seen long")
+        self.levels = handle.getMapState("levels", "level long", "op_id long")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        depths = T.StructType([T.StructField(c, T.LongType()) for c in ("journal", "redo", "seen_ms")])
-        self.depths = handle.getValueState("depths", depths)
-        self.levels = handle.getMapState(
-            "levels",
-            T.StructType([T.StructField("level", T.LongType())]),
-            T.StructType([T.StructField("op_id", T.LongType())]),
-        )
+    def clear(self) -> None:
+        self.depths.clear()
+        self.levels.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        journal, redo, seen_ms = self.depths.get() if self.depths.exists() else (0, 0, None)
-        batch = pd.concat(rows).sort_values(["ts", "op_id"])
-        touched, depths, redos, done = [], [], [], []
-        for op_id, kind, ts in zip(batch["op_id"], batch["kind"], batch["ts"]):
-            now_ms = int(ts.value // 1_000_000)
-            if self.idle_ms is not None and seen_ms is not None and now_ms - seen_ms > self.idle_ms:
+    def apply(self, key, rows, idle_us: int | None = None) -> Iterator[pd.DataFrame]:
+        """Outcome of (time, op_id, kind) rows in order; a silence of more than idle_us ends the session before it."""
+        journal, redo, seen = self.depths.get() if self.depths.exists() else (0, 0, None)
+        out = []
+        for at, op_id, kind in rows:
+            if idle_us is not None and seen is not None and at - seen > idle_us:
                 self.levels.clear()
                 journal, redo = 0, 0
-            ok, at, seen_ms = True, None, now_ms
+            ok, level, seen = True, None, int(at)
             if kind == "undo":
                 ok = journal > 0
                 if ok:
-                    at, journal, redo = journal, journal - 1, redo + 1
+                    level, journal, redo = journal, journal - 1, redo + 1
             elif kind == "redo":
                 ok = redo > 0
                 if ok:
-                    at, journal, redo = journal + 1, journal + 1, redo - 1
+                    level, journal, redo = journal + 1, journal + 1, redo - 1
             else:
-                for level in range(journal + 2, journal + redo + 1):
-                    self.levels.removeKey((level,))
+                for undone in range(journal + 2, journal + redo + 1):
+                    self.levels.removeKey((undone,))
                 journal, redo = journal + 1, 0
                 self.levels.updateValue((journal,), (int(op_id),))
-                at = journal
-            touched.append(self.levels.getValue((at,))[0] if at is not None else None)
-            depths.append(journal)
-            redos.append(redo)
-            done.append(ok)
-        self.depths.update((journal, redo, seen_ms))
-        if self.idle_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-            self.handle.registerTimer(seen_ms + self.idle_ms + 1)
-        yield pd.DataFrame(
-            {
-                "document_id": key[0],
-                "op_id": batch["op_id"].to_numpy(),
-                "kind": batch["kind"].to_numpy(),
-                "ok": done,
-                "target_op": pd.array(touched, dtype="Int64"),
-                "journal_depth": depths,
-                "redo_depth": redos,
-            }
-        )
+                level = journal
+            target = self.levels.getValue((level,))[0] if level is not None else None
+            out.append((key[0], op_id, kind, ok, target, journal, redo))
+        if seen is not None:
+            self.depths.update((journal, redo, seen))
+        if out:
+            yield pd.DataFrame(out, columns=SESSION_ROW.names).astype({"target_op": "Int64"})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.depths.clear()
-        self.levels.clear()
-        return iter(())
+
+class EditSession(StatefulProcessor):
+    """Operations as they arrive, ordered inside a micro-batch only; sessions never end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.journal = Journal(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ops = [op for batch in rows for op in zip(batch["at_us"], batch["row_id"], batch["kind"])]
+        yield from self.journal.apply(key, sorted(ops, key=lambda op: op[:2]))
 
     def close(self) -> None:
         pass
 
 
+class OrderedSession(InOrder):
+    """Operations in event order; a session ends after a silence, in the state when the watermark has passed it."""
+
+    payload = "kind string"
+
+    def __init__(self, idle_ms: int):
+        self.idle_us = idle_ms * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.journal = Journal(handle)
+
+    def release(self, key, rows, passed):
+        yield from self.journal.apply(key, rows, self.idle_us)
+
+    def forget(self, passed):
+        if not self.journal.depths.exists():
+            return None
+        until = self.journal.depths.get()[2] + self.idle_us
+        if until > passed:
+            return until
+        self.journal.clear()
+        return None
+
+
 SESSION_ROW = T.StructType(
     [
         T.StructField("document_id", T.LongType()),
@@ -166,19 +285,87 @@ SESSION_ROW = T.StructType(
 def edit_session_stream(journal: DataFrame, idle_ms: int | None = IDLE_END_MS, late: str = "1 hour") -> DataFrame:
     """Every operation with its outcome and the operation it pushed, undid or redid.
 
-    Without idle_ms sessions never end. Needs the RocksDB state store
+    With idle_ms operations are applied in event order once the watermark (`late` behind the newest) has passed them,
+    and a silence of more than idle_ms starts from empty stacks. Without idle_ms sessions never end and operations are
+    applied at once, in order inside a micro-batch only. Needs the RocksDB state store
     (spark.sql.streaming.stateStore.providerClass).
     """
     if idle_ms is not None:
         journal = journal.withWatermark("ts", late)
-    return journal.groupBy("document_id").transformWithStateInPandas(
-        statefulProcessor=EditSession(idle_ms),
+    timed = journal.withColumns({"at_us": F.unix_micros(F.col("ts")), "row_id": F.col("op_id").cast("long")})
+    return timed.groupBy("document_id").transformWithStateInPandas(
+        statefulProcessor=EditSession() if idle_ms is None else OrderedSession(idle_ms),
         outputStructType=SESSION_ROW,
         outputMode="Append",
         timeMode="None" if idle_ms is None else "EventTime",
     )
 
 
+class ExpiryTimers(InOrder):
+    """A timer at each open envelope's end, moved when the end moves and deleted when the envelope closes in time."""
+
+    payload = "status string, expires_us long"
+
+    def __init__(self, keep_us: int):
+        self.keep_us = keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.newest = handle.getValueState("newest", "status string, expires long, closed long")
+
+    def release(self, key, rows, passed):
+        status, expires, closed = self.newest.get() if self.newest.exists() else (None, None, None)
+        for at, _, changed, until in [*rows, (passed + 1, 0, None, None)]:
+            if status in OPEN_STATES and expires is not None and expires < at:
+                yield pd.DataFrame({"envelope_id": [key[0]], "event": ["expired"], "expires_us": [expires]})
+                status, closed = "expired", expires
+            if changed is not None and closed is None:
+                status, expires = changed, until
+                closed = None if changed in OPEN_STATES or changed == "draft" else at
+        if status is not None:
+            self.newest.update((status, expires, closed))
+
+    def forget(self, passed):
+        if not self.newest.exists():
+            return None
+        status, expires, closed = self.newest.get()
+        if closed is None:
+            return expires if status in OPEN_STATES else None
+        if closed + self.keep_us > passed:
+            return closed + self.keep_us
+        self.newest.clear()
+        return None
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        # an end that comes before the next waiting row has its own time
+        timers = [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
+        until = self.forget(timerValues.getCurrentWatermarkInMs() * 1000)
+        if until is not None and all(until // 1000 + 1 < t for t in timers):
+            wake(self.handle, until)
+
+
+def expiry_timers(changes: DataFrame, late: str = "1 hour", keep_closed_days: int = 90) -> DataFrame:
+    """(envelope_id, event, occurred_at): one audit row when the watermark passes an open envelope's end.
+
+    `changes` is (envelope_id, status, expires_at, changed_at), one row per change of an envelope. Changes that come
+    within `late` of the newest count in the order of their times; at the same time, closing comes last. A closed
+    envelope does not open again; that it is closed is remembered for `keep_closed_days`. Needs the RocksDB state store.
+    """
+    timed = changes.withWatermark("changed_at", late).withColumns(
+        {
+            "at_us": F.unix_micros(F.col("changed_at")),
+            "row_id": F.when(F.col("status").isin(OPEN_STATES), 0).otherwise(1).cast("long"),
+            "expires_us": F.unix_micros(F.col("expires_at")),
+        }
+    )
+    schema = T.StructType([timed.schema["envelope_id"], T.StructField("event", T.StringType()), T.StructField("expires_us", T.LongType())])
+    expired = timed.groupBy("envelope_id").transformWithStateInPandas(
+        statefulProcessor=ExpiryTimers(keep_closed_days * 86_400_000_000), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
+    return expired.select("envelope_id", "event", F.timestamp_micros("expires_us").alias("occurred_at"))
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +25,27 @@ def file_stream(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.readStream.schema(schema).format("parquet").load(pattern)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that timers and map states need, for the queries started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def micro_batches(rows: DataFrame, number: Column, count: int, name: str) -> DataFrame:
+    """A stream that delivers rows in micro-batches by their number from 0, each from one folder of files."""
+    spark = rows.sparkSession
+    folder = work_dir(spark, name)
+    for i in range(count):
+        rows.where(number == i).coalesce(1).write.parquet(f"{folder}/{i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
 def run_appends(stream: DataFrame, name: str) -> DataFrame:
     """All rows an append-mode query emits for the input available now."""
     spark = stream.sparkSession
