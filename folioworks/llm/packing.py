@@ -47,6 +47,8 @@ from pyspark.sql import types as T
 from folioworks.session import ensure_checkpoint_dir
 
 ID_BYTES = 4
+#: Pieces of one length and task that are numbered together.
+LOT = 256
 #: A part of a pack: length class, first rank, first token inside the piece, number of tokens.
 Part = tuple[int, int, int, int]
 
@@ -326,13 +328,15 @@ def pack(
     cut = pieces(docs, id_col, text_col, tokenizer, max_tokens=max_tokens, end_id=end_id)
     cut.write.option("compression", "zstd").parquet(folder)
     cut = spark.read.schema(cut.schema).parquet(folder)
-    counts = cut.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # a lot is what the join brings together: all full pieces of a task would be too much
+    cut = cut.withColumn("lot", F.floor(F.col("nth") / LOT).cast("long"))
+    counts = cut.groupBy("length", "chunk", "lot").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("chunk", "lot").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("length", "chunk", "lot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_tokens rows
     runs = fill_by_cutting(shortest_pack_first(histogram, max_tokens), max_tokens, least_room)
-    ranked = cut.join(base.hint("shuffle_hash"), ["length", "chunk"])
-    parts = Placements(runs).of(F.col("length"), F.col("base") + F.col("nth"))
+    ranked = cut.join(base.hint("shuffle_hash"), ["length", "chunk", "lot"])
+    parts = Placements(runs).of(F.col("length"), F.col("base") + F.pmod("nth", F.lit(LOT)))
     found = ranked.select("id", "start", "doc_tokens", "ids", F.explode(parts).alias("part")).select("*", "part.*")
     return found.select(
         F.col("id").alias(id_col),
