@@ -33,7 +33,7 @@ import json
 import re
 import uuid
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -172,8 +172,9 @@ def session_tokenizer(spark: SparkSession) -> str:
     return Path(named).read_text(encoding="utf-8")
 
 
-#: Letters that stay one character each in lower case and in composed form, then at most one mark.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Parts that such a tokenizer never joins: letters that stay one character each in lower case and in composed form, a
+#: digit, marks. Apostrophes and what may be a control string are left to the tokenizer.
+PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -183,28 +184,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Encoder:
-    """Ids of a text as little-endian 32-bit numbers; what stands between blanks is looked up once.
+class Encoder(dict):
+    """Ids of a text as little-endian 32-bit numbers; as a dictionary, of what stands between two blanks.
 
     For tokenizers that drop white space: no token crosses a blank or a line feed, so a text's ids are those of what
-    stands between them. Where the tokenizer lowers its input and takes runs of letters as words, a plain word goes to
-    its model alone, whatever its case and the mark behind it; everything else goes through the whole tokenizer.
+    stands between them, looked up once. Where the tokenizer lowers its input and takes runs of letters as words, a word
+    goes to its model alone, whatever its case and the marks around it; everything else goes through the whole tokenizer.
     """
 
     def __init__(self, tokenizer: str, cache_size: int = 600_000, longest: int = 64):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {"": b""}
+        self.tokenize = self.tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}
         self.cache_size, self.longest = cache_size, longest
-        self.letters, self.marks = _byte_letters(), {"": b""}
-        if self._words_alone(json.loads(tokenizer)):
-            self._learn(list(".,;:!?"))
-            self.marks |= {m: self.known[m] for m in ".,;:!?"}
-        else:
-            self.marks = {}
+        self.letters = _byte_letters()
+        self.by_words = self._words_alone(json.loads(tokenizer))
 
     @staticmethod
     def _words_alone(parts: dict) -> bool:
@@ -216,50 +213,48 @@ class Encoder:
         if kinds(parts["pre_tokenizer"], "pretokenizers") != ["Split", "ByteLevel"]:
             return False
         runs = parts["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", "").split("|")
-        return r"[\p{L}]+" in runs and r"[^\s\p{L}\p{N}]+" in runs
+        return {r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"} <= set(runs)
 
     def ids(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        fresh = set(chunks).difference(self.known)
-        if fresh:
-            if len(self.known) + len(fresh) > self.cache_size:
-                self.known, self.words = {"": b""}, {}
-                fresh = set(chunks).difference(self.known)
-            self._learn(fresh)
-        out = b"".join(map(self.known.__getitem__, chunks))
-        for chunk in fresh:
-            if len(chunk) > self.longest:
-                del self.known[chunk]
-        return out
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        rest = []
-        for chunk in chunks:
-            plain = PLAIN.fullmatch(chunk)
-            if plain and plain[2] in self.marks:
-                word = plain[1].lower()
-                coded = self.words.get(word)
-                if coded is None:
-                    letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-                    coded = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-                    if len(word) <= self.longest:
-                        self.words[word] = coded
-                self.known[chunk] = coded + self.marks[plain[2]]
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def __missing__(self, chunk: str) -> bytes:
+        before = len(self.words)
+        if self.by_words and chunk.isascii() and chunk.isalpha():
+            coded = self._part(chunk)
+        elif self.by_words and chunk[-1] in ".,;:!?" and chunk.isascii() and chunk[:-1].isalpha():
+            coded = self._part(chunk[:-1]) + self._part(chunk[-1])
+        else:
+            parts = PARTS.findall(chunk) if self.by_words else []
+            if sum(map(len, parts)) == len(chunk) and "<|" not in chunk:
+                coded = b"".join(map(self._part, parts))
+            else:
+                coded = self._whole(chunk)
+        # what has a new word is kept as that word, until it comes again
+        if len(self.words) == before and len(chunk) <= self.longest:
+            if len(self) >= self.cache_size:
+                self.clear()
+                self[""] = b""
+            self[chunk] = coded
+        return coded
+
+    def _part(self, part: str) -> bytes:
+        part = part.lower()
+        coded = self.words.get(part)
+        if coded is None:
+            if part.isalpha():
+                letters = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+                coded = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
             else:
-                rest.append(chunk)
-        if rest:
-            self._learn_whole(rest)
-
-    def _learn_whole(self, chunks: list[str]) -> None:
-        """One call for all of them; a token belongs to the chunk in which it begins."""
-        coded = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        begins = np.fromiter((begin for begin, _ in coded.offsets), dtype=np.int64, count=len(coded.ids))
-        ends = np.cumsum(np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) + 1)
-        past = (np.searchsorted(begins, ends) * ID_BYTES).tolist()
-        raw, at = np.array(coded.ids, dtype="<u4").tobytes(), 0
-        for chunk, end in zip(chunks, past, strict=True):
-            self.known[chunk] = raw[at:end]
-            at = end
+                coded = self._whole(part)
+            if len(part) <= self.longest:
+                if len(self.words) >= self.cache_size:
+                    self.words.clear()
+                self.words[part] = coded
+        return coded
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 PIECE = [("start", T.LongType()), ("length", T.IntegerType()), ("doc_tokens", T.LongType()), ("ids", T.BinaryType()), ("chunk", T.IntegerType()), ("nth", T.LongType())]
