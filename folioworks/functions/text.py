@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,17 +44,33 @@ def literal_pattern(query: str, match_case: bool = False, whole_word: bool = Fal
     return body if match_case else "(?iu)" + body
 
 
+def flat_lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers of all lists and the number of the list each is in."""
+    counts = np.asarray(lists.value_lengths().fill_null(0))
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), counts)
+
+
+def sums_by_row(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew in each row."""
+    sums = np.cumsum(values)
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    base = np.zeros(len(values), dtype=np.int64)
+    if len(begins):
+        base = np.repeat(sums[begins] - values[begins], np.diff(begins, append=len(values)))
+    return sums - base
+
+
 def running_starts(lengths: Column, gap: int = 0) -> Column:
-    """Start of every item when items of these lengths follow each other `gap` apart."""
-    return F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<int>)").alias("at")),
-        lambda acc, n: F.struct(
-            (acc["pos"] + n + F.lit(gap)).cast("int").alias("pos"),
-            F.concat(acc["at"], F.array(acc["pos"])).alias("at"),
-        ),
-        lambda acc: acc["at"],
-    )
+    """Start of every item when items of these lengths follow each other `gap` apart; one running sum over a batch."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(lengths: pa.Array) -> pa.Array:
+        width, row = flat_lists(lengths)
+        starts = sums_by_row(width + gap, row) - width - gap
+        ends = np.cumsum(np.bincount(row, minlength=len(lengths)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(starts.astype(np.int32)))
+
+    return run(lengths)
 
 
 def cut_at(text: Column, pattern: str) -> list[Column]:
@@ -65,26 +83,6 @@ def cut_at(text: Column, pattern: str) -> list[Column]:
     return [found, F.split(text, pattern, -1).alias("_p")]
 
 
-def matches(found: Column, pieces: Column) -> Column:
-    """array<struct<start:int,text:string>> of all matches, left to right.
-
-    Pieces and matches alternate, so the start of match k is the length of
-    everything before it.
-    """
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("p"), found.alias("m"))
-    return F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,text:string>>)").alias("hits")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + F.length(x["p"]) + F.length(x["m"])).cast("int").alias("pos"),
-            F.concat(
-                acc["hits"], F.array(F.struct((acc["pos"] + F.length(x["p"])).cast("int").alias("start"), x["m"].alias("text")))
-            ).alias("hits"),
-        ),
-        lambda acc: acc["hits"],
-    )
-
-
 def around(text: Column, start: Column, length: Column, before: int, after: int) -> Column:
     """The text from `before` characters ahead of a match to `after` behind it."""
     begin = F.greatest(start - before, F.lit(0))

@@ -1,10 +1,13 @@
 """Exact text and pattern search over page text, with offsets, snippets and boxes.
 
-Everything about a page is computed inside its row: no shuffle, no UDF.
+Everything about a page is computed inside its row, without a shuffle. Texts stay in the JVM; the places of hits among
+spans come from lengths alone, as sums and binary searches over a batch of pages.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +16,11 @@ from folioworks.functions.text import (
     around,
     collapsed,
     cut_at,
+    flat_lists,
     literal_pattern,
-    matches,
     normalised,
     quoted,
-    running_starts,
+    sums_by_row,
     trimmed,
 )
 from folioworks.plans.rows import positions
@@ -57,29 +60,50 @@ def _texts(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.coalesce(s["text"], F.lit("")))
 
 
-def _placed(spans: Column, gap: int) -> Column:
-    """Spans with the offsets they cover when joined `gap` characters apart."""
-    lengths = F.transform(_texts(spans), F.length)
-    return F.transform(
-        F.arrays_zip(running_starts(lengths, gap).alias("start"), lengths.alias("len"), spans.alias("span")),
-        lambda x: F.struct(
-            x["start"].alias("start"), (x["start"] + x["len"]).alias("end"), x["span"]["bounds"].alias("bounds")
-        ),
-    )
+def _lengths(texts: Column) -> Column:
+    return F.transform(texts, F.length)
 
 
-def span_at(placed: Column, offset: Column) -> Column:
-    """Bounds of the placed span that holds an offset, else null."""
-    holding = F.filter(placed, lambda p: (p["start"] <= offset) & (offset < p["end"]))
-    return F.get(holding, F.lit(0))["bounds"]
+PLACE = "array<struct<start:int,first:int,past:int,at:int>>"
 
 
-def box_over(placed: Column, start: Column, length: Column) -> Column:
-    """Union of the boxes of the placed spans under a range."""
-    boxes = F.transform(
-        F.filter(placed, lambda p: (p["start"] < start + length) & (p["end"] > start)),
-        lambda p: p["bounds"],
-    )
+def hit_places(spans: pa.ListArray, pieces: pa.ListArray, found: pa.ListArray, gap: int) -> pa.ListArray:
+    """Where the hits of each row are, out of the lengths of its spans, of its hits and of the pieces between hits.
+
+    Spans follow each other `gap` characters apart. start is the hit's offset; spans first to past - 1 lie under the
+    hit; at is the span that holds its first character, or -1. Sums and one binary search per hit, whatever their number.
+    """
+    far = np.int64(1) << 32  # keeps the rows apart in one ascending array
+    width, span_row = flat_lists(spans)
+    ends = sums_by_row(width + gap, span_row) - gap
+    starts = ends - width
+    hit, hit_row = flat_lists(found)
+    # one piece more than hits in a row: the last one stands behind the last hit
+    piece, piece_row = flat_lists(pieces)
+    counts = np.bincount(hit_row, minlength=len(found))
+    nth = sums_by_row(np.ones(len(piece), dtype=np.int64), piece_row) - 1
+    before = sums_by_row(piece, piece_row)[nth < counts[piece_row]]
+    start = before + sums_by_row(hit, hit_row) - hit
+    first = np.searchsorted(ends + span_row * far, start + hit_row * far, side="right")
+    past = np.searchsorted(starts + span_row * far, start + hit + hit_row * far, side="left")
+    own = np.searchsorted(span_row, hit_row)  # first span of the row
+    inside = (first < past) & (first < len(starts))
+    inside[inside] = starts[first[inside]] <= start[inside]
+    fields = {"start": start, "first": first - own, "past": past - own, "at": np.where(inside, first - own, -1)}
+    struct = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in fields.values()], list(fields))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), struct)
+
+
+def _places(spans: Column, pieces: Column, found: Column, gap: int) -> Column:
+    @F.arrow_udf(PLACE)
+    def run(spans: pa.Array, pieces: pa.Array, found: pa.Array) -> pa.Array:
+        return hit_places(spans, pieces, found, gap)
+
+    return run(_lengths(_texts(spans)), _lengths(pieces), _lengths(found))
+
+
+def _box(boxes: Column) -> Column:
+    """Union of boxes; zeros where there is none."""
     zero = F.lit(0.0)
     return F.struct(
         F.coalesce(F.array_min(F.transform(boxes, lambda b: b["x0"])), zero).alias("x0"),
@@ -89,6 +113,21 @@ def box_over(placed: Column, start: Column, length: Column) -> Column:
     )
 
 
+def _hits(spans: Column, places: Column, found: Column, box: str) -> Column:
+    """array<struct<start, text, box>>: boxes are looked up inside the page, so no hit carries the page's spans."""
+
+    def bounds(place: Column) -> Column:
+        if box == "first":
+            return F.get(spans, F.when(place["at"] >= 0, place["at"]))["bounds"]
+        under = F.slice(spans, place["first"] + 1, F.greatest(place["past"] - place["first"], F.lit(0)))
+        return _box(F.transform(under, lambda s: s["bounds"]))
+
+    return F.transform(
+        F.arrays_zip(places.alias("p"), found.alias("m")),
+        lambda x: F.struct(x["p"]["start"].alias("start"), x["m"].alias("text"), bounds(x["p"]).alias("box")),
+    )
+
+
 def search(
     pages: DataFrame,
     query: str,
@@ -104,12 +143,10 @@ def search(
         pages = pages.where(F.col("page_index") == page - 1)
     pattern = literal_pattern(query, match_case, whole_word)
     content = F.col("content")
-    # spans are placed once per page, below the explode, not once per hit
-    cut = pages.where(content.rlike(pattern)).select(
-        "revision_id", "page_index", "content", _placed(F.col("spans"), 1).alias("placed"), *cut_at(content, pattern)
-    )
-    keep = ["revision_id", "page_index", "content", "placed"]
-    hits = positions(cut, keep, matches(F.col("_m"), F.col("_p")), "hit", "m")
+    cut = pages.where(content.rlike(pattern)).select("revision_id", "page_index", "content", "spans", *cut_at(content, pattern))
+    cut = cut.withColumn("_places", _places(F.col("spans"), F.col("_p"), F.col("_m"), 1))
+    found = _hits(F.col("spans"), F.col("_places"), F.col("_m"), "first")
+    hits = positions(cut, ["revision_id", "page_index", "content"], found, "hit", "m")
     offset, length = F.col("m.start"), F.length("m.text")
     return hits.select(
         "revision_id",
@@ -117,7 +154,7 @@ def search(
         "hit",
         offset.alias("offset"),
         trimmed(F.replace(around(content, offset, length, 30, 30), F.lit("\n"), F.lit(" "))).alias("snippet"),
-        span_at(F.col("placed"), offset).alias("bounds"),
+        F.col("m.box").alias("bounds"),
     )
 
 
@@ -164,12 +201,10 @@ def _pattern_hits(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
     pieces = F.lit(None).cast("array<string>")
     for name, pattern in patterns.items():
         pieces = F.when(F.col("f.preset") == name, F.split(joined, pattern, -1)).otherwise(pieces)
-    # spans are placed once per page and detector, below the explode, not once per hit
-    keep = ["revision_id", "page_index", "joined", "placed", "preset"]
-    cut = hit.select(
-        "revision_id", "page_index", "joined", _placed(F.col("spans"), 0).alias("placed"), "f.preset", "f._m", pieces.alias("_p")
-    )
-    hits = positions(cut, keep, matches(F.col("_m"), F.col("_p")), "i", "m")
+    cut = hit.select("revision_id", "page_index", "joined", "spans", "f.preset", "f._m", pieces.alias("_p"))
+    cut = cut.withColumn("_places", _places(F.col("spans"), F.col("_p"), F.col("_m"), 0))
+    all_of = _hits(F.col("spans"), F.col("_places"), F.col("_m"), "all")
+    hits = positions(cut, ["revision_id", "page_index", "joined", "preset"], all_of, "i", "m")
     start, length = F.col("m.start"), F.length("m.text")
     return hits.select(
         "revision_id",
@@ -179,7 +214,7 @@ def _pattern_hits(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
         start.alias("offset"),
         F.col("m.text").alias("text"),
         collapsed(around(joined, start, length, 25, 40)).alias("snippet"),
-        box_over(F.col("placed"), start, length).alias("rect"),
+        F.col("m.box").alias("rect"),
     )
 
 

@@ -61,6 +61,26 @@ def search_one_page(spark, sf_dir):
     return _flat(search.search(fx.page_text(spark, sf_dir), "tion", page=2), "bounds")
 
 
+@query(
+    "search_word_spans",
+    r"""WITH w AS (SELECT doc_id AS revision_id, array_to_string(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), ' ') AS content FROM documents),
+        cut AS (SELECT *, string_split_regex(content, '(?i)the') AS p, regexp_extract_all(content, '(?i)the') AS m FROM w),
+        hits AS (SELECT *, unnest(range(len(m))) AS k FROM cut),
+        placed AS (SELECT *, CAST(list_sum(list_transform(p[1:k+1], lambda x: length(x))) + 3 * k AS INTEGER) AS off FROM hits)
+        SELECT revision_id, CAST(k AS INTEGER) AS hit, off AS "offset",
+            CAST(length(substr(content, 1, off)) - length(replace(substr(content, 1, off), ' ', '')) AS DOUBLE) AS x0 FROM placed""",
+)
+def search_word_spans(spark, sf_dir):
+    """Every document one page, every word a span: thousands of spans and hundreds of hits in a row."""
+    words = fx.texts(spark, sf_dir).withColumn("w", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    pages = words.select(
+        "revision_id", F.lit(0).alias("page_index"), F.array_join("w", " ").alias("content"),
+        F.expr("transform(w, (t, i) -> named_struct('text', t, 'bounds', named_struct("
+               "'x0', CAST(i AS DOUBLE), 'y0', 0.0D, 'x1', i + 1.0D, 'y1', 1.0D)))").alias("spans"),
+    )
+    return search.search(pages, "the").select("revision_id", "hit", "offset", "bounds.x0")
+
+
 #: Name, query, whole word, pattern: a word, a phrase with open ends, a phrase of whole words, a substring, two characters.
 INDEXED = [
     ("word", "License", True, r"(?i)\blicense\b"),
