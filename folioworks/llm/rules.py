@@ -178,7 +178,12 @@ def judge(
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, with all their columns, whose id has a kept row."""
-    mark = free_name(docs, "_kept")
-    good = judge(docs, id_col, **options).where("kept").select(F.col(id_col).alias(mark)).distinct()
-    return docs.join(good, docs[id_col] == good[mark], "left_semi")
+    """The rows of docs, with all their columns, that are kept themselves: rows with one id or none are judged apart."""
+    mark = free_name(docs, "_row")
+    text, lang, source = (options.get(f"{c}_col", c) for c in ("text", "lang", "source"))
+    row = F.struct(
+        F.col(id_col).alias("id"), F.sha2(F.col(text).cast("binary"), 256).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source")
+    )
+    marked = docs.withColumn(mark, row)
+    good = judge(marked, mark, **options).where("kept").select(F.col(mark).alias("_good")).distinct()
+    return marked.join(good, marked[mark].eqNullSafe(good["_good"]), "left_semi").drop(mark)
