@@ -88,7 +88,8 @@ def _signatures(fps: DataFrame, max_bits: int) -> DataFrame:
         *[F.struct(F.lit(i).alias("mark"), F.lit(p).alias("wild"), F.lit(_signed(m)).alias("mask")) for i, (p, m) in enumerate(masks)]
     )
     # few bytes become many rows here, so the partition count is set and not left to be merged by size
-    spread = fps.repartition(spread_partitions(fps.sparkSession), "fp")
+    # (by another expression than the one that distinct has hashed by, or Spark leaves the exchange out)
+    spread = fps.repartition(spread_partitions(fps.sparkSession), F.xxhash64("fp"))
     rows = spread.select("fp", F.explode(keys).alias("_k"))
     return rows.select("fp", "_k.wild", "_k.mark", F.xxhash64(F.col("_k.mark"), F.col("fp").bitwiseAND(F.col("_k.mask"))).alias("sig"))
 
@@ -186,13 +187,22 @@ def keep_first(
     """One row of docs per group of near copies, that of the smallest id, with all its columns.
 
     With a similarity, near copies are texts whose sets of `width` word shingles have that Jaccard similarity or more,
-    each checked on the whole sets (see `shingles`); max_bits does not count then. Null ids come last. Of different texts of the smallest id one is kept, and of rows that repeat id and text one.
+    each checked on the whole sets: those within max_bits first, then what shares a key (see `shingles`). Null ids come last. Of different texts of the smallest id one is kept, and of rows that repeat id and text one.
     """
     if similarity is None:
         fps = cut(fingerprints(docs, id_col, text_col, width, seed))
         named = _classes(fps, max_bits, bucket_limit).select("fp", "root")
     else:
-        fps, named = shingles.similar_classes(docs, id_col, text_col, width=width, similarity=similarity, seed=seed, bucket_limit=bucket_limit)
+        fps, named = shingles.similar_classes(
+            docs,
+            id_col,
+            text_col,
+            width=width,
+            similarity=similarity,
+            seed=seed,
+            bucket_limit=bucket_limit,
+            near=lambda distinct: fingerprint_links(distinct, max_bits),
+        )
     winner = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("w")
     winners = fps.join(named, "fp").groupBy("root").agg(winner)
     a, b, row = (free_name(docs, c) for c in ("_id", "_h", "_row"))
