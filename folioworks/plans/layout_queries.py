@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioworks import fixtures as fx
 from folioworks.functions import geometry as geo
-from folioworks.operators import compare, layout
+from folioworks.operators import boxes, compare, layout
 from folioworks.plans.duck_views import with_views
 from folioworks.plans.registry import query
 from folioworks.plans.rows import positions
@@ -290,6 +290,56 @@ def nearest_run(spark, sf_dir):
     return layout.nearest_run(points, fx.page_text(spark, sf_dir).withColumnRenamed("spans", "runs"))
 
 
+# ── detected boxes ──────────────────────────────────────────────────────────
+
+#: Per line of a page: its box at two pixels a point and two halves that stand out by up to five pixels; lines below.
+HALVES = [
+    ("3 * ord", "2 * x0", "1584 - 2 * y1", "2 * x1", "1584 - 2 * y0"),
+    ("3 * ord + 1", "2 * x0 - ord % 5", "1586 - 2 * y1", "x0 + x1 + 10", "1584 - 2 * y0 + ord % 4"),
+    ("3 * ord + 2", "x0 + x1", "1584 - 2 * y1", "2 * x1 + (x1 / 6) % 6", "1585 - 2 * y0"),
+]
+UNDERLINE = ("ord", "2 * x0 + 5", "1584 - 2 * y0 + ord % 2 * 4 - 3", "2 * x1 + 40", "1584 - 2 * y0 + ord % 2 * 4 - 1")
+NAMED = "{} AS ord, {} AS x0, {} AS y_top, {} AS x1, {} AS y_bot"
+
+
+def _in(box: str) -> str:
+    sides = ["{b}.x0 >= {k}.x0 - 3", "{b}.x1 <= {k}.x1 + 3", "{b}.y_top >= {k}.y_top - 3", "{b}.y_bot <= {k}.y_bot + 3"]
+    return " AND ".join(s.format(b=box, k="k") for s in sides)
+
+
+@query(
+    "detected_boxes",
+    with_views(
+        "spans",
+        f"""WITH boxes AS ({" UNION ALL ".join(f"SELECT revision_id, page_index, {NAMED.format(*half)} FROM spans" for half in HALVES)}),
+        long AS (SELECT * FROM (SELECT revision_id, page_index, {NAMED.format(*UNDERLINE)} FROM spans) WHERE x1 - x0 >= 60),
+        free AS (SELECT * FROM long l WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.revision_id = l.revision_id AND b.page_index = l.page_index
+            AND (l.x0 + l.x1) / 2 BETWEEN b.x0 AND b.x1 AND (l.y_top + l.y_bot) / 2 BETWEEN b.y_top AND b.y_bot)),
+        found AS (SELECT *, 0 AS detection FROM boxes WHERE x0 <= x1 UNION ALL
+            SELECT revision_id, page_index, ord, x0, greatest(y_top - 30, 0), x1, y_bot + 1, 1 FROM free),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY revision_id, page_index
+            ORDER BY (x1 - x0) * (y_bot - y_top) DESC, detection, ord) AS r FROM found),
+        step AS (SELECT DISTINCT revision_id, page_index, 0::BIGINT AS r,
+                []::STRUCT(detection INTEGER, ord INTEGER, x0 DOUBLE, y_top DOUBLE, x1 DOUBLE, y_bot DOUBLE)[] AS kept FROM ranked
+            UNION ALL SELECT s.revision_id, s.page_index, b.r, CASE WHEN len(list_filter(s.kept, lambda k: {_in("b")})) > 0 THEN s.kept
+                ELSE list_append(s.kept, {{'detection': b.detection, 'ord': b.ord, 'x0': b.x0, 'y_top': b.y_top, 'x1': b.x1, 'y_bot': b.y_bot}}) END
+            FROM step s JOIN ranked b ON b.revision_id = s.revision_id AND b.page_index = s.page_index AND b.r = s.r + 1),
+        last AS (SELECT revision_id, page_index, unnest(arg_max(kept, r)) AS k FROM step GROUP BY 1, 2),
+        sized AS (SELECT revision_id, page_index, k.*, k.x1 - k.x0 AS w, k.y_bot - k.y_top AS h FROM last)
+        SELECT revision_id, page_index, detection, ord, CASE WHEN w <= 45 AND h <= 45 AND w BETWEEN 0.6 * h AND 1.8 * h THEN 'checkbox' ELSE 'text' END AS kind,
+            x0, y_top, x1, y_bot FROM sized WHERE w >= 20 AND h >= 14""",
+        recursive=True,
+    ),
+)
+def detected_boxes(spark, sf_dir):
+    lines = fx.page_text(spark, sf_dir).select("revision_id", "page_index", F.posexplode("spans").alias("ord", "s"))
+    lines = lines.selectExpr("revision_id", "page_index", "ord", "s.bounds.*")
+    halves = [f"named_struct('ord', {o}, 'x0', {a}, 'y_top', {b}, 'x1', {c}, 'y_bot', {d})" for o, a, b, c, d in HALVES]
+    found = lines.select("revision_id", "page_index", F.explode(F.expr(f"array({', '.join(halves)})")).alias("b"))
+    ruled = lines.selectExpr("revision_id", "page_index", *NAMED.format(*UNDERLINE).split(", "))
+    return boxes.detected_boxes(found.select("revision_id", "page_index", "b.*"), ruled, ["revision_id", "page_index"])
+
+
 # ── geometry ────────────────────────────────────────────────────────────────
 
 
