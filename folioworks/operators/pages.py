@@ -336,34 +336,33 @@ def remap_annotations(annotations: DataFrame, page_map: DataFrame) -> DataFrame:
 def filter_outline(outline: DataFrame, kept: DataFrame, offset: int = 0) -> DataFrame:
     """Outline rows that survive keeping some pages, with remapped page numbers.
 
-    `kept` holds (revision_id, old_idx, new_idx). An entry on a page stays if the
-    page does; an entry without a page stays if a child does; entries under a
-    dropped entry go with it. Works level by level: once up, once down.
+    `kept` holds (revision_id, old_idx, new_idx). An entry on a page stays if the page does; an entry without a page
+    stays if a child does; entries under a dropped entry go with it. So those on kept pages stay that have no dropped
+    entry above them, and with them all that is above. Both follow pointers to the ancestors 1, 2, 4, ... levels up: an
+    outline n levels deep takes log n joins. What hangs from a missing parent or from a circle of parents goes.
     """
     pages = kept.selectExpr("revision_id", "old_idx AS page", "new_idx")
-    mapped = outline.join(pages, ["revision_id", "page"], "left").withColumn(
-        "_on_kept_page", F.col("new_idx").isNotNull()
-    )
-    deepest = outline.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return outline
+    mapped = outline.join(pages, ["revision_id", "page"], "left")
+    left = mapped.where("new_idx IS NOT NULL OR page IS NULL").where("depth = 0 OR parent_id IS NOT NULL")
     ensure_checkpoint_dir(outline.sparkSession)
-    alive: dict[int, DataFrame] = {}
-    for depth in range(deepest, -1, -1):
-        level = mapped.where(F.col("depth") == depth)
-        own = level.where("_on_kept_page")
-        if depth < deepest:
-            parents = alive[depth + 1].selectExpr("revision_id", "parent_id AS node_id").distinct()
-            loose = level.where("page IS NULL").join(parents, ["revision_id", "node_id"], "left_semi")
-            own = own.unionByName(loose)
-        # both passes read a level, so keep it instead of computing it again
-        alive[depth] = own.checkpoint()
-    result = reached = alive[0]
-    for depth in range(1, deepest + 1):
-        up = reached.selectExpr("revision_id", "node_id AS parent_id").distinct()
-        reached = alive[depth].join(up, ["revision_id", "parent_id"], "left_semi")
-        result = result.unionByName(reached)
-    return result.select(
+    up = F.when(F.col("depth") > 0, F.col("parent_id")).alias("up")
+    clear = left.select("revision_id", "node_id", up).distinct().checkpoint()
+    entries, steps = clear.count(), []
+    # in round k: entries with the 2^k next above them there, and the one that is 2^k above, null beyond the root
+    while not clear.where("up IS NOT NULL").isEmpty():
+        if 2 ** len(steps) > entries:
+            clear = clear.where("up IS NULL")
+            break
+        steps.append(clear)
+        there = clear.select("revision_id", F.col("node_id").alias("up"), F.col("up").alias("further"), F.lit(True).alias("there"))
+        clear = clear.join(there, ["revision_id", "up"], "left").where("up IS NULL OR there")
+        clear = clear.select("revision_id", "node_id", F.col("further").alias("up")).checkpoint()
+    node = ["revision_id", "node_id"]
+    stay = mapped.where("new_idx IS NOT NULL").select(*node).distinct().join(clear, node, "left_semi")
+    for step in steps:
+        with_above = stay.join(step, node).select("revision_id", F.explode(F.array("node_id", "up")).alias("node_id"))
+        stay = with_above.where("node_id IS NOT NULL").distinct()
+    return left.join(stay, node, "left_semi").select(
         *[c for c in outline.columns if c != "page"],
         (F.col("new_idx") + offset).cast("int").alias("page"),
     )
