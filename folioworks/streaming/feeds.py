@@ -6,7 +6,7 @@ import datetime
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -46,11 +46,11 @@ class Progress(StatefulProcessor):
         pass
 
 
-def plain(value):
-    """A value for the state: null instead of a missing number, whole numbers that pandas holds as floats whole again."""
-    if pd.isna(value):
-        return None
-    return value if isinstance(value, str) else int(value)
+def plain(column: pd.Series) -> list:
+    """A column's values for the state: null instead of a missing value, whole numbers that pandas holds as floats whole again."""
+    if column.dtype.kind == "f":
+        return [None if pd.isna(v) else int(v) for v in column.tolist()]
+    return [None if pd.isna(v) else v for v in column.tolist()] if column.dtype == object else column.tolist()
 
 
 def wake(handle: StatefulProcessorHandle, at_us: int | None) -> None:
@@ -86,26 +86,74 @@ def unique_jobs_within_watermark(jobs: DataFrame, seconds: int = 60) -> DataFram
     return jobs.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(["worker", "args"])
 
 
-class InOrder(StatefulProcessor):
-    """Holds a key's rows back until the watermark has passed them, then passes them on in event order.
+#: Groups of keys that share a state entry. A checkpoint holds for one number only.
+BUCKETS = 1024
+
+
+def by_bucket(rows: DataFrame, keys: list[str], buckets: int) -> GroupedData:
+    """Rows grouped by a hash of their keys: a call to the state costs much more than a row, so many keys share one."""
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).groupBy("_bucket")
+
+
+def fields(text: str) -> list[tuple[str, str]]:
+    return [tuple(field.split()) for field in text.split(",") if field]
+
+
+def arrays(columns: list[tuple[str, str]]) -> str:
+    return ", ".join(f"{name} array<{kind}>" for name, kind in columns)
+
+
+class Keyed(StatefulProcessor):
+    """One bucket of keys, with one row of `memory` for each key in a single state value."""
+
+    #: Types of what is kept of a key.
+    memory = ""
+
+    def __init__(self, keys: list[T.StructField]):
+        self.keys = [(f.name, f.dataType.simpleString()) for f in keys]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", arrays([*self.keys, *fields(self.memory)]))
+
+    def load(self) -> dict[tuple, tuple]:
+        n = len(self.keys)
+        return {row[:n]: row[n:] for row in zip(*self.held.get())} if self.held.exists() else {}
+
+    def store(self, held: dict[tuple, tuple]) -> None:
+        if held:
+            self.held.update(tuple(map(list, zip(*[(*key, *kept) for key, kept in held.items()]))))
+        else:
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
+
+
+class InOrder(Keyed):
+    """Holds rows back until the watermark has passed them, then passes them on in event order, key by key.
 
     Rows come with their time in microseconds as `at_us` and a number `row_id` that orders equal times. Whatever order they
-    arrive in, within the watermark's delay, `release` sees them in the order of their batch twin. One timer a key
-    stands at its oldest waiting row; when it goes off, all rows that are due are sorted and released, the others stay.
+    arrive in, within the watermark's delay, `release` sees them in the order of their batch twin. One timer a
+    bucket stands at the next time that matters to one of its keys; when it goes off, the bucket's state is read and
+    written once and all rows that are due are sorted and released, the others stay.
     """
 
     #: Types of the waiting rows' columns behind at_us and row_id.
     payload = ""
+    #: Columns of the output.
+    names: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", ", ".join(filter(None, ["at_us long, row_id long", self.payload])))
+        super().init(handle)
+        columns = [*self.keys, ("at_us", "long"), ("row_id", "long"), *fields(self.payload)]
+        self.columns = [name for name, _ in columns]
+        self.waiting = handle.getListState("waiting", arrays(columns))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = ["at_us", "row_id", *[field.split()[0] for field in self.payload.split(",") if field]]
         first = None
         for batch in rows:
-            self.waiting.appendList(list(zip(*[[plain(v) for v in batch[c]] for c in names])))
+            self.waiting.appendValue(tuple(plain(batch[c]) for c in self.columns))
             first = min(filter(lambda t: t is not None, (first, int(batch["at_us"].min()))))
         timers = [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
         if first is not None and all(first // 1000 + 1 < t for t in timers):
@@ -114,64 +162,76 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        due, later = [], []
-        for row in self.waiting.get():
-            (due if row[0] <= passed else later).append(tuple(row))
+        n = len(self.keys)
+        due: dict[tuple, list[tuple]] = {}
+        later: list[tuple] = []
+        for part in self.waiting.get():
+            for row in zip(*part):
+                if row[n] <= passed:
+                    due.setdefault(row[:n], []).append(row[n:])
+                else:
+                    later.append(row)
         if later:
-            self.waiting.put(later)
+            self.waiting.put([tuple(map(list, zip(*later)))])
         else:
             self.waiting.clear()
-        due.sort(key=lambda row: row[:2])
-        yield from self.release(key, due, passed)
-        # what is kept of the key goes only when nothing waits
-        next_ = min(row[0] for row in later) if later else self.forget(passed)
-        wake(self.handle, next_)
-
-    def release(self, key, rows: list[tuple], passed: int) -> Iterator[pd.DataFrame]:
-        """Output for rows in order, the last of them not behind `passed`."""
+        held, out, kept = self.load(), [], {}
+        wait, times = {row[:n] for row in later}, [row[n] for row in later]
+        for one in dict.fromkeys([*held, *due]):
+            rows = sorted(due.get(one, ()), key=lambda row: row[:2])
+            memory = self.release(one, rows, held.get(one), passed, out)
+            until = None if memory is None else self.until(memory)
+            if until is not None and until > passed:
+                times.append(until)
+            elif until is not None and one not in wait:
+                # what is kept of a key goes only when nothing waits
+                self.drop(one, memory)
+                continue
+            if memory is not None:
+                kept[one] = memory
+        self.store(kept)
+        wake(self.handle, min(times, default=None))
+        if out:
+            yield self.frame(out)
+
+    def frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=self.names)
+
+    def release(self, key: tuple, rows: list[tuple], memory: tuple | None, passed: int, out: list[tuple]) -> tuple | None:
+        """Append the output for rows in order, the last of them not behind `passed`; what to keep of the key."""
         raise NotImplementedError
 
-    def forget(self, passed: int) -> int | None:
-        """Clear what the watermark has made useless, or say when it will be."""
+    def until(self, memory: tuple) -> int | None:
+        """When what is kept has to be looked at; it is useless if that has passed."""
         raise NotImplementedError
 
-    def close(self) -> None:
-        pass
+    def drop(self, key: tuple, memory: tuple) -> None:
+        """Clear what else the state holds of a key."""
 
 
 class UniqueJobs(InOrder):
     """Jobs farther than `reach` behind the last kept one."""
 
-    def __init__(self, reach: int):
-        self.reach = reach
+    memory = "at long"
+    names = ["worker", "args", "job_id", "at_us"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.kept = handle.getValueState("kept", "at long")
+    def __init__(self, keys: list[T.StructField], reach: int):
+        super().__init__(keys)
+        self.reach = reach
 
-    def release(self, key, rows, passed):
-        kept = self.kept.get()[0] if self.kept.exists() else None
-        chosen = []
+    def release(self, key, rows, memory, passed, out):
+        kept = memory[0] if memory else None
         for at, job_id in rows:
             if kept is None or at - kept > self.reach:
                 kept = at
-                chosen.append((key[0], key[1], job_id, at))
-        if kept is not None:
-            self.kept.update((kept,))
-        if chosen:
-            yield pd.DataFrame(chosen, columns=["worker", "args", "job_id", "at_us"])
-
-    def forget(self, passed):
-        if not self.kept.exists():
-            return None
-        until = self.kept.get()[0] + self.reach
-        if until > passed:
-            return until
-        self.kept.clear()
-        return None
-
-
-def unique_jobs_stream(jobs: DataFrame, seconds: int = 60, late: str = "1 hour") -> DataFrame:
+                out.append((*key, job_id, at))
+        return None if kept is None else (kept,)
+
+    def until(self, memory):
+        return memory[0] + self.reach
+
+
+def unique_jobs_stream(jobs: DataFrame, seconds: int = 60, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """Jobs kept when repeats within `seconds` of a kept job are dropped, as the batch twin keeps them.
 
     Jobs are judged in event order, once the watermark (`late` behind the newest) has passed them. The state of a
@@ -179,94 +239,148 @@ def unique_jobs_stream(jobs: DataFrame, seconds: int = 60, late: str = "1 hour")
     """
     timed = jobs.withWatermark("ts", late).withColumns({"at_us": F.unix_micros(F.col("ts")), "row_id": F.col("job_id").cast("long")})
     schema = T.StructType([jobs.schema["worker"], jobs.schema["args"], T.StructField("job_id", T.LongType()), T.StructField("at_us", T.LongType())])
-    kept = timed.groupBy("worker", "args").transformWithStateInPandas(
-        statefulProcessor=UniqueJobs(seconds * 1_000_000), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    keys = [jobs.schema["worker"], jobs.schema["args"]]
+    kept = by_bucket(timed, ["worker", "args"], buckets).transformWithStateInPandas(
+        statefulProcessor=UniqueJobs(keys, seconds * 1_000_000), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
     return kept.select("worker", "args", F.col("job_id").cast(jobs.schema["job_id"].dataType), F.timestamp_micros("at_us").alias("ts"))
 
 
+#: Journal levels in one state entry.
+BLOCK = 512
+
+
+class Levels:
+    """Operations of one document by journal level from 1, in blocks that are read when first used and written once."""
+
+    def __init__(self, state, key: tuple, kept: int):
+        self.state, self.key, self.kept, self.readable = state, key, kept, kept
+        self.blocks: dict[int, list[int]] = {}
+        self.changed: set[int] = set()
+
+    def _block(self, number: int) -> list[int]:
+        if number not in self.blocks:
+            stored = number * BLOCK < self.readable
+            self.blocks[number] = list(self.state.getValue((*self.key, number))[0]) if stored else []
+        return self.blocks[number]
+
+    def get(self, level: int) -> int:
+        return self._block((level - 1) // BLOCK)[(level - 1) % BLOCK]
+
+    def push(self, level: int, op_id: int) -> None:
+        number, at = divmod(level - 1, BLOCK)
+        self._block(number)[at:] = [op_id]
+        self.changed.add(number)
+
+    def clear(self) -> None:
+        self.readable = 0
+        self.blocks.clear()
+        self.changed.clear()
+
+    def write(self, top: int) -> None:
+        """Bring the state to levels 1 to `top`."""
+        for number in range(-(-top // BLOCK), -(-self.kept // BLOCK)):
+            self.state.removeKey((*self.key, number))
+        for number in self.changed:
+            if number * BLOCK < top:
+                self.state.updateValue((*self.key, number), (self.blocks[number][: top - number * BLOCK],))
+
+
 class Journal:
-    """Journal and redo depth of a key, and the pushed operations in a map state by journal level.
+    """The pushed operations of a bucket's documents, in a map state by document and block of journal levels.
 
-    An operation reads and writes one entry, and the state holds only what can be undone or redone.
+    An operation reads and writes one block at most, and the state holds only what can be undone or redone.
     """
 
-    def __init__(self, handle: StatefulProcessorHandle):
-        self.depths = handle.getValueState("depths", "journal long, redo long, seen long")
-        self.levels = handle.getMapState("levels", "level long", "op_id long")
+    memory = "journal long, redo long, seen long"
 
-    def clear(self) -> None:
-        self.depths.clear()
-        self.levels.clear()
+    def __init__(self, handle: StatefulProcessorHandle, keys: list[tuple[str, str]]):
+        self.levels = handle.getMapState("levels", ", ".join(f"{name} {kind}" for name, kind in [*keys, ("block", "long")]), "ops array<long>")
 
-    def apply(self, key, rows, idle_us: int | None = None) -> Iterator[pd.DataFrame]:
-        """Outcome of (time, op_id, kind) rows in order; a silence of more than idle_us ends the session before it."""
-        journal, redo, seen = self.depths.get() if self.depths.exists() else (0, 0, None)
-        out = []
+    def apply(self, key: tuple, rows: list[tuple], memory: tuple | None, out: list[tuple], idle_us: int | None = None) -> tuple | None:
+        """Append the outcome of (time, op_id, kind) rows in order; a silence of more than idle_us ends the session before it."""
+        if not rows:
+            return memory
+        journal, redo, seen = memory or (0, 0, None)
+        levels = Levels(self.levels, key, journal + redo)
         for at, op_id, kind in rows:
             if idle_us is not None and seen is not None and at - seen > idle_us:
-                self.levels.clear()
+                levels.clear()
                 journal, redo = 0, 0
-            ok, level, seen = True, None, int(at)
+            ok, target, seen = True, None, at
             if kind == "undo":
                 ok = journal > 0
                 if ok:
-                    level, journal, redo = journal, journal - 1, redo + 1
+                    target = levels.get(journal)
+                    journal, redo = journal - 1, redo + 1
             elif kind == "redo":
                 ok = redo > 0
                 if ok:
-                    level, journal, redo = journal + 1, journal + 1, redo - 1
+                    journal, redo = journal + 1, redo - 1
+                    target = levels.get(journal)
             else:
-                for undone in range(journal + 2, journal + redo + 1):
-                    self.levels.removeKey((undone,))
-                journal, redo = journal + 1, 0
-                self.levels.updateValue((journal,), (int(op_id),))
-                level = journal
-            target = self.levels.getValue((level,))[0] if level is not None else None
-            out.append((key[0], op_id, kind, ok, target, journal, redo))
-        if seen is not None:
-            self.depths.update((journal, redo, seen))
-        if out:
-            yield pd.DataFrame(out, columns=SESSION_ROW.names).astype({"target_op": "Int64"})
+                journal, redo, target = journal + 1, 0, op_id
+                levels.push(journal, op_id)
+            out.append((*key, op_id, kind, ok, target, journal, redo))
+        levels.write(journal + redo)
+        return journal, redo, seen
 
+    def drop(self, key: tuple, memory: tuple) -> None:
+        Levels(self.levels, key, memory[0] + memory[1]).write(0)
 
-class EditSession(StatefulProcessor):
+
+def session_frame(out: list[tuple]) -> pd.DataFrame:
+    """Outcomes as a frame; numbers that may be missing stay whole."""
+    return pd.DataFrame(out, columns=SESSION_ROW.names).astype({"document_id": "Int64", "target_op": "Int64"})
+
+
+class EditSession(Keyed):
     """Operations as they arrive, ordered inside a micro-batch only; sessions never end."""
 
+    memory = Journal.memory
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.journal = Journal(handle)
+        super().init(handle)
+        self.journal = Journal(handle, self.keys)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ops = [op for batch in rows for op in zip(batch["at_us"], batch["row_id"], batch["kind"])]
-        yield from self.journal.apply(key, sorted(ops, key=lambda op: op[:2]))
-
-    def close(self) -> None:
-        pass
+        ops: dict[tuple, list[tuple]] = {}
+        columns = [self.keys[0][0], "at_us", "row_id", "kind"]
+        for batch in rows:
+            for document, *op in zip(*[plain(batch[c]) for c in columns]):
+                ops.setdefault((document,), []).append(tuple(op))
+        held, out = self.load(), []
+        for one, changes in ops.items():
+            held[one] = self.journal.apply(one, sorted(changes, key=lambda op: op[:2]), held.get(one), out)
+        self.store(held)
+        yield session_frame(out)
 
 
 class OrderedSession(InOrder):
     """Operations in event order; a session ends after a silence, in the state when the watermark has passed it."""
 
     payload = "kind string"
+    memory = Journal.memory
 
-    def __init__(self, idle_ms: int):
+    def __init__(self, keys: list[T.StructField], idle_ms: int):
+        super().__init__(keys)
         self.idle_us = idle_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.journal = Journal(handle)
+        self.journal = Journal(handle, self.keys)
+
+    def release(self, key, rows, memory, passed, out):
+        return self.journal.apply(key, rows, memory, out, self.idle_us)
 
-    def release(self, key, rows, passed):
-        yield from self.journal.apply(key, rows, self.idle_us)
+    def until(self, memory):
+        return memory[2] + self.idle_us
 
-    def forget(self, passed):
-        if not self.journal.depths.exists():
-            return None
-        until = self.journal.depths.get()[2] + self.idle_us
-        if until > passed:
-            return until
-        self.journal.clear()
-        return None
+    def drop(self, key, memory):
+        self.journal.drop(key, memory)
+
+    def frame(self, out):
+        return session_frame(out)
 
 
 SESSION_ROW = T.StructType(
@@ -282,7 +396,9 @@ SESSION_ROW = T.StructType(
 )
 
 
-def edit_session_stream(journal: DataFrame, idle_ms: int | None = IDLE_END_MS, late: str = "1 hour") -> DataFrame:
+def edit_session_stream(
+    journal: DataFrame, idle_ms: int | None = IDLE_END_MS, late: str = "1 hour", buckets: int = BUCKETS
+) -> DataFrame:
     """Every operation with its outcome and the operation it pushed, undid or redid.
 
     With idle_ms operations are applied in event order once the watermark (`late` behind the newest) has passed them,
@@ -293,8 +409,9 @@ def edit_session_stream(journal: DataFrame, idle_ms: int | None = IDLE_END_MS, l
     if idle_ms is not None:
         journal = journal.withWatermark("ts", late)
     timed = journal.withColumns({"at_us": F.unix_micros(F.col("ts")), "row_id": F.col("op_id").cast("long")})
-    return timed.groupBy("document_id").transformWithStateInPandas(
-        statefulProcessor=EditSession() if idle_ms is None else OrderedSession(idle_ms),
+    keys = [journal.schema["document_id"]]
+    return by_bucket(timed, ["document_id"], buckets).transformWithStateInPandas(
+        statefulProcessor=EditSession(keys) if idle_ms is None else OrderedSession(keys, idle_ms),
         outputStructType=SESSION_ROW,
         outputMode="Append",
         timeMode="None" if idle_ms is None else "EventTime",
@@ -305,47 +422,34 @@ class ExpiryTimers(InOrder):
     """A timer at each open envelope's end, moved when the end moves and deleted when the envelope closes in time."""
 
     payload = "status string, expires_us long"
+    memory = "status string, expires long, closed long"
 
-    def __init__(self, keep_us: int):
+    def __init__(self, keys: list[T.StructField], keep_us: int):
+        super().__init__(keys)
         self.keep_us = keep_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.newest = handle.getValueState("newest", "status string, expires long, closed long")
-
-    def release(self, key, rows, passed):
-        status, expires, closed = self.newest.get() if self.newest.exists() else (None, None, None)
+    def release(self, key, rows, memory, passed, out):
+        status, expires, closed = memory or (None, None, None)
         for at, _, changed, until in [*rows, (passed + 1, 0, None, None)]:
             if status in OPEN_STATES and expires is not None and expires < at:
-                yield pd.DataFrame({"envelope_id": [key[0]], "event": ["expired"], "expires_us": [expires]})
+                out.append((*key, "expired", expires))
                 status, closed = "expired", expires
             if changed is not None and closed is None:
                 status, expires = changed, until
                 closed = None if changed in OPEN_STATES or changed == "draft" else at
-        if status is not None:
-            self.newest.update((status, expires, closed))
+        return None if status is None else (status, expires, closed)
 
-    def forget(self, passed):
-        if not self.newest.exists():
-            return None
-        status, expires, closed = self.newest.get()
+    def until(self, memory):
+        status, expires, closed = memory
         if closed is None:
             return expires if status in OPEN_STATES else None
-        if closed + self.keep_us > passed:
-            return closed + self.keep_us
-        self.newest.clear()
-        return None
+        return closed + self.keep_us
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        # an end that comes before the next waiting row has its own time
-        timers = [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
-        until = self.forget(timerValues.getCurrentWatermarkInMs() * 1000)
-        if until is not None and all(until // 1000 + 1 < t for t in timers):
-            wake(self.handle, until)
+    def frame(self, out):
+        return pd.DataFrame(out, columns=[self.keys[0][0], "event", "expires_us"]).astype({self.keys[0][0]: "Int64"})
 
 
-def expiry_timers(changes: DataFrame, late: str = "1 hour", keep_closed_days: int = 90) -> DataFrame:
+def expiry_timers(changes: DataFrame, late: str = "1 hour", keep_closed_days: int = 90, buckets: int = BUCKETS) -> DataFrame:
     """(envelope_id, event, occurred_at): one audit row when the watermark passes an open envelope's end.
 
     `changes` is (envelope_id, status, expires_at, changed_at), one row per change of an envelope. Changes that come
@@ -360,8 +464,8 @@ def expiry_timers(changes: DataFrame, late: str = "1 hour", keep_closed_days: in
         }
     )
     schema = T.StructType([timed.schema["envelope_id"], T.StructField("event", T.StringType()), T.StructField("expires_us", T.LongType())])
-    expired = timed.groupBy("envelope_id").transformWithStateInPandas(
-        statefulProcessor=ExpiryTimers(keep_closed_days * 86_400_000_000), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    expired = by_bucket(timed, ["envelope_id"], buckets).transformWithStateInPandas(
+        statefulProcessor=ExpiryTimers([timed.schema["envelope_id"]], keep_closed_days * 86_400_000_000), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
     return expired.select("envelope_id", "event", F.timestamp_micros("expires_us").alias("occurred_at"))
 

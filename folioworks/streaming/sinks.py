@@ -42,7 +42,7 @@ def micro_batches(rows: DataFrame, number: Column, count: int, name: str) -> Dat
     spark = rows.sparkSession
     folder = work_dir(spark, name)
     for i in range(count):
-        rows.where(number == i).coalesce(1).write.parquet(f"{folder}/{i}")
+        rows.where(number == i).repartition(1).write.parquet(f"{folder}/{i}")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
 
 

@@ -137,3 +137,43 @@ def test_finished_operations_leave_the_state(spark, tmp_path):
     state = spark.read.format("statestore").option("stateVarName", "newest").load(checkpoint)
     held = {r.key.operation_id for r in state.select("key").collect()}
     assert held == {i for i in range(30) if i % 3 != 1} | {99}
+
+
+def test_keys_share_state_entries(spark, tmp_path):
+    """What is kept of many envelopes lies in few state entries, so a micro-batch makes few calls for many of them."""
+    rows = [(i, "sent", START + datetime.timedelta(days=30 + i % 5), START) for i in range(500)]
+    schema = "envelope_id long, status string, expires_at timestamp, changed_at timestamp"
+    path, checkpoint, out = (str(tmp_path / name) for name in ("changes", "checkpoint", "audit"))
+    write_parts(spark, rows, schema, path, 1)
+    write_parts(spark, [(-1, "draft", None, START + datetime.timedelta(days=40))], schema, path, 1)
+    feed = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    writer = feeds.expiry_timers(feed, buckets=4).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    writer.option("checkpointLocation", checkpoint).start(out).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert sorted((r.envelope_id, r.occurred_at) for r in got) == sorted((r[0], r[2]) for r in rows)
+    state = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint)
+    assert state.count() <= 4
+
+
+def test_journal_longer_than_a_block(spark, tmp_path):
+    """Undoing and redoing across blocks, over two micro-batches, gives what the batch fold gives."""
+    kinds = ["push"] * 1200 + ["undo"] * 700 + ["redo"] * 300 + ["push"] * 5 + ["undo"] * 810
+    rows = [(i, 7, START + datetime.timedelta(seconds=i), kind) for i, kind in enumerate(kinds)]
+    schema = "op_id long, document_id long, ts timestamp, kind string"
+    path = str(tmp_path / "ops")
+    write_parts(spark, rows, schema, path, 2)
+    feed = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = sinks.run_appends(feeds.edit_session_stream(feed, idle_ms=None), "t-blocks")
+    stack, undone, targets = [], [], []
+    for i, kind in enumerate(kinds):
+        if kind == "push":
+            stack, undone = [*stack, i], []
+        elif kind == "undo" and stack:
+            undone.append(stack.pop())
+        elif kind == "redo" and undone:
+            stack.append(undone.pop())
+        targets.append((i, (undone[-1] if kind == "undo" else stack[-1]) if (stack or undone) else None, len(stack), len(undone)))
+    rows = got.where("ok").select("op_id", "target_op", "journal_depth", "redo_depth").collect()
+    failed = {r.op_id for r in got.where("NOT ok").collect()}
+    assert sorted(map(tuple, rows)) == [t for t in targets if t[0] not in failed]
+    assert failed == set(range(3010, 3015))
