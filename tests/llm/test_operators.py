@@ -576,3 +576,15 @@ def test_pipeline(spark, sf):
     text = {r.doc_id: r.text for r in fourth.collect()}
     back = pieces.decode(last).select("doc_id", "text").collect()
     assert all(r.text == text[r.doc_id] for r in back)
+
+
+def test_pipeline_encodes_four_best(spark):
+    """The last stage lists the second to fourth segmentation and checks that all of them decode."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "the quick brown fox", "en", "web", 19), (2, None, "en", "web", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    first, empty = corpus_pipeline.encode(spark, docs, "").orderBy("doc_id").collect()
+    assert len(first.others) == 3 and first.decodes and empty.decodes and empty.others == []
+    assert first.score >= first.others[0].score >= first.others[1].score >= first.others[2].score
+    ways = {tuple(pieces.expand(first.ids, [(e.at, e.drop, e.ids) for e in other.edits])) for other in first.others}
+    assert len(ways | {tuple(first.ids)}) == 4
