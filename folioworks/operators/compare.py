@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -73,11 +72,14 @@ def page_change_status(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def token_delta(left: DataFrame, right: DataFrame) -> DataFrame:
     """Words whose count differs on a page: (revision_id, page_index, key, removed, added)."""
-    sides = (
-        tokenise(left).select(*KEY, "key", F.lit(1).alias("a"), F.lit(0).alias("b"))
-        .unionByName(tokenise(right).select(*KEY, "key", F.lit(0).alias("a"), F.lit(1).alias("b")))
-        .where(F.col("key") != "")
-    )
+
+    def side(pages: DataFrame, a: int, b: int) -> DataFrame:
+        keys = F.filter(F.transform(_words(F.col("spans")), lambda w: w["key"]), lambda k: k != "")
+        return pages.select(*KEY, F.lit(a).alias("a"), F.lit(b).alias("b"), F.array_join(keys, " ").alias("keys"))
+
+    # a page's keys, which hold no blanks, are shuffled as one string; dealt by page, the words need no shuffle to be counted
+    paged = side(left, 1, 0).unionByName(side(right, 0, 1)).repartition(spread_partitions(left.sparkSession), *KEY)
+    sides = positions(paged, [*KEY, "a", "b"], F.split("keys", " "), "pos", "key").where(F.col("key") != "")
     counts = sides.groupBy(*KEY, "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return counts.where("a <> b").select(
         *KEY, "key", F.greatest(F.col("a") - F.col("b"), F.lit(0)).alias("removed"),
@@ -174,15 +176,18 @@ def lcs_runs(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
 
 
 ARROW_RUNS = pa.list_(pa.struct([("class", pa.string()), ("first", pa.int32()), ("size", pa.int32())]))
+#: Page pairs whose words are Python values at one time.
+SLICE = 64
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the key columns by the runs; the other columns pass as they are."""
-    for batch in batches:
-        a, b = batch.column("keys_a").to_pylist(), batch.column("keys_b").to_pylist()
-        runs = [[dict(zip(("class", "first", "size"), run)) for run in lcs_runs(x, y)] for x, y in zip(a, b)]
-        kept = batch.drop_columns(["keys_a", "keys_b"])
-        yield kept.append_column("runs", pa.array(runs, type=ARROW_RUNS))
+def _align(keys_a: pa.Array, keys_b: pa.Array) -> pa.Array:
+    """The runs of every pair of key lists."""
+    parts = []
+    for at in range(0, max(len(keys_a), 1), SLICE):
+        pairs = zip(keys_a.slice(at, SLICE).to_pylist(), keys_b.slice(at, SLICE).to_pylist())
+        runs = [[dict(zip(("class", "first", "size"), run)) for run in lcs_runs(x, y)] for x, y in pairs]
+        parts.append(pa.array(runs, type=ARROW_RUNS))
+    return pa.concat_arrays(parts)
 
 
 def text_diff(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -193,9 +198,10 @@ def text_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     changed = page_pairs(left, right).where(F.col("content_a") != F.col("content_b"))
     pairs = changed.select(*KEY, _words(F.col("spans_a")).alias("a"), _words(F.col("spans_b")).alias("b"))
-    keys = lambda side: F.transform(side, lambda w: w["key"]).alias(f"keys_{side}")
-    schema = T.StructType([*pairs.schema.fields, T.StructField("runs", RUNS)])
-    runs = pairs.select("*", keys("a"), keys("b")).mapInArrow(_align, schema)
+    keys = lambda side: F.transform(side, lambda w: w["key"])
+    # non-deterministic, so that the optimizer does not repeat it
+    align = F.arrow_udf(_align, RUNS).asNondeterministic()
+    runs = pairs.withColumn("runs", align(keys("a"), keys("b")))
     exploded = positions(runs, [*KEY, "a", "b"], F.col("runs"), "change", "r")
     side = F.when(F.col("r.class") == "deleted", F.col("a")).otherwise(F.col("b"))
     words = exploded.select(

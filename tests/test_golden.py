@@ -410,3 +410,27 @@ def test_reading_order_files(spark, tmp_path):
     text_table.write_reading_order(book, str(tmp_path / "texts"))
     parts = sorted(glob.glob(str(tmp_path / "texts" / "revision_id=1" / "part-*")))
     assert "".join(open(p).read() for p in parts) == "ab\ncd\n"
+
+
+def test_aligned_words_travel_alone(spark):
+    """Only the words' keys cross to Python; text and boxes stay in Spark's rows."""
+    box = {"x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0}
+    schema = "revision_id long, page_index int, content string, spans array<struct<text: string, bounds: struct<x0: double, y0: double, x1: double, y1: double>>>"
+    old = spark.createDataFrame([(i, 0, "a b c", [("a b c", box)]) for i in range(150)], schema)
+    new = spark.createDataFrame([(i, 0, "a d c", [("a d c", box)]) for i in range(150)], schema)
+    diff = compare.text_diff(old, new)
+    plan = diff._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert sorted((r.revision_id, r.text) for r in diff.collect()) == sorted((i, w) for i in range(150) for w in "bd")
+
+
+def test_token_delta_shuffles_pages(spark):
+    """One row a page and side is shuffled, not one a word; repeated pages, pages of one side and empty words as before."""
+    schema = "revision_id long, page_index int, content string, spans array<struct<text: string, bounds: struct<x0: double, y0: double, x1: double, y1: double>>>"
+    page = lambda i, text: (i, 0, text, None if text is None else [(text, None)])
+    old = spark.createDataFrame([page(1, "a A! b"), page(1, "a"), page(2, "x --"), page(4, None)], schema)
+    new = spark.createDataFrame([page(1, "b a"), page(3, "y y"), page(None, "z")], schema)
+    got = {(r.revision_id, r.key, r.removed, r.added) for r in compare.token_delta(old, new).collect()}
+    assert got == {(1, "a", 2, 0), (2, "x", 1, 0), (3, "y", 0, 2), (None, "z", 0, 1)}
+    plan = compare.token_delta(old, new)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
