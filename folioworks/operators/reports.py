@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,6 +172,8 @@ def telemetry_summary(events: DataFrame, keys: list[str], value: str = "value")
 # ── translation ─────────────────────────────────────────────────────────────
 
 Provider = Callable[[str, str, str], str]
+#: Texts that are Python values at one time.
+SLICE = 256
 UNTRANSLATED = "This text was not translated: no provider is set."
 
 
@@ -199,17 +201,20 @@ def translate(misses: DataFrame, provider: Provider = unchanged) -> DataFrame:
         [T.StructField("key", T.StringType()), T.StructField("output", T.StringType()), T.StructField("error", T.StringType())]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    names = ["key", "text", "source_lang", "target_lang"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a few texts at a time are Python values
+        for part in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             rows = []
-            for row in batch.itertuples(index=False):
+            for key, text, source, target in zip(*[part.column(name).to_pylist() for name in names]):
                 try:
-                    rows.append((row.key, provider(row.text, row.source_lang, row.target_lang), None))
+                    rows.append((key, provider(text, source, target), None))
                 except Exception as error:  # one bad text must not fail the job
-                    rows.append((row.key, None, str(error)))
-            yield pd.DataFrame(rows, columns=schema.names)
+                    rows.append((key, None, str(error)))
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()) for values in zip(*rows)], schema.names)
 
-    return misses.mapInPandas(run, schema)
+    return misses.mapInArrow(run, schema)
 
 
 def translated_pages(texts: DataFrame, cache: DataFrame, provider: Provider = unchanged) -> DataFrame:

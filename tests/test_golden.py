@@ -434,3 +434,18 @@ def test_token_delta_shuffles_pages(spark):
     assert got == {(1, "a", 2, 0), (2, "x", 1, 0), (3, "y", 0, 2), (None, "z", 0, 1)}
     plan = compare.token_delta(old, new)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
+
+
+def test_translation_takes_few_texts_at_a_time(spark):
+    """Texts reach the provider from Arrow slices, whatever the batch; a failing one keeps its error."""
+    misses = spark.range(1000).selectExpr("concat('k', id) AS key", "concat('t', id) AS text", "'en' AS source_lang", "CAST(NULL AS STRING) AS target_lang")
+
+    def provider(text, source, target):
+        if text == "t7":
+            raise ValueError("seven")
+        return f"{text}-{source}-{target}"
+
+    done = reports.translate(misses, provider)
+    assert "MapInArrow" in done._jdf.queryExecution().executedPlan().toString()
+    got = {r.key: (r.output, r.error) for r in done.collect()}
+    assert got == {f"k{i}": (None, "seven") if i == 7 else (f"t{i}-en-None", None) for i in range(1000)}
