@@ -177,3 +177,14 @@ def test_journal_longer_than_a_block(spark, tmp_path):
     failed = {r.op_id for r in got.where("NOT ok").collect()}
     assert sorted(map(tuple, rows)) == [t for t in targets if t[0] not in failed]
     assert failed == set(range(3010, 3015))
+
+
+def test_operations_of_no_document_stay_apart(spark, tmp_path):
+    """Rows without a document share a state of their own; they neither take nor change that of another document."""
+    rows = [(i, None if i % 3 == 0 else i % 3, START + datetime.timedelta(seconds=i), "push") for i in range(60)]
+    schema = "op_id long, document_id long, ts timestamp, kind string"
+    path = str(tmp_path / "ops")
+    write_parts(spark, rows, schema, path, 2)
+    feed = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = sinks.run_appends(feeds.edit_session_stream(feed, idle_ms=None), "t-null")
+    assert {(r.document_id, r.op_id, r.journal_depth) for r in got.collect()} == {(r[1], r[0], r[0] // 3 + 1) for r in rows}
