@@ -37,8 +37,8 @@ class Fold:
     def initial(self):
         raise NotImplementedError
 
-    def run(self, rows: pd.DataFrame, state):
-        """Fold consecutive rows of one key; return (dict of output lists, state)."""
+    def run(self, rows, state):
+        """Fold consecutive rows of one key, given as columns by name; return (dict of output lists, state)."""
         raise NotImplementedError
 
     def summarise(self, rows: pd.DataFrame):
@@ -90,23 +90,19 @@ def _folded(
     return folded.select(*columns, *[F.col(f"_f.{name}").alias(name) for name in fold.outputs])
 
 
-def _runs(batch: pd.DataFrame, keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Slices of consecutive rows with equal keys."""
-    changed = np.zeros(len(batch), dtype=bool)
-    for k in keys:
-        values = batch[k].to_numpy()
+def key_cuts(columns: list[np.ndarray]) -> list[int]:
+    """Where runs of consecutive rows with equal keys begin, and the end; nulls are equal."""
+    n = len(columns[0])
+    changed = np.zeros(n, dtype=bool)
+    for values in columns:
         differs = values[1:] != values[:-1]
         both_null = pd.isna(values[1:]) & pd.isna(values[:-1])
-        changed[1:] |= differs & ~both_null
-    cuts = [0, *np.flatnonzero(changed), len(batch)]
-    for start, end in zip(cuts[:-1], cuts[1:]):
-        if end > start:
-            yield batch.iloc[start:end]
+        changed[1:] |= (differs & ~both_null).astype(bool)
+    return [0, *np.flatnonzero(changed).tolist(), n] if n else [0]
 
 
-def _key_of(rows: pd.DataFrame, keys: list[str]) -> tuple:
-    first = rows.iloc[0]
-    return tuple(None if pd.isna(first[k]) else first[k] for k in keys)
+def _key_of(columns: list[np.ndarray], i: int) -> tuple:
+    return tuple(None if pd.isna(c[i]) else c[i] for c in columns)
 
 
 def _stream(keys: list[str], fold: Fold, entry: str | None):
@@ -114,12 +110,16 @@ def _stream(keys: list[str], fold: Fold, entry: str | None):
         current, state = None, None
         for batch in batches:
             added: dict[str, list] = {name: [] for name in fold.outputs}
-            for rows in _runs(batch, keys):
-                key = _key_of(rows, keys)
+            # most keys have few rows, for which slices of a frame cost far more than the fold
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            key_columns = [columns[k] for k in keys]
+            cuts = key_cuts(key_columns)
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                key = _key_of(key_columns, start)
                 if current != key:
                     current = key
-                    state = json.loads(rows[entry].iloc[0]) if entry else fold.initial()
-                out, state = fold.run(rows, state)
+                    state = json.loads(columns[entry][start]) if entry else fold.initial()
+                out, state = fold.run({c: columns[c][start:end] for c in fold.inputs}, state)
                 for name in added:
                     added[name].extend(out[name])
             yield pd.DataFrame(
@@ -153,8 +153,9 @@ def _entry_states(chunks: DataFrame, keys: list[str], order: list[str], fold: Fo
         current, state = None, None
         for batch in batches:
             states = []
+            key_columns = [batch[k].to_numpy() for k in keys]
             for i in range(len(batch)):
-                key = _key_of(batch.iloc[i : i + 1], keys)
+                key = _key_of(key_columns, i)
                 if current != key:
                     current, state = key, fold.initial()
                 states.append(json.dumps(state))
@@ -387,8 +388,8 @@ class HeadRuns(Fold):
     def initial(self):
         return {"head": None, "runs": 0}
 
-    def _rows(self, rows):
-        same = [rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in self.same]
+    def rows(self, rows):
+        same = [[None if v is None or v != v else v for v in rows[c].tolist()] for c in self.same]
         near = [rows[c].astype("float64").tolist() for c in self.near]
         return list(zip(*same, *near))
 
@@ -398,12 +399,12 @@ class HeadRuns(Fold):
             return True
         return any(abs(a - b) > tol for a, b, tol in zip(head[n:], row[n:], self.near.values()))
 
-    def _follow(self, values, state):
+    def follow(self, values, state):
         head, runs = state["head"], state["runs"]
         head = tuple(head) if head is not None else None
         starts, numbers = [], []
         for row in values:
-            new = head is None or self._differs(head, row)
+            new = head is None or (row != head and self._differs(head, row))
             if new:
                 head, runs = row, runs + 1
             starts.append(new)
@@ -411,7 +412,7 @@ class HeadRuns(Fold):
         return starts, numbers, {"head": list(head) if head else None, "runs": runs}
 
     def run(self, rows, state):
-        starts, numbers, state = self._follow(self._rows(rows), state)
+        starts, numbers, state = self.follow(self.rows(rows), state)
         return {"starts": starts, "run": numbers}, state
 
     def _certain_cut(self, before, row) -> bool:
@@ -422,17 +423,17 @@ class HeadRuns(Fold):
         return any(abs(a - b) > 2 * tol for a, b, tol in zip(before[n:], row[n:], self.near.values()))
 
     def summarise(self, rows):
-        values = self._rows(rows)
+        values = self.rows(rows)
         # equal neighbours share a run, so one of them stands for all
         values = [v for i, v in enumerate(values) if i == 0 or v != values[i - 1]]
         cut = next((i for i in range(1, len(values)) if self._certain_cut(values[i - 1], values[i])), None)
         if cut is None:
             return {"lead": [list(v) for v in values], "tail": None}
-        _, _, tail = self._follow(values[cut:], self.initial())
+        _, _, tail = self.follow(values[cut:], self.initial())
         return {"lead": [list(v) for v in values[:cut]], "tail": tail}
 
     def apply_summary(self, state, summary):
-        _, _, state = self._follow([tuple(v) for v in summary["lead"]], state)
+        _, _, state = self.follow([tuple(v) for v in summary["lead"]], state)
         if summary["tail"] is None:
             return state
         return {"head": summary["tail"]["head"], "runs": state["runs"] + summary["tail"]["runs"]}
@@ -468,7 +469,7 @@ class JointSigning(Fold):
 
     def _rows(self, rows):
         event, place, signers, parallel = (rows[c].tolist() for c in self.inputs)
-        known = [not pd.isna(p) for p in place]
+        known = (~pd.isna(np.array(place, dtype=object))).tolist()
         return [
             (e, str(int(p)) if k else None, int(n) if k else 0, bool(a) if k else False)
             for e, p, n, a, k in zip(event, place, signers, parallel, known)
