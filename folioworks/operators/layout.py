@@ -1,15 +1,22 @@
 """Layout reconstruction: lines, positioned text, character runs and nearest runs.
 
-Lines and layout text work inside a page row; runs are a keyed fold.
+Lines and layout text work inside a page row; runs are cut from sorted characters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioworks.plans.folds import HeadRuns, fold_rows
+from folioworks.plans.folds import HeadRuns, fold_rows, key_cuts
+from folioworks.plans.ordered import group_limit, split_hot
 from folioworks.plans.rows import positions
+from folioworks.session import spread_partitions
 
 SPACE_WIDTH = 4.0
 
@@ -121,25 +128,93 @@ def char_runs(chars: DataFrame, limit: int | None = None) -> DataFrame:
     """Runs of characters with the font, size and baseline of the run's first one.
 
     Returns (revision_id, page_index, run, text, font_name, font_size,
-    baseline_y, bold, italic, x0, y0, x1, y1).
+    baseline_y, bold, italic, x0, y0, x1, y1). Pages within the limit become runs in
+    one pass over the sorted characters; a larger one is folded in chunks.
     """
-    key = ["revision_id", "page_index"]
-    side = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
     # flat columns pass through Arrow much faster than structs
-    named = chars.select(
-        *[c for c in chars.columns if c != "bounds"],
-        font_base(F.col("font_name")).alias("_font"),
-        *[F.col(f"bounds.{s}").alias(s) for s in side],
-    )
+    named = chars.select(*PAGE, "ord", "ch", *HEAD, *[F.col(f"bounds.{s}").cast("double").alias(s) for s in SIDES])
     fold = HeadRuns(["_font"], {"font_size": 0.25, "baseline_y": 2.0})
-    placed = fold_rows(named, key, ["ord"], fold, limit)
-    head = F.min_by(F.struct("font_name", "font_size", "baseline_y", "bold", "italic"), "ord").alias("h")
+    limit = group_limit(named, limit)
+    cold, hot, _ = split_hot(named, PAGE, limit)
+    runs = _page_runs(cold, fold)
+    return runs if hot is None else runs.unionByName(_chunked_runs(hot, fold, limit))
+
+
+PAGE = ["revision_id", "page_index"]
+HEAD = ["font_name", "font_size", "baseline_y", "bold", "italic"]
+SIDES = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
+
+
+def _chunked_runs(named: DataFrame, fold: HeadRuns, limit: int) -> DataFrame:
+    placed = fold_rows(named.withColumn("_font", font_base(F.col("font_name"))), PAGE, ["ord"], fold, limit)
+    head = F.min_by(F.struct(*HEAD), "ord").alias("h")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "ch"))), lambda c: c["ch"]), "")
-    boxes = [F.coalesce(how(s), F.lit(0.0)).alias(s) for s, how in side.items()]
-    return placed.groupBy(*key, "run").agg(text.alias("text"), head, *boxes).select(
-        *key, "run", "text", "h.*", *side
+    boxes = [F.coalesce(how(s), F.lit(0.0)).alias(s) for s, how in SIDES.items()]
+    return placed.groupBy(*PAGE, "run").agg(text.alias("text"), head, *boxes).select(*PAGE, "run", "text", "h.*", *SIDES)
+
+
+def _page_runs(named: DataFrame, fold: HeadRuns) -> DataFrame:
+    """Runs of pages that a task may hold: sorted by page and order, cut and joined batch by batch."""
+    fields = {f.name: f for f in named.schema}
+    schema = T.StructType(
+        [
+            *[fields[k] for k in PAGE], T.StructField("run", T.LongType()), T.StructField("text", T.StringType()),
+            *[fields[h] for h in HEAD], *[T.StructField(s, T.DoubleType()) for s in SIDES],
+        ]
     )
 
+    def pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches cut where a page ends."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_pandas().to_numpy() for k in PAGE]
+            last = key_cuts(columns)[-2]
+            other = bool(held) and [held[-1].column(k)[-1].as_py() for k in PAGE] != [batch.column(k)[0].as_py() for k in PAGE]
+            if last or other:
+                whole = [*held, batch.slice(0, last)]
+                held = []
+                yield pa.Table.from_batches(whole).combine_chunks().to_batches()[0]
+            held.append(batch.slice(last))
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pages_of(batches):
+            columns = {c: batch.column(c).to_pandas() for c in [*PAGE, *fold.inputs]}
+            values = fold.rows(columns)
+            cuts = key_cuts([columns[k].to_numpy() for k in PAGE])
+            starts, numbers = [], []
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                opens, runs, _ = fold.follow(values[start:end], fold.initial())
+                starts.extend(opens)
+                numbers.extend(runs)
+            at = np.flatnonzero(starts)
+            ends = [*at[1:].tolist(), batch.num_rows]
+            chars = ["" if c is None else c for c in batch.column("ch").to_pylist()]
+            text = ["".join(chars[i:j]) for i, j in zip(at.tolist(), ends)]
+            heads = batch.select([*PAGE, *HEAD]).take(pa.array(at))
+            boxes = [_extreme(batch.column(s), at, how is F.min) for s, how in SIDES.items()]
+            arrays = [
+                *[heads.column(k) for k in PAGE], pa.array(np.array(numbers, np.int64)[at]), pa.array(text, pa.string()),
+                *[heads.column(h) for h in HEAD], *boxes,
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+
+    # a fixed count: Python work is costly per byte, so small partitions must not merge
+    dealt = named.repartition(spread_partitions(named.sparkSession), *PAGE).sortWithinPartitions(*PAGE, "ord", "ch")
+    return dealt.withColumn("_font", font_base(F.col("font_name"))).mapInArrow(run, schema)
+
+
+def _extreme(side: pa.Array, starts: np.ndarray, least: bool) -> pa.Array:
+    """The least or greatest of each slice as the SQL aggregates take it: nulls do not count, NaN is the greatest; 0 where all are null."""
+    values, given = side.to_numpy(zero_copy_only=False), side.is_valid().to_numpy(zero_copy_only=False)
+    found = (np.fmin if least else np.fmax).reduceat(values, starts)
+    nan = np.logical_or.reduceat(given & np.isnan(values), starts)
+    nan = nan & np.isnan(found) if least else nan
+    return pa.array(np.where(nan, np.nan, np.where(np.isnan(found), 0.0, found)), pa.float64(), from_pandas=False)
+
 
 def nearest_run(points: DataFrame, pages: DataFrame) -> DataFrame:
     """The run under each point: the first whose box holds it, else the nearest centre.
