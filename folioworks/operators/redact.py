@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioworks.functions.text import running_starts
 from folioworks.plans.rows import positions
@@ -13,6 +16,7 @@ BAND = 36.0  # height in points of the strips that split a page's rectangle join
 
 # gram lengths that anchor the survivor search; a text uses the longest that fits
 GRAMS = [12, 3, 1]
+SLOT_BITS = 12
 
 
 def marks_for_hits(hits: DataFrame, accepted: DataFrame, inline: DataFrame | None = None) -> DataFrame:
@@ -144,22 +148,70 @@ def redact_pattern(pages: DataFrame, pattern: str) -> DataFrame:
     return df.select(*[new.get(c, F.col(c)) for c in pages.columns])
 
 
-def _gram(length: Column) -> Column:
-    size = F.lit(GRAMS[-1])
-    for g in reversed(GRAMS[:-1]):
-        size = F.when(length >= g, g).otherwise(size)
-    return size
-
-
-def _grams_of(content: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(content) - (size - 1), F.lit(1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.substring(content, i, F.lit(size))))
-    return F.when(F.length(content) >= size, hashes).otherwise(F.expr("cast(array() as array<bigint>)"))
-
-
-def _page_grams(content: Column) -> Column:
-    """Distinct hashed substrings of the anchor lengths in a text."""
-    return F.array_distinct(F.flatten(F.array(*[_grams_of(content, size) for size in GRAMS])))
+def _gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` code points from each place on; the last size - 1 places have none."""
+    n = max(len(codes) - size + 1, 0)
+    found = np.full(n, size, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            found = found * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
+        found ^= found >> np.uint64(32)
+        return found * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+@F.arrow_udf(T.LongType())
+def _anchor(texts: pa.Array) -> pa.Array:
+    """Hash of the first characters of a text, as many as the longest anchor length that fits."""
+    found = []
+    for text in texts.to_pylist():
+        size = next((g for g in GRAMS if len(text) >= g), GRAMS[-1])
+        found.append(_gram_hashes(_codes(text[:size]), size)[0])
+    return pa.array(np.array(found, dtype=np.uint64).view(np.int64))
+
+
+@F.arrow_udf(T.IntegerType())
+def _anchor_slot(anchors: pa.Array) -> pa.Array:
+    return pa.array(_slot(anchors.to_numpy(zero_copy_only=False).view(np.uint64)).astype(np.int32))
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _page_grams(rows: pa.Array) -> pa.Array:
+    """Distinct hashed substrings of the anchor lengths in the two readings of a page, as far as their slots are wanted."""
+    out, step = [], 256  # a table of wanted slots for so many pages at once
+    for low in range(0, len(rows), step):
+        part = rows.slice(low, step)
+        slots = part.field("slots")
+        wanted = np.zeros((len(part), 1 << SLOT_BITS), dtype=bool)
+        owner = np.repeat(np.arange(len(part)), slots.value_lengths().to_numpy(zero_copy_only=False))
+        wanted[owner, slots.flatten().to_numpy(zero_copy_only=False)] = True
+        texts = [t or "" for side in ("content", "joined") for t in part.field(side).to_pylist()]
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        codes = _codes("".join(texts))
+        page = np.repeat(np.tile(np.arange(len(part)), 2), lengths)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+        pages, grams = [], []
+        for size in GRAMS:
+            hashes = _gram_hashes(codes, size)
+            n = len(hashes)
+            at = np.flatnonzero((left[:n] >= size) & wanted[page[:n], _slot(hashes)])
+            pages.append(page[at])
+            grams.append(hashes[at])
+        pages, grams = np.concatenate(pages), np.concatenate(grams)
+        order = np.lexsort((grams, pages))
+        pages, grams = pages[order], grams[order]
+        fresh = np.ones(len(pages), dtype=bool)
+        fresh[1:] = (pages[1:] != pages[:-1]) | (grams[1:] != grams[:-1])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(pages[fresh], minlength=len(part)))])
+        out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(grams[fresh].view(np.int64))))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
 
 
 def _joined_spans(spans: Column) -> Column:
@@ -171,22 +223,25 @@ def verify_absent(redacted: DataFrame, strings: DataFrame) -> DataFrame:
 
     Returns (revision_id, page_index, text, found_on, same_page): a survivor on
     its own page means the mark failed, one on another page is a repeat. The
-    text's first characters are the join key: only keys are exploded and
-    shuffled, and only pages that hold one are joined back to their text.
+    text's first characters are the join key. A page knows the slots that its
+    document's keys fall in, so of its substrings only those in such a slot are
+    exploded, and only pages that hold a key are joined back to their text.
     """
     ensure_checkpoint_dir(strings.sparkSession)
     # read three times below
     wanted = strings.where(F.col("text") != "").distinct().checkpoint()
-    size = _gram(F.length("text"))
-    anchored = wanted.withColumn("anchor", F.xxhash64(F.substring(F.col("text"), F.lit(1), size)))
+    anchored = wanted.withColumn("anchor", _anchor("text"))
+    # no more slots a document than there are
+    slots = anchored.select("revision_id", _anchor_slot("anchor").alias("slot")).distinct()
+    slots = slots.groupBy("revision_id").agg(F.collect_list("slot").alias("slots"))
     pages = redacted.select(
         "revision_id", F.col("page_index").alias("found_on"), "content", _joined_spans(F.col("spans")).alias("joined")
-    ).join(wanted.select("revision_id").distinct(), "revision_id", "left_semi")
-    readable = F.array_union(_page_grams(F.coalesce("content", F.lit(""))), _page_grams(F.coalesce("joined", F.lit(""))))
+    ).join(slots, "revision_id")
+    readable = _page_grams(F.struct("content", "joined", "slots"))
     grams = positions(pages, ["revision_id", "found_on"], readable, "_", "anchor").drop("_")
     likely = grams.join(anchored, ["revision_id", "anchor"]).drop("anchor").distinct()
     return (
-        likely.join(pages, ["revision_id", "found_on"])
+        likely.join(pages.drop("slots"), ["revision_id", "found_on"])
         .where(F.contains("content", "text") | F.coalesce(F.contains("joined", "text"), F.lit(False)))
         .select(
             "revision_id", "page_index", "text", "found_on",
