@@ -1,9 +1,10 @@
 """A stored index of page text for repeated searches: word positions and trigrams, both in one posting table.
 
 `build` writes two tables into a folder: `pages`, the page text dealt by a hash of
-the page to partitions `part`, and `postings`, one row per term and page, dealt by
-a hash of the term to partitions `bucket`. A word's row holds its places on the
-page in ascending order, each as the distance to the one before.
+the page to partitions `part`, and `postings`, one row per term and lot of pages
+with the pages that have the term, dealt by a hash of the term to partitions
+`bucket`. With a word's page stand its places on it in ascending order, each as the
+distance to the one before.
 
 A search reads the postings of its terms only: words that the query shows whole
 must stand on a page one behind the other in the query's order; a query that shows
@@ -36,6 +37,8 @@ GRAM = 3
 #: Marks pages with characters that match ASCII word characters without being one; no word contains it.
 ODD_PAGE = "\x00"
 PAGE_KEY = ["revision_id", "page_index"]
+#: Pages whose terms are gathered before they are written: a row each for term and page costs far more to move and sort.
+LOT = 2_000
 
 
 def _canonical() -> dict[int, str]:
@@ -55,25 +58,40 @@ DOTTED_I = "İ"
 ODD = re.compile("[" + DOTTED_I + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.lower().translate(CANONICAL).isascii()) + "]")
 
 
+ANY_CANONICAL = re.compile("[" + "".join(map(chr, CANONICAL)) + "]")
+
+
 def folded(text: str) -> str:
-    return text.replace(DOTTED_I, "i").lower().translate(CANONICAL)
+    plain = text.replace(DOTTED_I, "i").lower()
+    return plain.translate(CANONICAL) if ANY_CANONICAL.search(plain) else plain
 
 
-def terms(content: str) -> Iterator[tuple[str, str, list[int]]]:
-    """(kind, term, places as distances) of a page."""
+def words(content: str) -> Iterator[tuple[str, list[int]]]:
+    """(word, places as distances) of a page."""
     places: dict[str, list[int]] = {}
     last: dict[str, int] = {}
-    for at, word in enumerate(WORD.findall(content)):
+    for at, word in enumerate(WORD.findall(content.lower() if content.isascii() else content)):
         word = word.lower()
         places.setdefault(word, []).append(at - last.get(word, 0))
         last[word] = at
-    for word, distances in places.items():
-        yield "word", word, distances
-    if ODD.search(content):
-        yield "word", ODD_PAGE, []
-    plain = folded(content)
-    for gram in {plain[i : i + GRAM] for i in range(len(plain) - GRAM + 1)}:
-        yield "gram", gram, []
+    yield from places.items()
+    if not content.isascii() and ODD.search(content):
+        yield ODD_PAGE, []
+
+
+def grams(plain: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(trigrams, number of texts of each, those texts one trigram after the other) of folded texts."""
+    lengths = np.array([len(t) for t in plain], dtype=np.int64)
+    codes = np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32).astype(np.int64)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+    at = np.flatnonzero(left >= GRAM)
+    # code points have 21 bits
+    packed = codes[at] << 42 | codes[at + 1] << 21 | codes[at + 2]
+    found, which = np.unique(packed, return_inverse=True)
+    pairs = np.unique(which * len(plain) + np.repeat(np.arange(len(plain)), lengths)[at])
+    counts = np.bincount(pairs // max(len(plain), 1), minlength=len(found))
+    names = [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in found.tolist()]
+    return names, counts, pairs % max(len(plain), 1)
 
 
 def _bucket(buckets: int):
@@ -85,26 +103,36 @@ def _part(parts: int):
 
 
 def postings(pages: DataFrame) -> DataFrame:
-    """(kind, term, revision_id, page_index, places) of pages with (revision_id, page_index, content)."""
+    """(kind, term, pages as array<struct<revision_id, page_index, places>>) of pages with (revision_id, page_index, content)."""
     narrow = pages.select(*PAGE_KEY, "content")
-    keys = [narrow.schema[k] for k in PAGE_KEY]
-    rest = [("kind", T.StringType()), ("term", T.StringType()), ("places", T.ArrayType(T.IntegerType()))]
-    schema = T.StructType([*keys, *[T.StructField(n, t) for n, t in rest]])
-    types = [pa.string(), pa.string(), pa.list_(pa.int32())]
+    held = T.StructType([*[narrow.schema[k] for k in PAGE_KEY], T.StructField("places", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType(
+        [T.StructField("kind", T.StringType()), T.StructField("term", T.StringType()), T.StructField("pages", T.ArrayType(held))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
-            for i, content in enumerate(batch.column("content")):
-                for row in terms(content.as_py() or ""):
-                    at.append(i)
-                    rows.append(row)
-                if len(rows) >= 100_000 or i == len(batch) - 1:
-                    own = [batch.column(k).take(pa.array(at, pa.int64())) for k in PAGE_KEY]
-                    columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-                    arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*own, *arrays], schema.names)
-                    at, rows = [], []
+            for low in range(0, batch.num_rows, LOT):
+                lot = batch.slice(low, LOT)
+                contents = [c or "" for c in lot.column("content").to_pylist()]
+                found: dict[str, tuple[list[int], list[list[int]]]] = {}
+                for i, content in enumerate(contents):
+                    for word, distances in words(content):
+                        entry = found.get(word)
+                        if entry is None:
+                            entry = found[word] = ([], [])
+                        entry[0].append(i)
+                        entry[1].append(distances)
+                names, counts, in_pages = grams([folded(c) for c in contents])
+                at = np.concatenate([np.array([i for own, _ in found.values() for i in own], dtype=np.int64), in_pages])
+                places = pa.array([p for _, own in found.values() for p in own], pa.list_(pa.int32()))
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(in_pages) + 1, np.int32)), pa.array([], pa.int32()))
+                held_by = [*[lot.column(k).take(pa.array(at)) for k in PAGE_KEY], pa.concat_arrays([places, none])]
+                rows = pa.StructArray.from_arrays(held_by, held.names)
+                offsets = np.cumsum([0, *[len(own) for own, _ in found.values()], *counts.tolist()]).astype(np.int32)
+                kinds = ["word"] * len(found) + ["gram"] * len(names)
+                arrays = [pa.array(kinds, pa.string()), pa.array([*found, *names], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), rows)]
+                yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return narrow.mapInArrow(run, schema)
 
@@ -117,9 +145,11 @@ def build(pages: DataFrame, folder: str, *, buckets: int = 64, parts: int = 64,
     sizes = pages.sparkSession.createDataFrame([(buckets, parts)], "bucket int, part int")
     sizes.write.parquet(f"{folder}/sizes")
     split = F.pmod(F.hash(*PAGE_KEY), F.lit(splits))
+    # rows of a term differ in the first of their pages
+    own = F.pmod(F.hash(*[F.col("pages")[0][k] for k in PAGE_KEY]), F.lit(splits))
     sorted_ = (
-        postings(pages).withColumn("bucket", _bucket(buckets)).repartition("kind", "bucket", split)
-        .sortWithinPartitions("kind", "bucket", "term", *PAGE_KEY)
+        postings(pages).withColumn("bucket", _bucket(buckets)).repartition("kind", "bucket", own)
+        .sortWithinPartitions("kind", "bucket", "term")
     )
     sorted_.write.partitionBy("kind", "bucket").parquet(f"{folder}/postings")
     dealt = pages.select(*PAGE_KEY, "content", "spans").withColumn("part", _part(parts))
@@ -141,7 +171,8 @@ def _read(spark: SparkSession, folder: str, kind: str, wanted: list[str]) -> Dat
     """Postings of the wanted terms, from their buckets only."""
     table = spark.read.parquet(f"{folder}/postings").where(F.col("kind") == kind)
     found = spark.createDataFrame([(t,) for t in wanted], "term string").select(_bucket(_count(spark, folder, "bucket")).alias("b")).distinct().collect()
-    return table.where(F.col("bucket").isin([r["b"] for r in found]) & F.col("term").isin(wanted))
+    rows = table.where(F.col("bucket").isin([r["b"] for r in found]) & F.col("term").isin(wanted))
+    return rows.select("term", F.explode("pages").alias("p")).select("term", "p.*")
 
 
 def _count(spark: SparkSession, folder: str, column: str) -> int:

@@ -92,3 +92,13 @@ def test_reads_only_parts_with_candidates(spark):
         children = node.children()
         stack += [children.apply(i) for i in range(children.size())]
     assert len(scans) == 1 and scans[0] < 60, scans
+
+
+def test_a_term_has_one_row_for_a_lot_of_pages(spark):
+    texts = ["abc abd İx ab", "", None, "ABC ſ 😀😀😀 abc", "a b c", "ab"]
+    pages = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "revision_id long, page_index int, content string").coalesce(1)
+    got = {(r.kind, r.term): [(p.revision_id, p.places) for p in r.pages] for r in text_index.postings(pages).collect()}
+    assert got["word", "abc"] == [(0, [0]), (3, [0, 1])] and got["gram", "abc"] == [(0, []), (3, [])]
+    assert got["word", text_index.ODD_PAGE] == [(0, []), (3, [])]
+    want = {(i, text_index.folded(t or "")[k : k + 3]) for i, t in enumerate(texts) for k in range(len(text_index.folded(t or "")) - 2)}
+    assert want == {(i, term) for (kind, term), held in got.items() if kind == "gram" for i, _ in held}
