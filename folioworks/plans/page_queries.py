@@ -33,7 +33,7 @@ def page_selector(spark, sf_dir):
         F.when(k == 1, 4),
         F.array(F.lit(1), F.lit(3), F.lit(9)),
     )
-    return fx.page_text(spark, sf_dir).where(chosen).select("revision_id", "page_index")
+    return fx.page_numbers(spark, sf_dir).where(chosen).select("revision_id", "page_index")
 
 
 def _specs(spark, sf_dir) -> DataFrame:
@@ -135,7 +135,7 @@ def split_by_size(spark, sf_dir):
 def outline(spark, sf_dir) -> DataFrame:
     """Three levels per document: a root without page, chapters of three pages
     (the even ones without page), and one entry per page."""
-    pages = fx.page_text(spark, sf_dir).select("revision_id", "page_index")
+    pages = fx.page_numbers(spark, sf_dir)
     root = "revision_id * 10000"
     roots = pages.where("page_index = 0").selectExpr(
         "revision_id", f"{root} AS node_id", "CAST(NULL AS BIGINT) AS parent_id", "0 AS depth", "0 AS ord",
@@ -177,7 +177,7 @@ OUTLINE = """outline AS (SELECT revision_id, revision_id * 10000 AS node_id, NUL
     ),
 )
 def split_at_bookmarks(spark, sf_dir):
-    counts = fx.page_text(spark, sf_dir).groupBy("revision_id").agg(F.count("*").cast("int").alias("page_count"))
+    counts = fx.page_numbers(spark, sf_dir).groupBy("revision_id").agg(F.count("*").cast("int").alias("page_count"))
     return op.split_at_bookmarks(counts, outline(spark, sf_dir), 2)
 
 
@@ -197,7 +197,7 @@ def split_at_bookmarks(spark, sf_dir):
     ),
 )
 def outline_filter(spark, sf_dir):
-    kept = fx.page_text(spark, sf_dir).where("page_index % 3 <> 2").selectExpr(
+    kept = fx.page_numbers(spark, sf_dir).where("page_index % 3 <> 2").selectExpr(
         "revision_id", "page_index AS old_idx", "CAST(page_index - page_index div 3 AS INT) AS new_idx"
     )
     return op.filter_outline(outline(spark, sf_dir), kept, offset=10).select("revision_id", "node_id", "depth", "page")
