@@ -109,21 +109,23 @@ def _holders(points: DataFrame, boxes: DataFrame, tolerance: float) -> DataFrame
     return met.where(around).select("_p", "_b")
 
 
+def _rank(box: Column) -> Column:
+    """What comes first is larger, or found before."""
+    area = (box["x1"] - box["x0"]) * (box["y_bot"] - box["y_top"])
+    return F.struct((-area).alias("less"), *(box[c].alias(c) for c in ["detection", "ord", *SIDES]))
+
+
 def _outermost(boxes: DataFrame, tolerance: float) -> DataFrame:
-    """Boxes that lie in no box kept before them; boxes of one place are one."""
-    rank = F.struct((-(_width() * _height())).alias("less"), "detection", "ord", *SIDES)
-    one = boxes.withColumn("_rank", rank).groupBy("_page", *SIDES).agg(F.min("_rank").alias("_rank"))
-    one = _cut(one)
+    """Boxes that lie in no box kept before them; boxes of one place are one. Pairs are pairs of numbers."""
+    first = F.min(F.struct("detection", "ord")).alias("_f")
+    one = boxes.groupBy("_page", *SIDES).agg(first).select("_page", *SIDES, "_f.*")
+    one = _cut(one.withColumn("_id", F.monotonically_increasing_id()))
     inner, outer = F.col("_p"), F.col("_b")
     met = _holders(_at(one, F.col("x0"), F.col("y_top"), F.greatest(_width(), _height())), one, tolerance)
     within = (inner["x1"] <= outer["x1"] + tolerance) & (inner["y_bot"] <= outer["y_bot"] + tolerance)
-    edges = met.where(within & (outer["_rank"] < inner["_rank"])).select(
-        F.struct("_b._page", "_b._rank").alias("outer"), F.struct("_p._page", "_p._rank").alias("inner")
-    )
-    hidden = _hidden(edges).select("inner._page", "inner._rank")
-    return one.join(hidden, ["_page", "_rank"], "left_anti").select(
-        "_page", "_rank.detection", "_rank.ord", *SIDES
-    )
+    edges = met.where(within & (_rank(outer) < _rank(inner))).select(outer["_id"].alias("outer"), inner["_id"].alias("inner"))
+    hidden = _hidden(edges).withColumnRenamed("inner", "_id")
+    return one.join(hidden, "_id", "left_anti").select("_page", "detection", "ord", *SIDES)
 
 
 def _hidden(edges: DataFrame) -> DataFrame:

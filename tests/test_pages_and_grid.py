@@ -31,3 +31,21 @@ def test_page_numbers_move_no_text(spark, folder):
     got, pages = fx.page_numbers(spark, folder), fx.page_text(spark, folder).select("revision_id", "page_index")
     assert got.dtypes == pages.dtypes and sorted_rows(got) == sorted_rows(pages)
     assert "Exchange" not in plan(page_queries.outline(spark, folder))
+
+
+def test_line_lengths_move_no_text(spark, folder):
+    got = fx.line_lengths(spark, folder)
+    spans = fx.page_text(spark, folder).selectExpr("revision_id", "page_index", "posexplode(spans) AS (ord, s)")
+    spans = spans.selectExpr("revision_id", "page_index", "ord", "length(s.text) AS chars")
+    assert got.dtypes == spans.dtypes and sorted_rows(got) == sorted_rows(spans)
+    assert "Exchange" not in plan(got)
+
+
+def test_pairs_of_boxes_are_pairs_of_numbers(spark, monkeypatch):
+    seen, plain = [], boxes._hidden
+    monkeypatch.setattr(boxes, "_hidden", lambda edges: (seen.append(edges.dtypes), plain(edges))[1])
+    rows = [(1, 0, 0.0, 0.0, 90.0, 90.0, 0), (1, 0, 5.0, 5.0, 60.0, 60.0, 1)]
+    schema = "doc int, page int, x0 double, y_top double, x1 double, y_bot double, ord int"
+    got = boxes.detected_boxes(spark.createDataFrame(rows, schema), spark.createDataFrame([], schema), ["doc", "page"])
+    assert [r.ord for r in got.collect()] == [0]
+    assert seen == [[("outer", "bigint"), ("inner", "bigint")]]
