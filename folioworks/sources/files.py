@@ -112,7 +112,9 @@ def sheet_grid(cells: DataFrame) -> DataFrame:
             lambda z: F.concat(F.array_repeat(F.lit(""), z["x"]["col"] - z["p"] - 1), F.array(z["x"]["value"])),
         )
     )
-    heads = placed.groupBy("sheet_id").agg(F.min("row").alias("_first"))
-    return rows.withColumn("cells", dense).join(heads, "sheet_id").select(
-        "sheet_id", "row", (F.col("row") == F.col("_first")).alias("is_header"), "cells"
+    # joined by sheet and row, as the rows lie already: the cells cross one shuffle
+    heads = cells.groupBy("sheet_id").agg(F.min("row").alias("row")).withColumn("_head", F.lit(True))
+    first = F.when(F.col("row").isNotNull(), F.col("_head").isNotNull()).alias("is_header")
+    return rows.where(F.col("sheet_id").isNotNull()).withColumn("cells", dense).join(heads, ["sheet_id", "row"], "left").select(
+        "sheet_id", "row", first, "cells"
     )

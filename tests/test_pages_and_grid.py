@@ -49,3 +49,47 @@ def test_pairs_of_boxes_are_pairs_of_numbers(spark, monkeypatch):
     got = boxes.detected_boxes(spark.createDataFrame(rows, schema), spark.createDataFrame([], schema), ["doc", "page"])
     assert [r.ord for r in got.collect()] == [0]
     assert seen == [[("outer", "bigint"), ("inner", "bigint")]]
+
+
+def test_sheet_rows_cross_one_shuffle(spark):
+    rows = [(1, 2, "B2", "x"), (1, 2, "A2", " y "), (1, 5, "C5", "z"), (None, 1, "A1", "no sheet"), (2, None, "A1", "no row"),
+            (2, 3, "A3", None), (3, None, "A1", "only"), (1, None, "A1", "none")]
+    cells = spark.createDataFrame(rows, "sheet_id long, row int, ref string, value string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grid = files.sheet_grid(cells)
+        moved = [line for line in plan(grid).splitlines() if "Exchange hashpartitioning(sheet_id" in line]
+        got = {(r.sheet_id, r.row): (r.is_header, r.cells) for r in grid.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {
+        (1, 2): (True, ["y", "x"]), (1, 5): (False, ["", "", "z"]), (1, None): (None, ["none"]), (2, None): (None, ["no row"]),
+        (2, 3): (True, [""]), (3, None): (None, ["only"]),
+    }
+    # the cells by sheet and row, the first rows by sheet and then by sheet and row: no exchange by sheet carries cells
+    assert not [line for line in moved if ", row" not in line and "cells" in line]
+    assert len(moved) == 3
+
+
+def test_components_are_found_once_however_many_rounds(spark, monkeypatch):
+    calls, plain = [], shingles.components
+    monkeypatch.setattr(shingles, "components", lambda *a: (calls.append(1), plain(*a))[1])
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:20])]
+    for _ in range(24):  # each differs by a word from the one before it
+        drift = texts[-1].split()
+        drift[-1:] = [drift[-1], rng.choice(words)] if len(drift) < 32 else [rng.choice(words)]
+        texts.append(" ".join(drift))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "quite another text of six words"])], "doc_id long, text string")
+    sets = [set(shingles.shingle_set(t).tolist()) for t in texts]
+    part = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                part = [part[j] if p == part[i] else p for p in part]
+    kept = simhash.keep_first(docs, width=5, similarity=0.8, bucket_limit=2)
+    first = {min(i for i, q in enumerate(part) if q == p) for p in part}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({*first, len(texts)})
+    assert len(calls) == 1
