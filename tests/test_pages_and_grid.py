@@ -93,3 +93,31 @@ def test_components_are_found_once_however_many_rounds(spark, monkeypatch):
     first = {min(i for i, q in enumerate(part) if q == p) for p in part}
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*first, len(texts)})
     assert len(calls) == 1
+
+
+def test_links_of_near_copies_follow_their_number(spark, monkeypatch):
+    """Texts alike in all but a word: the links handed on are a small multiple of the texts, not their pairs."""
+    passage, seen, plain = " ".join(f"p{i}" for i in range(90)), [], shingles.components
+    texts = [f"{passage} e{i}" for i in range(40)] + ["some other text of seven words"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(shingles, "components", lambda found: (seen.append(found.count()), plain(found))[1])
+    kept = simhash.keep_first(docs, width=5, similarity=0.8, bucket_limit=4)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 40]
+    assert len(seen) == 1 and seen[0] <= 3 * 40
+
+
+def test_links_that_labels_do_not_reach_go_on(spark):
+    """A chain is longer than the hops of a round: what is left between its parts connects them in the end."""
+    chain = spark.createDataFrame([(i, i + 1) for i in random.Random(1).sample(range(64), 64)], "a long, b long")
+    labels, rest = shingles._labels(chain)
+    for _ in range(2):
+        found = labels.selectExpr("fp a", "component b").unionByName(rest)
+        assert {r.component for r in shingles.components(found).collect()} == {0}
+        left = rest.count()
+        assert 0 < left < 64
+        labels, rest = shingles._labels(rest, labels)
+        assert rest.count() < left
+    # more links between two parts than one, and links inside a part, are not handed on
+    more = spark.createDataFrame([(1, 2), (2, 1), (1, 1), (1, 2)], "a long, b long")
+    labels, rest = shingles._labels(more)
+    assert {(r.fp, r.component) for r in labels.collect()} == {(1, 1), (2, 1)} and rest.isEmpty()
