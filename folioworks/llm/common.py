@@ -32,6 +32,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """The rows, whose joins are merged: for rows that Spark takes for far fewer bytes than they are, as after an explode, and would broadcast."""
+    return df.hint("merge")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores in front until the frame has no such column (case does not count)."""
     taken = {c.lower() for c in df.columns}

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.llm import shingles
-from folioworks.llm.common import cut, free_name
+from folioworks.llm.common import cut, free_name, unsized
 from folioworks.llm.components import components
 from folioworks.session import spread_partitions
 
@@ -103,7 +103,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, bucket_limit: int = 256
     sigs = _signatures(fps.select("fp").distinct(), max_bits)
     # most signatures stand alone; what is left after this count is small
     shared = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut(sigs.join(shared, "sig"))
+    # signatures are sized as the fingerprints that they come from, some hundredth
+    met = cut(unsized(sigs).join(shared, "sig"))
     small = met.where(F.col("n") <= bucket_limit)
     a, b = small.alias("a"), small.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
