@@ -24,12 +24,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like cut, as a Parquet table: wide rows are compressed there and later steps read single columns."""
+    """Like cut, as a Parquet table: wide rows are compressed there and later steps read single columns.
+
+    Spark sizes it as its files, which can be a twentieth of its rows in memory, so its joins are merged.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return unsized(spark.read.schema(df.schema).parquet(path))
 
 
 def unsized(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioworks.llm import simhash
+from folioworks.llm import common, simhash
 
 
 @pytest.fixture
@@ -28,3 +28,11 @@ def test_signatures_are_not_broadcast(spark, monkeypatch, threshold):
     simhash.fingerprint_links(spark.range(3000).select(F.xxhash64("id").alias("fp"))).count()
     assert "Generate explode" in (plan := plan_run(seen[0]))
     assert "BroadcastExchange" not in plan
+
+
+def test_stored_tables_are_not_broadcast(spark, threshold):
+    """100,000 rows of few different values are 2.4 MB in memory and some kB in files."""
+    threshold("1m")
+    rows = common.stored(spark.range(100_000).select((F.col("id") % 7).alias("k"), (F.col("id") % 3).alias("v")))
+    other = spark.range(100_000).select((F.col("id") % 100_000).alias("k"))
+    assert "BroadcastExchange" not in plan_run(other.join(rows.where("v = 1"), "k"))
