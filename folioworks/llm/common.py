@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.session import ensure_checkpoint_dir
+from folioworks.session import ensure_checkpoint_dir, shuffles_dropped
 
 #: A word of the contracts: a run of characters other than ASCII white space (Java and DuckDB regex).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder that all executors share and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_dropped(df.sparkSession):
+        return df.select("*").checkpoint()  # a query of its own, begun here
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -31,7 +32,8 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return unsized(spark.read.schema(df.schema).parquet(path))
 
 

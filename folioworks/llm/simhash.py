@@ -206,13 +206,18 @@ def keep_first(
         )
     winner = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("w")
     winners = fps.join(named, "fp").groupBy("root").agg(winner)
-    a, b, row = (free_name(docs, c) for c in ("_id", "_h", "_row"))
-    winners = winners.select(F.col("w.id").alias(a), F.col("w.h").alias(b))
-    hashed = docs.withColumn(row, F.xxhash64(F.col(text_col).cast("string")))
-    kept = hashed.join(winners, hashed[id_col].eqNullSafe(winners[a]) & (hashed[row] == winners[b]), "left_semi")
+    a, b, none, row = (free_name(docs, c) for c in ("_id", "_h", "_none", "_row"))
+
+    def place(key: Column, h: Column) -> dict[str, Column]:
+        return {a: F.coalesce(key, F.lit(0).cast("long")), none: key.isNull(), b: h}
+
+    # the join and the groups go by the same columns, so texts cross one shuffle
+    winners = winners.select(*[c.alias(name) for name, c in place(F.col("w.id"), F.col("w.h")).items()])
+    hashed = docs.withColumns(place(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))))
+    kept = hashed.join(winners, [a, none, b], "left_semi")
     # repeats of id and text: the row with the smallest hash of its other columns
     others = [F.col(c) for c, kind in docs.dtypes if c != text_col and "map<" not in kind and "variant" not in kind]
-    one = kept.groupBy(F.col(id_col).alias(a), F.col(row).alias(b)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*others)).alias(row))
+    one = kept.groupBy(a, none, b).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*others)).alias(row))
     return one.select(f"{row}.*")
 
 
