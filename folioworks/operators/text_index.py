@@ -4,7 +4,8 @@
 the page to partitions `part`, and `postings`, one row per term and lot of pages
 with the pages that have the term, dealt by a hash of the term to partitions
 `bucket`. With a word's page stand its places on it in ascending order, each as the
-distance to the one before.
+distance to the one before. Pages and places are packed as numbers of a byte or two
+each; page keys that are no whole numbers, or null, stand as they are.
 
 A search reads the postings of its terms only: words that the query shows whole
 must stand on a page one behind the other in the query's order; a query that shows
@@ -26,11 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioworks.operators import search as scan
+from folioworks.session import shuffles_dropped
 
 WORD = re.compile("[A-Za-z0-9_]+")
 GRAM = 3
@@ -102,12 +106,118 @@ def _part(parts: int):
     return F.pmod(F.xxhash64(*PAGE_KEY), F.lit(parts)).cast("int")
 
 
-def postings(pages: DataFrame) -> DataFrame:
-    """(kind, term, pages as array<struct<revision_id, page_index, places>>) of pages with (revision_id, page_index, content)."""
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, how many each number takes) of whole numbers: seven bits a byte, lowest first, all but a number's last byte over 127."""
+    plain = values.view(np.uint64) << np.uint64(1) ^ (values >> np.int64(63)).view(np.uint64)  # small of either sign first
+    sizes, most = np.ones(len(plain), np.int64), int(plain.max(initial=0))
+    for k in range(1, -(-most.bit_length() // 7)):
+        sizes += plain >= np.uint64(1 << 7 * k)
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.repeat(plain, sizes) >> (7 * at).astype(np.uint64) & np.uint64(127)
+    return out.astype(np.uint8) | ((at < np.repeat(sizes, sizes) - 1) * 128).astype(np.uint8), sizes
+
+
+def numbers(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, where the bytes of each end) of such bytes."""
+    ends = np.flatnonzero(packed < 128) + 1
+    starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
+    at = np.arange(len(packed)) - np.repeat(starts, ends - starts)
+    parts = (packed & 127).astype(np.uint64) << (7 * at).astype(np.uint64)
+    plain = np.add.reduceat(parts, starts) if len(ends) else parts
+    return (plain >> np.uint64(1)).view(np.int64) ^ -(plain & np.uint64(1)).view(np.int64), ends
+
+
+def _binaries(packed: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(packed))])
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums per group of `counts` consecutive values; a group may be empty."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def _steps(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each value less the one before it in its group, the first as it is."""
+    steps = np.diff(values, prepend=values[:1] * 0)
+    starts = (np.cumsum(counts) - counts)[counts > 0]
+    steps[starts] = values[starts]
+    return steps
+
+
+def _unsteps(steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps)
+    starts = np.cumsum(counts) - counts
+    return total - np.repeat(np.concatenate([[0], total])[starts], counts)
+
+
+def _packed_lot(keys: list[np.ndarray], at: np.ndarray, counts: np.ndarray, places: list[list[int]] | None) -> tuple[pa.Array, pa.Array]:
+    """(keys, places) of terms: `at` their pages one term after the other, `counts` of them each."""
+    fields = [_steps(k[at], counts) for k in keys]
+    if places is not None:
+        fields.append(np.array([len(p) for p in places], dtype=np.int64))
+    packed, sizes = varints(np.stack(fields, axis=1).reshape(-1))
+    held = _binaries(packed, _sums(sizes, counts * len(fields)))
+    if places is None:
+        return held, pa.nulls(len(counts), pa.binary())
+    packed, sizes = varints(np.array([d for p in places for d in p], dtype=np.int64))
+    return held, _binaries(packed, _sums(_sums(sizes, fields[-1]), counts))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all rows, how many each row has) of packed rows."""
+    lengths = np.array([len(b) for b in column.to_pylist()], dtype=np.int64)
+    found, ends = numbers(np.frombuffer(b"".join(column.to_pylist()), np.uint8))
+    upto = np.searchsorted(ends, np.cumsum(lengths), side="right")
+    return found, np.diff(upto, prepend=0)
+
+
+def _unpacked_rows(keys: pa.Array, places: pa.Array | None, held: pa.StructType) -> pa.Array:
+    found, counts = _flat(keys)
+    fields = found.reshape(-1, 2 if places is None else 3)
+    counts = counts // fields.shape[1]
+    pages = [pa.array(_unsteps(fields[:, i], counts)).cast(held[i].type) for i in range(2)]
+    own = np.zeros(len(fields), np.int64) if places is None else fields[:, 2]
+    flat = pa.array([], pa.int32()) if places is None else pa.array(_flat(places)[0].astype(np.int32))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32)), flat)
+    rows = pa.StructArray.from_arrays([*pages, lists], fields=list(held))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), rows)
+
+
+def _held(pages: DataFrame) -> T.StructType:
+    return T.StructType([*[T.StructField(k, pages.schema[k].dataType) for k in PAGE_KEY], T.StructField("places", T.ArrayType(T.IntegerType()))])
+
+
+def _unpacked(packed: DataFrame, held: T.StructType) -> DataFrame:
+    """packed with its pages in place of keys and places."""
+    whole = to_arrow_type(T.ArrayType(held))
+    fields = whole.value_type
+
+    @F.arrow_udf(T.ArrayType(held))
+    def unpack(rows: pa.Array) -> pa.Array:
+        keys, places = rows.field("keys"), rows.field("places")
+        kinds = [pa.compute.and_(keys.is_valid(), places.is_null()), pa.compute.and_(keys.is_valid(), places.is_valid()), keys.is_null()]
+        parts = [
+            _unpacked_rows(keys.filter(kinds[0]), None, fields).cast(whole),
+            _unpacked_rows(keys.filter(kinds[1]), places.filter(kinds[1]), fields).cast(whole),
+            pa.nulls(pa.compute.sum(kinds[2]).as_py() or 0, whole),
+        ]
+        order = np.concatenate([np.flatnonzero(k.to_numpy(zero_copy_only=False)) for k in kinds])
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(order)))
+
+    return packed.withColumn("pages", F.coalesce("pages", unpack(F.struct("keys", "places")))).drop("keys", "places")
+
+
+def _packed(pages: DataFrame) -> DataFrame:
+    """(kind, term, keys, places, pages): the pages of a term, packed in keys and places or else as they are."""
     narrow = pages.select(*PAGE_KEY, "content")
-    held = T.StructType([*[narrow.schema[k] for k in PAGE_KEY], T.StructField("places", T.ArrayType(T.IntegerType()))])
+    whole = all(isinstance(narrow.schema[k].dataType, T.IntegralType) for k in PAGE_KEY)
+    held = to_arrow_type(T.ArrayType(_held(narrow)))
+    text, some = T.StringType(), T.BinaryType()
     schema = T.StructType(
-        [T.StructField("kind", T.StringType()), T.StructField("term", T.StringType()), T.StructField("pages", T.ArrayType(held))]
+        [T.StructField(name, kind) for name, kind in (("kind", text), ("term", text), ("keys", some), ("places", some), ("pages", T.ArrayType(_held(narrow))))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,19 +234,32 @@ def postings(pages: DataFrame) -> DataFrame:
                         entry[0].append(i)
                         entry[1].append(distances)
                 names, counts, in_pages = grams([folded(c) for c in contents])
-                at = np.concatenate([np.array([i for own, _ in found.values() for i in own], dtype=np.int64), in_pages])
-                places = pa.array([p for _, own in found.values() for p in own], pa.list_(pa.int32()))
-                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(in_pages) + 1, np.int32)), pa.array([], pa.int32()))
-                held_by = [*[lot.column(k).take(pa.array(at)) for k in PAGE_KEY], pa.concat_arrays([places, none])]
-                rows = pa.StructArray.from_arrays(held_by, held.names)
-                offsets = np.cumsum([0, *[len(own) for own, _ in found.values()], *counts.tolist()]).astype(np.int32)
+                on = np.array([i for own, _ in found.values() for i in own], dtype=np.int64)
+                sizes = np.array([len(own) for own, _ in found.values()], dtype=np.int64)
+                distances = [p for _, own in found.values() for p in own]
+                key_columns = [lot.column(k) for k in PAGE_KEY]
+                if whole and not any(c.null_count for c in key_columns):
+                    keys = [c.to_numpy().astype(np.int64) for c in key_columns]
+                    parts = [_packed_lot(keys, on, sizes, distances), _packed_lot(keys, in_pages, counts, None)]
+                    columns = [pa.concat_arrays(p) for p in zip(*parts, strict=True)] + [pa.nulls(len(found) + len(names), held)]
+                else:
+                    at = np.concatenate([on, in_pages])
+                    places = pa.array([*distances, *[[]] * len(in_pages)], pa.list_(pa.int32()))
+                    rows = pa.StructArray.from_arrays([*[c.take(pa.array(at)) for c in key_columns], places], fields=list(held.value_type))
+                    offsets = pa.array(np.cumsum([0, *sizes.tolist(), *counts.tolist()]).astype(np.int32))
+                    none = pa.nulls(len(found) + len(names), pa.binary())
+                    columns = [none, none, pa.ListArray.from_arrays(offsets, rows).cast(held)]
                 kinds = ["word"] * len(found) + ["gram"] * len(names)
-                arrays = [pa.array(kinds, pa.string()), pa.array([*found, *names], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), rows)]
-                yield pa.RecordBatch.from_arrays(arrays, schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([*found, *names], pa.string()), *columns], schema.names)
 
     return narrow.mapInArrow(run, schema)
 
 
+def postings(pages: DataFrame) -> DataFrame:
+    """(kind, term, pages as array<struct<revision_id, page_index, places>>) of pages with (revision_id, page_index, content)."""
+    return _unpacked(_packed(pages), _held(pages))
+
+
 def build(pages: DataFrame, folder: str, *, buckets: int = 64, parts: int = 64, splits: int = 4) -> None:
     """Write the index of (revision_id, page_index, content, spans) into a new folder.
 
@@ -145,15 +268,17 @@ def build(pages: DataFrame, folder: str, *, buckets: int = 64, parts: int = 64,
     sizes = pages.sparkSession.createDataFrame([(buckets, parts)], "bucket int, part int")
     sizes.write.parquet(f"{folder}/sizes")
     split = F.pmod(F.hash(*PAGE_KEY), F.lit(splits))
-    # rows of a term differ in the first of their pages
-    own = F.pmod(F.hash(*[F.col("pages")[0][k] for k in PAGE_KEY]), F.lit(splits))
+    # rows of a term differ in their pages
+    own = F.pmod(F.hash("keys", *[F.col("pages")[0][k] for k in PAGE_KEY]), F.lit(splits))
     sorted_ = (
-        postings(pages).withColumn("bucket", _bucket(buckets)).repartition("kind", "bucket", own)
+        _packed(pages).withColumn("bucket", _bucket(buckets)).repartition("kind", "bucket", own)
         .sortWithinPartitions("kind", "bucket", "term")
     )
-    sorted_.write.partitionBy("kind", "bucket").parquet(f"{folder}/postings")
     dealt = pages.select(*PAGE_KEY, "content", "spans").withColumn("part", _part(parts))
-    dealt.repartition("part", split).sortWithinPartitions("part", *PAGE_KEY).write.partitionBy("part").parquet(f"{folder}/pages")
+    dealt = dealt.repartition("part", split).sortWithinPartitions("part", *PAGE_KEY)
+    with shuffles_dropped(pages.sparkSession):
+        sorted_.write.option("compression", "zstd").partitionBy("kind", "bucket").parquet(f"{folder}/postings")
+        dealt.write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/pages")
 
 
 def whole_words(query: str, whole_word: bool) -> list[tuple[int, str]]:
@@ -172,6 +297,7 @@ def _read(spark: SparkSession, folder: str, kind: str, wanted: list[str]) -> Dat
     table = spark.read.parquet(f"{folder}/postings").where(F.col("kind") == kind)
     found = spark.createDataFrame([(t,) for t in wanted], "term string").select(_bucket(_count(spark, folder, "bucket")).alias("b")).distinct().collect()
     rows = table.where(F.col("bucket").isin([r["b"] for r in found]) & F.col("term").isin(wanted))
+    rows = _unpacked(rows, table.schema["pages"].dataType.elementType)
     return rows.select("term", F.explode("pages").alias("p")).select("term", "p.*")
 
 

@@ -4,7 +4,9 @@ import random
 import re
 import uuid
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioworks.operators import search, text_index
 
@@ -102,3 +104,44 @@ def test_a_term_has_one_row_for_a_lot_of_pages(spark):
     assert got["word", text_index.ODD_PAGE] == [(0, []), (3, [])]
     want = {(i, text_index.folded(t or "")[k : k + 3]) for i, t in enumerate(texts) for k in range(len(text_index.folded(t or "")) - 2)}
     assert want == {(i, term) for (kind, term), held in got.items() if kind == "gram" for i, _ in held}
+
+
+def bytes_of(spark, folder):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def test_postings_are_packed(spark):
+    """A page of a term takes a few bytes, in the shuffle before and in the folder."""
+    rng = random.Random(2)
+    pages = paged(spark, [" ".join(rng.choice("abcdefgh") * 3 for _ in range(12)) for _ in range(3000)])
+    packed = text_index._packed(pages).selectExpr("octet_length(keys) k", "octet_length(places) p", "pages").collect()
+    posted = text_index.postings(pages).selectExpr("sum(size(pages)) n").first().n
+    assert all(r.pages is None for r in packed) and sum(r.k + (r.p or 0) for r in packed) < 5 * posted
+    folder = folder_of(spark)
+    text_index.build(pages, folder, buckets=2, parts=2, splits=1)
+    assert bytes_of(spark, f"{folder}/postings") < 5 * posted
+
+
+def test_numbers_come_back():
+    values = np.array([0, 1, -1, 63, 64, -64, -65, 300, 2**62, -(2**63), 2**63 - 1, *range(-200, 200)], np.int64)
+    for some in (values, values[:0], values[8:9]):
+        packed, sizes = text_index.varints(some)
+        found, ends = text_index.numbers(packed)
+        assert found.tolist() == some.tolist() and ends.tolist() == np.cumsum(sizes).tolist()
+
+
+@pytest.mark.parametrize("revision", ["string(revision_id)", "if(revision_id = 1, null, revision_id)", "revision_id * 3000000000000000000 - 9000000000000000000", "CAST(revision_id AS SMALLINT)"])
+def test_any_page_keys(spark, revision):
+    texts = ["of the other", "the of", "The of the", "", None, "mass of the", "a the", "of", "of the ſ"]
+    pages = paged(spark, texts).withColumn("revision_id", F.expr(revision))
+    folder = folder_of(spark)
+    text_index.build(pages, folder, buckets=2, parts=3, splits=2)
+    there = pages.where("revision_id is not null")
+    for query, whole in (("of the", True), ("e o", False), ("other", False)):
+        got = text_index.search_indexed(spark, folder, query, whole_word=whole)
+        assert rows_of(got) == rows_of(search.search(there, query, False, whole))
+    held = text_index.postings(pages).where("kind = 'word' and term = 'of'").selectExpr("inline(pages)")
+    want = pages.selectExpr("revision_id", "page_index", "lower(content) c").where(r"c rlike '\\bof\\b'")
+    assert held.schema["revision_id"].dataType == pages.schema["revision_id"].dataType
+    assert rows_of(held.select("revision_id", "page_index")) == rows_of(want.select("revision_id", "page_index"))
