@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.plans.folds import JointSigning, StateMachine, Threshold, UndoRedo, fold_rows
 from folioworks.plans.ordered import ordered_columns
+from folioworks.session import spread_partitions
 
 # Legal moves of envelopes and signers.
 ENVELOPE_MOVES = {
@@ -30,6 +31,7 @@ SIGNING_REFUSALS = {
 }
 
 DONE = ["signed", "declined"]
+SIGNER = ["envelope_id", "signer_id"]
 
 
 def unsigned_count(envelopes: DataFrame, signers: DataFrame) -> DataFrame:
@@ -92,6 +94,22 @@ def signer_replay(events: DataFrame, limit: int | None = None) -> DataFrame:
     return fold_rows(events, ["signer_id"], ["occurred_at", "event_id"], fold, limit)
 
 
+def _with_signers(events: DataFrame, known: DataFrame) -> DataFrame:
+    """The left join of events with known by envelope and signer, for events dealt by envelope.
+
+    A join would deal them by both and leave the fold to deal them by envelope again. Here the known rows of a signer come before
+    the signer's events, where Spark leaves rows that are dealt by part of the keys.
+    """
+    fields = [c for c in known.columns if c not in SIGNER]
+    own = known.dropna(subset=SIGNER).groupBy(*SIGNER).agg(F.collect_list(F.struct(*fields)).alias("_own"))
+    own = own.repartition(spread_partitions(events.sparkSession), "envelope_id")
+    both = own.select("*", F.lit(True).alias("_first")).unionByName(events.withColumn("_first", F.lit(False)), allowMissingColumns=True)
+    mine = Window.partitionBy(*SIGNER).orderBy(F.desc("_first")).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_own", F.first("_own", ignorenulls=True).over(mine)).where("not _first")
+    order = [*[F.col(c).cast(events.schema[c].dataType).alias(c) for c in SIGNER], *[c for c in events.columns if c not in SIGNER]]
+    return met.select(*order, F.explode_outer("_own").alias("_own")).select(*SIGNER, *order[2:], "_own.*")
+
+
 def signing_replay(events: DataFrame, signers: DataFrame, envelopes: DataFrame, limit: int | None = None) -> DataFrame:
     """Replay (envelope_id, event_id, occurred_at, event, signer_id) through an envelope and its signers together.
 
@@ -110,8 +128,10 @@ def signing_replay(events: DataFrame, signers: DataFrame, envelopes: DataFrame,
     known = places.join(counts.join(modes, "envelope_id", "left"), "envelope_id")
     known = known.select("envelope_id", "signer_id", "_place", "_signers", F.coalesce("_parallel", F.lit(False)).alias("_parallel"))
     fold = JointSigning("event", "_place", "_signers", "_parallel", SIGNING_REFUSALS)
-    placed = events.join(known, ["envelope_id", "signer_id"], "left")
-    replayed = fold_rows(placed, ["envelope_id"], ["occurred_at", "event_id"], fold, limit)
+    replayed = fold_rows(
+        events, ["envelope_id"], ["occurred_at", "event_id"], fold, limit,
+        widen=lambda rows, dealt: _with_signers(rows, known) if dealt else rows.join(known, SIGNER, "left"),
+    )
     return replayed.drop("_place", "_signers", "_parallel")
 
 

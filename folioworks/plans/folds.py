@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import bisect
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,12 +55,20 @@ ARRAY_TYPES = {T.BooleanType: bool, T.LongType: "int64"}
 
 
 def fold_rows(
-    df: DataFrame, keys: list[str], order: list[str], fold: Fold, limit: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], fold: Fold, limit: int | None = None,
+    widen: Callable[[DataFrame, bool], DataFrame] | None = None,
 ) -> DataFrame:
-    """Add the fold's output columns to df; `order` must be a total order in a key."""
+    """Add the fold's output columns to df; `order` must be a total order in a key.
+
+    widen may add columns that the fold reads to rows. It gets those of small keys dealt by key, as the fold needs them, and is told
+    so; if it leaves them there, they are moved once.
+    """
     limit = group_limit(df, limit)
     cold, hot, hot_rows = split_hot(df, keys, limit)
-    streamed = _folded(cold, keys, order, fold, df.columns)
+    if widen is not None:
+        cold = widen(cold.repartition(spread_partitions(df.sparkSession), *keys), True)
+        hot = hot if hot is None else widen(hot, False)
+    streamed = _folded(cold, keys, order, fold, cold.columns)
     if hot is None:
         return streamed
     chunks = chunk_rows(hot, keys, order, hot_rows, limit)
@@ -68,7 +76,7 @@ def fold_rows(
     entered = chunks.join(entries, null_safe(chunks, entries, [*keys, CHUNK], "_e_")).select(
         *chunks.columns, "_state"
     )
-    return streamed.unionByName(_folded(entered, [*keys, CHUNK], order, fold, df.columns, entry="_state"))
+    return streamed.unionByName(_folded(entered, [*keys, CHUNK], order, fold, cold.columns, entry="_state"))
 
 
 def _folded(

@@ -132,3 +132,39 @@ def test_reasons_of_refusals(spark):
     for envelope, steps in log.items():
         own = sorted((r for r in got if r.envelope_id == envelope), key=lambda r: r.event_id)
         assert [r.reason for r in own] == [None] * (len(steps) - 1) + [envelope]
+
+
+def moved(df, column):
+    """Exchanges in the frame's plan that carry a column."""
+    found, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            stack.append(node.executedPlan())
+            continue
+        found += node.nodeName() == "Exchange" and f"{column}#" in node.output().mkString(",")
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_events_cross_one_shuffle(spark, signing):
+    """Dealt by envelope once, for their signers and for the replay."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert moved(ledger.signing_replay(*signing), "event_id") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_repeated_and_null_signers(spark):
+    """As a left join has it: a signer listed twice doubles the signer's events, null is nobody, nulls of both sides do not meet."""
+    events = [(1, i, i, e, s) for i, (e, s) in enumerate([("sent", None), ("viewed", 5), ("signed", 5), ("viewed", 6), ("viewed", None)])] + [(None, 9, 9, "viewed", 5)]
+    events = spark.createDataFrame(events, "envelope_id int, event_id long, occurred_at long, event string, signer_id int")
+    signers = spark.createDataFrame([(1, 5, 0), (1, 5, 0), (1, 6, 1), (1, None, 2), (None, 5, 0)], "envelope_id long, signer_id long, signer_order long")
+    envelopes = spark.createDataFrame([(1, "parallel")], "envelope_id long, signing_mode string")
+    got = ledger.signing_replay(events, signers, envelopes)
+    assert got.columns == ["envelope_id", "signer_id", "event_id", "occurred_at", "event", *got.columns[5:]]
+    assert [kind for _, kind in got.dtypes[:2]] == ["int", "int"]
+    rows = [(r.envelope_id, r.event_id, r.reason == "signer_not_found") for r in got.collect()]
+    assert sorted(rows, key=str) == sorted([(1, 0, False), *[(1, i, False) for i in (1, 1, 2, 2, 3)], (1, 4, True), (None, 9, True)], key=str)
