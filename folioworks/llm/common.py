@@ -42,6 +42,15 @@ def unsized(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Narrow rows that the driver holds and sends easily.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Narrow rows, broadcast in joins if they are few. They are counted, as the size of files misleads."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores in front until the frame has no such column (case does not count)."""
     taken = {c.lower() for c in df.columns}
